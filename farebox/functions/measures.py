@@ -28,13 +28,16 @@ def round2(value: Column) -> Column:
 
 
 def scalar_struct(one_row: DataFrame) -> Column:
-    """A one-row frame as a struct-valued scalar subquery, computed once."""
+    """A one-row frame as a struct-valued scalar subquery.
+
+    Add it as a column and read the fields from there: the plan then holds it once.
+    """
     return one_row.select(F.struct(*one_row.columns)).scalar()
 
 
 def month_offset(later: Column, earlier: Column) -> Column:
     """Whole months between two first-of-month dates."""
-    return F.months_between(later, earlier).cast("int")
+    return (F.year(later) - F.year(earlier)) * 12 + F.month(later) - F.month(earlier)
 
 
 def labelled(condition: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from farebox.functions.fixed_values import HORIZONS, TRAIN_PERCENT
 from farebox.functions.measures import MONEY, money_sum
-from farebox.operators.cycle import DAY, KEY, TIMELINE
+from farebox.operators.cycle import DAY, KEY, timeline
 from farebox.operators.rankings import purchases_on_routes
 
 FEATURES = ["recency", "frequency", "monetary"]
@@ -49,11 +49,11 @@ def point_in_time_features(labels: DataFrame, purchases: DataFrame) -> DataFrame
             F.coalesce(F.sum(F.col("gmv_success").cast(MONEY)), F.lit(0).cast(MONEY)).alias("gmv"),
         )
     )
-    before = TIMELINE.rowsBetween(Window.unboundedPreceding, -1)
+    before = timeline().rowsBetween(Window.unboundedPreceding, -1)
     so_far = days.select(
         KEY,
         DAY,
-        F.datediff(DAY, F.lag(DAY).over(TIMELINE)).alias("since_previous"),
+        F.datediff(DAY, F.lag(DAY).over(timeline())).alias("since_previous"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
         F.coalesce(F.sum("gmv").over(before), F.lit(0)).alias("gmv_before"),
         "n",

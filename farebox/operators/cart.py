@@ -6,22 +6,24 @@ from pyspark.sql import functions as F
 from farebox.functions.fixed_values import NO_RETURN_COMPANY
 from farebox.functions.measures import MONEY, percent_above, ratio
 
-TICKETS = F.col("total_tickets_quantity_success")
-GMV = F.col("gmv_success")
-PRICE = GMV / TICKETS
+TICKETS = "total_tickets_quantity_success"
+GMV = "gmv_success"
 
 
 def tickets_distribution(purchases: DataFrame) -> DataFrame:
     return (
-        purchases.where(TICKETS.isNotNull())
-        .groupBy(TICKETS.alias("tickets"))
+        purchases.where(F.col(TICKETS).isNotNull())
+        .groupBy(F.col(TICKETS).alias("tickets"))
         .agg(F.count(F.lit(1)).alias("purchases"))
     )
 
 
 def ticket_prices(purchases: DataFrame) -> DataFrame:
     """Price per ticket of every purchase with tickets and a value."""
-    return purchases.where(TICKETS > 0).select(PRICE.alias("price")).where("price is not null")
+    price = F.col(GMV) / F.col(TICKETS)
+    return (
+        purchases.where(F.col(TICKETS) > 0).select(price.alias("price")).where("price is not null")
+    )
 
 
 def avg_ticket_price(purchases: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def same_company_share(purchases: DataFrame) -> DataFrame:
 def round_trip_comparison(purchases: DataFrame) -> DataFrame:
     """Share and mean GMV of one-way purchases and round trips, two rows."""
     back = F.col("has_return")
-    money = GMV.cast(MONEY)
+    money = F.col(GMV).cast(MONEY)
 
     def mean(of):
         return F.sum(F.when(of, money)).cast("double") / F.nullif(

@@ -7,7 +7,7 @@ neighbouring day. Rows therefore carry a count, and a customer with any number o
 purchases takes part with at most one row per calendar day.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from farebox.functions.fixed_values import HORIZONS
@@ -17,7 +17,11 @@ KEY = "fk_contact"
 DAY = "date_purchase"
 GAP = "days_since_prev_purchase"
 NEXT_GAP = "days_until_next_purchase"
-TIMELINE = Window.partitionBy(KEY).orderBy(DAY)
+
+
+def timeline() -> WindowSpec:
+    """A customer's purchase days in order."""
+    return Window.partitionBy(KEY).orderBy(DAY)
 
 
 def purchase_days(purchases: DataFrame) -> DataFrame:
@@ -29,8 +33,8 @@ def purchase_days(purchases: DataFrame) -> DataFrame:
     )
 
 
-def _neighbours(days: DataFrame, neighbour, name: str, gap: str) -> DataFrame:
-    """Rows (same day, 0, n - 1) and (neighbouring day, gap, 1) for every day."""
+def _neighbours(days: DataFrame, name: str, gap: str) -> DataFrame:
+    """Rows (same day, 0, n - 1) and (``neighbour`` day, gap, 1) for every day."""
     same = F.struct(F.col(DAY).alias(name), F.lit(0).alias(gap), (F.col("n") - 1).alias("purchases"))
     other = F.struct(
         F.col("neighbour").alias(name),
@@ -38,8 +42,7 @@ def _neighbours(days: DataFrame, neighbour, name: str, gap: str) -> DataFrame:
         F.lit(1).cast("bigint").alias("purchases"),
     )
     return (
-        days.withColumn("neighbour", neighbour)
-        .select(KEY, DAY, F.inline(F.array(same, other)))
+        days.select(KEY, DAY, F.inline(F.array(same, other)))
         .where(F.col(name).isNotNull() & (F.col("purchases") > 0))
     )
 
@@ -47,7 +50,8 @@ def _neighbours(days: DataFrame, neighbour, name: str, gap: str) -> DataFrame:
 def purchase_intervals(purchases: DataFrame) -> DataFrame:
     """Previous purchase of the same customer and the days since, with the number of
     purchases it holds for. First purchases have no interval and no row."""
-    return _neighbours(purchase_days(purchases), F.lag(DAY).over(TIMELINE), "prev_purchase", GAP)
+    days = purchase_days(purchases).withColumn("neighbour", F.lag(DAY).over(timeline()))
+    return _neighbours(days, "prev_purchase", GAP)
 
 
 def interval_lengths(intervals: DataFrame) -> DataFrame:
@@ -114,20 +118,21 @@ def next_purchase_labels(purchases: DataFrame, one_per_customer: bool = False) -
     Several purchases on that date give a row with a count above one, or two rows.
     ``one_per_customer`` keeps the one with the largest gap, counted once.
     """
-    following = _neighbours(
-        purchase_days(purchases), F.lead(DAY).over(TIMELINE), "next_purchase", NEXT_GAP
-    )
-    customer = Window.partitionBy(KEY)
-    last = following.withColumn("last_day", F.max(DAY).over(customer)).where(
-        F.col(DAY) == F.col("last_day")
+    days = purchase_days(purchases).withColumns(
+        {
+            "neighbour": F.lead(DAY).over(timeline()),
+            "neighbour_n": F.lead("n").over(timeline()),
+            "day_after": F.lead(DAY, 2).over(timeline()),
+        }
     )
+    # The last day itself when it has several purchases, otherwise the day before it.
+    ends_here = F.col("neighbour").isNull() & (F.col("n") > 1)
+    one_follows = F.col("day_after").isNull() & (F.col("neighbour_n") == 1)
+    last = days.where(ends_here | one_follows)
     if one_per_customer:
-        last = (
-            last.withColumn("largest", F.max(NEXT_GAP).over(customer))
-            .where(F.col(NEXT_GAP) == F.col("largest"))
-            .withColumn("purchases", F.lit(1).cast("bigint"))
-        )
-    return last.select(
+        # Without its same-day neighbours, or reduced to one of them on the last day.
+        last = last.withColumn("n", F.when(ends_here, 2).otherwise(1).cast("bigint"))
+    return _neighbours(last, "next_purchase", NEXT_GAP).select(
         KEY,
         DAY,
         "next_purchase",

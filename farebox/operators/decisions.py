@@ -89,16 +89,16 @@ def contact_plan(scores: DataFrame, slot: DataFrame) -> DataFrame:
     best = F.greatest(*probability.values())
     window = F.coalesce(*[F.when(p == best, F.lit(h)) for h, p in probability.items()])
     when = scalar_struct(slot.select("slot_day", "slot_hour"))
-    return scores.withColumns(
+    return scores.withColumn("slot", when).withColumns(
         {
             **{f"band_{h}": probability_band(p) for h, p in probability.items()},
             "best_window_days": window,
             "best_probability": best,
-            "contact_day": when["slot_day"],
-            "contact_hour": when["slot_hour"],
+            "contact_day": F.col("slot.slot_day"),
+            "contact_hour": F.col("slot.slot_hour"),
             "strategy": contact_strategy(best),
         }
-    )
+    ).drop("slot")
 
 
 def segment_dimension(spark) -> DataFrame:

@@ -28,11 +28,13 @@ def histogram(df: DataFrame, column: str, bins: int, weight: str | None = None)
         (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("weight"),
     )
     ends = scalar_struct(values.agg(F.min("value").alias("low"), F.max("value").alias("high")))
-    low, high = ends["low"], ends["high"]
+    low, high = F.col("ends.low"), F.col("ends.high")
     width = (high - low) / bins
     return (
-        values.groupBy(bin_of(F.col("value"), low, high, bins).alias("bin"))
+        values.withColumn("ends", ends)
+        .groupBy(bin_of(F.col("value"), low, high, bins).alias("bin"))
         .agg(F.sum("weight").alias("n"))
+        .withColumn("ends", ends)
         .select(
             "bin",
             F.round(low + F.col("bin") * width, 6).alias("bin_start"),
@@ -107,11 +109,13 @@ def ticket_price_density(prices: DataFrame, points: int = DENSITY_POINTS) -> Dat
     known = scalar_struct(
         moments.select("n", "low", "high", F.round(F.col("std") * F.pow("n", F.lit(-0.2)), 4).alias("h"))
     )
-    low, high, h = known["low"], known["high"], known["h"]
+    low, high, h = F.col("known.low"), F.col("known.high"), F.col("known.h")
     fine = (
-        prices.groupBy(F.floor((price - low) / (h / FINE)).alias("cell"))
+        prices.withColumn("known", known)
+        .groupBy(F.floor((price - low) / (h / FINE)).alias("cell"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .select((low + (F.col("cell") + 0.5) * (h / FINE)).alias("centre"), "n")
+        .withColumn("known", known)
+        .select("known", (low + (F.col("cell") + 0.5) * (h / FINE)).alias("centre"), "n")
     )
     step = (high - low) / (points - 1)
     at = low + F.col("point") * step
@@ -119,9 +123,10 @@ def ticket_price_density(prices: DataFrame, points: int = DENSITY_POINTS) -> Dat
     scale = (high - low) / 30 / (h * F.sqrt(F.lit(2.0) * F.pi()))
     return (
         # A constant list of grid points per fine bin.
-        fine.select("centre", "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+        fine.select("known", "centre", "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
         .groupBy("point")
         .agg(F.sum(F.col("n") * F.exp(-distance * distance / 2)).alias("mass"))
+        .withColumn("known", known)
         .select(
             "point",
             F.round(low + F.col("point") * step, 6).alias("price"),

@@ -7,15 +7,15 @@ from farebox.functions.calendar import months, weekday_number, weekdays
 from farebox.functions.fixed_values import PURCHASE_COLUMNS
 from farebox.functions.measures import money_sum, ratio
 
-GMV = F.col("gmv_success")
-DAY = F.col("date_purchase")
-HOUR = F.col("time_purchase_hour")
+GMV = "gmv_success"
+DAY = "date_purchase"
+HOUR = "time_purchase_hour"
 
 
 def kpi_overview(purchases: DataFrame) -> DataFrame:
     """Totals, distinct purchases and customers, and their guarded ratios; one row."""
     totals = purchases.agg(
-        money_sum(GMV).alias("total_gmv"),
+        money_sum(F.col(GMV)).alias("total_gmv"),
         F.coalesce(F.sum("total_tickets_quantity_success"), F.lit(0)).alias("total_tickets"),
         F.count_distinct("nk_ota_localizer_id").alias("transactions"),
         F.count_distinct("fk_contact").alias("customers"),
@@ -40,8 +40,8 @@ def ingest_profile(raw: DataFrame, purchases: DataFrame) -> DataFrame:
     one_row = purchases.agg(
         F.count(F.lit(1)).cast("string").alias("rows"),
         F.lit(len(inputs)).cast("string").alias("columns"),
-        F.count_if(DAY.isNull()).cast("string").alias("invalid_dates"),
-        F.count_if(HOUR.isNull()).cast("string").alias("invalid_hours"),
+        F.count_if(F.col(DAY).isNull()).cast("string").alias("invalid_dates"),
+        F.count_if(F.col(HOUR).isNull()).cast("string").alias("invalid_hours"),
         F.min(DAY).cast("string").alias("first_date"),
         F.max(DAY).cast("string").alias("last_date"),
         F.count_distinct("fk_departure_ota_bus_company")
@@ -58,9 +58,9 @@ def gmv_by_month(purchases: DataFrame) -> DataFrame:
     The trailing mean runs over one row per month, so its single window is small.
     """
     monthly = (
-        purchases.where(DAY.isNotNull())
+        purchases.where(F.col(DAY).isNotNull())
         .groupBy(F.trunc(DAY, "MM").alias("month"))
-        .agg(money_sum(GMV).alias("gmv"))
+        .agg(money_sum(F.col(GMV)).alias("gmv"))
     )
     three = Window.orderBy("month").rowsBetween(-2, 0)
     return monthly.select(
@@ -72,7 +72,7 @@ def gmv_by_month(purchases: DataFrame) -> DataFrame:
 
 def gmv_by_weekday(purchases: DataFrame) -> DataFrame:
     """GMV per weekday, all seven days; null for a day without purchases."""
-    return _on_weekdays(purchases, money_sum(GMV).alias("gmv"))
+    return _on_weekdays(purchases, money_sum(F.col(GMV)).alias("gmv"))
 
 
 def purchases_by_weekday(purchases: DataFrame) -> DataFrame:
@@ -82,19 +82,19 @@ def purchases_by_weekday(purchases: DataFrame) -> DataFrame:
 
 def _on_weekdays(purchases: DataFrame, measure) -> DataFrame:
     totals = (
-        purchases.where(DAY.isNotNull()).groupBy(weekday_number(DAY).alias("dow")).agg(measure)
+        purchases.where(F.col(DAY).isNotNull()).groupBy(weekday_number(F.col(DAY)).alias("dow")).agg(measure)
     )
     return weekdays(purchases.sparkSession).join(F.broadcast(totals), "dow", "left")
 
 
 def gmv_by_hour(purchases: DataFrame) -> DataFrame:
-    return purchases.where(HOUR.isNotNull()).groupBy(HOUR.alias("hour")).agg(
-        money_sum(GMV).alias("gmv")
+    return purchases.where(F.col(HOUR).isNotNull()).groupBy(F.col(HOUR).alias("hour")).agg(
+        money_sum(F.col(GMV)).alias("gmv")
     )
 
 
 def purchases_by_hour(purchases: DataFrame) -> DataFrame:
-    return purchases.where(HOUR.isNotNull()).groupBy(HOUR.alias("hour")).agg(
+    return purchases.where(F.col(HOUR).isNotNull()).groupBy(F.col(HOUR).alias("hour")).agg(
         F.count(F.lit(1)).alias("purchases")
     )
 
@@ -102,17 +102,17 @@ def purchases_by_hour(purchases: DataFrame) -> DataFrame:
 def gmv_by_calendar_month(purchases: DataFrame) -> DataFrame:
     """GMV per month of the year, all years pooled; only months with purchases."""
     totals = (
-        purchases.where(DAY.isNotNull())
+        purchases.where(F.col(DAY).isNotNull())
         .groupBy(F.month(DAY).alias("month_no"))
-        .agg(money_sum(GMV).alias("gmv"))
+        .agg(money_sum(F.col(GMV)).alias("gmv"))
     )
     return months(purchases.sparkSession).join(F.broadcast(totals), "month_no")
 
 
 def weekday_hour_counts(purchases: DataFrame) -> DataFrame:
     return (
-        purchases.where(DAY.isNotNull() & HOUR.isNotNull())
-        .groupBy(weekday_number(DAY).alias("dow"), HOUR.alias("hour"))
+        purchases.where(F.col(DAY).isNotNull() & F.col(HOUR).isNotNull())
+        .groupBy(weekday_number(F.col(DAY)).alias("dow"), F.col(HOUR).alias("hour"))
         .agg(F.count(F.lit(1)).alias("purchases"))
     )
 

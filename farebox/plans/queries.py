@@ -20,7 +20,7 @@ from farebox.operators import (
 )
 from farebox.operators import rfm as rfm_operators
 from farebox.plans.workspace import Workspace
-from farebox.sources.star_schema import as_text, raw_event_purchases, raw_purchases
+from farebox.sources.star_schema import as_text, raw_event_purchases
 
 # Day on which recency is taken: a month after the last order, two days after the last event.
 AS_OF = datetime.date(2001, 9, 1)
@@ -36,8 +36,7 @@ def workspace(spark: SparkSession, folder: str, source: str = "orders") -> Works
         if source == "orders":
             _workspaces[key] = Workspace.on_star_schema(spark, folder, AS_OF)
         else:
-            raw = raw_event_purchases(spark, folder)
-            _workspaces[key] = Workspace(clean_purchases(raw), EVENTS_AS_OF)
+            _workspaces[key] = Workspace(raw_event_purchases(spark, folder), EVENTS_AS_OF)
     return _workspaces[key]
 
 
@@ -47,7 +46,7 @@ def forget_workspaces() -> None:
 
 
 def _from_text(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    raw = as_text(raw_purchases(spark, folder))
+    raw = as_text(workspace(spark, folder).raw_trips)
     return raw, clean_purchases(raw)
 
 
@@ -81,7 +80,7 @@ def ingest_profile(spark, folder):
 def top_route_purchases(spark, folder):
     w = workspace(spark, folder)
     columns = ["nk_ota_localizer_id", "fk_contact", "date_purchase", "route", "gmv_success"]
-    return rankings.purchases_on_routes(w.purchases, w.top_routes).select(*columns)
+    return rankings.purchases_on_routes(w.trips, w.top_routes).select(*columns)
 
 
 def contact_plan(spark, folder):
@@ -94,6 +93,10 @@ def _over_purchases(operator: Callable, source: str = "orders") -> Callable:
     return lambda spark, folder: operator(workspace(spark, folder, source).purchases)
 
 
+def _over_trips(operator: Callable) -> Callable:
+    return lambda spark, folder: operator(workspace(spark, folder).trips)
+
+
 def _over(operator: Callable, source: str = "orders") -> Callable:
     return lambda spark, folder: operator(workspace(spark, folder, source))
 
@@ -103,7 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "purchases_clean": purchases_clean,
     "ingest_profile": ingest_profile,
     # Overview and seasonality
-    "kpi_overview": _over_purchases(overview.kpi_overview),
+    "kpi_overview": _over_trips(overview.kpi_overview),
     "gmv_by_month": _over_purchases(overview.gmv_by_month),
     "gmv_by_weekday": _over_purchases(overview.gmv_by_weekday),
     "gmv_by_hour": _over_purchases(overview.gmv_by_hour),
@@ -143,21 +146,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cohort_grid": _over(lambda w: cohort.cohort_grid(w.retention)),
     "cohort_grid_rows": _over(lambda w: cohort.grid_to_rows(cohort.cohort_grid(w.retention))),
     # Rankings
-    "route_ranking": _over_purchases(rankings.route_ranking),
-    "origin_ranking": _over_purchases(rankings.origin_ranking),
-    "destination_ranking": _over_purchases(rankings.destination_ranking),
-    "company_ranking": _over_purchases(rankings.company_ranking),
+    "route_ranking": _over_trips(rankings.route_ranking),
+    "origin_ranking": _over_trips(rankings.origin_ranking),
+    "destination_ranking": _over_trips(rankings.destination_ranking),
+    "company_ranking": _over_trips(rankings.company_ranking),
     "customer_ranking": _over(lambda w: rankings.customer_ranking(w.customer_totals)),
-    "business_highlights": _over_purchases(decisions.business_highlights),
+    "business_highlights": _over_trips(decisions.business_highlights),
     # Cart
-    "same_company_share": _over_purchases(cart.same_company_share),
-    "tickets_distribution": _over_purchases(cart.tickets_distribution),
-    "avg_ticket_price": _over_purchases(cart.avg_ticket_price),
-    "round_trip_comparison": _over_purchases(cart.round_trip_comparison),
-    "ticket_price_histogram": _over_purchases(
+    "same_company_share": _over_trips(cart.same_company_share),
+    "tickets_distribution": _over_trips(cart.tickets_distribution),
+    "avg_ticket_price": _over_trips(cart.avg_ticket_price),
+    "round_trip_comparison": _over_trips(cart.round_trip_comparison),
+    "ticket_price_histogram": _over_trips(
         lambda p: distributions.ticket_price_histogram(cart.ticket_prices(p))
     ),
-    "ticket_price_density": _over_purchases(
+    "ticket_price_density": _over_trips(
         lambda p: distributions.ticket_price_density(cart.ticket_prices(p))
     ),
     "purchase_count_histogram": _over_purchases(distributions.purchase_count_histogram),

@@ -6,12 +6,14 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from farebox.functions.cleaning import clean_purchases
+from farebox.functions.fixed_values import PURCHASE_COLUMNS
 from farebox.models.features import repurchase_features, route_features
 from farebox.models.repurchase import RepurchaseModels, fit_repurchase
 from farebox.models.routes import RouteModel, fit_routes
 from farebox.operators import cohort, cycle, rankings
 from farebox.operators import rfm as rfm_operators
 from farebox.operators.decisions import best_contact_slot
+from farebox.sources.reader import conform, is_csv, read_raw
 from farebox.sources.star_schema import raw_purchases
 from farebox.staging import stage
 
@@ -19,18 +21,43 @@ from farebox.staging import stage
 class Workspace:
     """Purchases and, each worked out at most once, what several analyses need.
 
-    ``purchases`` stays a lazy plan, so every analysis scans only its own columns. The
-    staged tables are one row per customer (or smaller) and read more than once.
+    ``purchases`` stays a lazy plan, so an analysis of customers, dates and values scans
+    only those columns. ``trips`` are the same rows for analyses that also need places,
+    companies or tickets; where getting those costs joins, they are staged on first use
+    (``stage_trips``). The other staged tables are one row per customer, or smaller.
     """
 
-    def __init__(self, purchases: DataFrame, as_of: datetime.date | None = None):
-        self.purchases = purchases
+    def __init__(
+        self, raw: DataFrame, as_of: datetime.date | None = None, stage_trips: bool = False
+    ):
+        self.raw = raw
         self.as_of = as_of
-        self.spark: SparkSession = purchases.sparkSession
+        self.stage_trips = stage_trips
+        self.purchases = clean_purchases(raw)
+        self.spark: SparkSession = raw.sparkSession
 
     @classmethod
     def on_star_schema(cls, spark: SparkSession, folder: str, as_of: datetime.date) -> "Workspace":
-        return cls(clean_purchases(raw_purchases(spark, folder)), as_of)
+        return cls(raw_purchases(spark, folder), as_of, stage_trips=True)
+
+    @classmethod
+    def read(
+        cls, spark: SparkSession, path: str, as_of: datetime.date | None = None
+    ) -> "Workspace":
+        """On a purchases file. CSV text is parsed once, into typed Parquet."""
+        raw = conform(read_raw(spark, path))
+        if is_csv(path):
+            typed = clean_purchases(raw).select(*[c for c in PURCHASE_COLUMNS if c in raw.columns])
+            raw = stage(typed, "purchases")
+        return cls(raw, as_of)
+
+    @cached_property
+    def raw_trips(self) -> DataFrame:
+        return stage(self.raw, "purchases") if self.stage_trips else self.raw
+
+    @cached_property
+    def trips(self) -> DataFrame:
+        return clean_purchases(self.raw_trips)
 
     @cached_property
     def rfm(self) -> DataFrame:
@@ -79,11 +106,11 @@ class Workspace:
 
     @cached_property
     def top_routes(self) -> DataFrame:
-        return stage(rankings.route_ranking(self.purchases), "top-routes")
+        return stage(rankings.route_ranking(self.trips), "top-routes")
 
     @cached_property
     def route_features(self) -> DataFrame:
-        features = route_features(self.purchases, self.top_routes, self.as_of)
+        features = route_features(self.trips, self.top_routes, self.as_of)
         return stage(features, "route-features")
 
     @cached_property

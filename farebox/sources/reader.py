@@ -56,14 +56,17 @@ def conform(raw: DataFrame) -> DataFrame:
     return raw.withColumnsRenamed(renames)
 
 
+def is_csv(path: str) -> bool:
+    return path.rstrip("/").lower().endswith((".csv", ".csv.gz", ".csv.bz2", ".csv.zst"))
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Scan a CSV file with header (every column as text) or Parquet."""
-    lowered = path.rstrip("/").lower()
-    if lowered.endswith((".csv", ".csv.gz", ".csv.bz2", ".csv.zst")):
+    if is_csv(path):
         # Without inferSchema every column is text: no pass over the data for types,
         # and rejected values can be counted afterwards.
         return spark.read.option("header", True).option("escape", '"').csv(path)
-    if lowered.endswith(".parquet"):
+    if path.rstrip("/").lower().endswith(".parquet"):
         return spark.read.parquet(path)
     raise ValueError(f"unsupported format: {path}; purchases are read from .csv or .parquet")
 

@@ -36,22 +36,24 @@ def raw_purchases(spark: SparkSession, folder: str) -> DataFrame:
             F.max(line).alias("last_line"),
         )
     )
-    nation = _table(spark, folder, "nation")
-    origins = _keyed(nation, "n_nationkey", "n_name", "origin")
-    destinations = _keyed(nation, "n_nationkey", "n_name", "destination").withColumnRenamed(
-        "n_nationkey", "d_nationkey"
+    nations = _keyed(_table(spark, folder, "nation"), "n_nationkey", "n_name", "nation")
+    customers = (
+        _keyed(_table(spark, folder, "customer"), "c_custkey", "c_nationkey", "c_nation")
+        .join(nations, F.col("c_nation") == F.col("n_nationkey"), "left")
+        .select("c_custkey", F.col("nation").alias("origin"))
+    )
+    suppliers = (
+        _keyed(_table(spark, folder, "supplier"), "s_suppkey", "s_nationkey", "s_nation")
+        .join(nations, F.col("s_nation") == F.col("n_nationkey"), "left")
+        .select("s_suppkey", F.col("nation").alias("destination"))
     )
-    customers = _keyed(_table(spark, folder, "customer"), "c_custkey", "c_nationkey", "c_nation")
-    suppliers = _keyed(_table(spark, folder, "supplier"), "s_suppkey", "s_nationkey", "s_nation")
 
     flat = (
         _table(spark, folder, "orders")
         .join(legs, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .withColumn("supplier", F.col("first_line.l_suppkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
-        .join(origins, F.col("c_nation") == F.col("n_nationkey"), "left")
         .join(suppliers, F.col("supplier") == F.col("s_suppkey"), "left")
-        .join(destinations, F.col("s_nation") == F.col("d_nationkey"), "left")
     )
     second = F.col("o_orderkey") * 7919 % 86400
     returns = F.coalesce(F.col("last_line.l_returnflag"), F.lit("N")) == "R"
