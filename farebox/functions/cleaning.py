@@ -49,33 +49,35 @@ def clean_purchases(raw: DataFrame) -> DataFrame:
     """Type the purchases columns and add the derived ones.
 
     Works on all-text input (CSV) and on typed input (Parquet) alike. A pure
-    projection: a query that needs two of the columns still scans only those.
+    projection: a query that needs two of the columns still scans only those. Columns
+    derived from absent ones are left out.
     """
     types = {field.name: field.dataType for field in raw.schema.fields}
     day = F.col("date_purchase")
     gmv = F.col("gmv_success")
-    tickets = F.col("total_tickets_quantity_success")
-
-    typed = raw.withColumns(
-        {
-            "date_purchase": parse_date(day, types["date_purchase"]),
-            "time_purchase_hour": parse_hour(F.col("time_purchase").cast("string")),
-            "gmv_success": parse_number(gmv, types["gmv_success"]),
-            "total_tickets_quantity_success": whole_number(
-                parse_number(tickets, types["total_tickets_quantity_success"])
-            ),
-        }
-    )
+    tickets_name = "total_tickets_quantity_success"
+    tickets = F.col(tickets_name)
+
+    typed = {
+        "date_purchase": parse_date(day, types["date_purchase"]),
+        "time_purchase_hour": parse_hour(F.col("time_purchase").cast("string")),
+        "gmv_success": parse_number(gmv, types["gmv_success"]),
+    }
     derived = {
         "purchase_year_month": F.trunc(day, "MM"),
         "purchase_day_of_week": F.date_format(day, "EEEE"),
         "purchase_month": F.date_format(day, "MMMM"),
         "purchase_year": F.year(day),
         "purchase_day": F.dayofmonth(day),
-        "avg_ticket_price": F.when(tickets > 0, gmv / tickets).otherwise(F.lit(0.0)),
-        "route": route(F.col("place_origin_departure"), F.col("place_destination_departure")),
     }
-    if {"place_origin_return", "place_destination_return"} <= set(raw.columns):
+    if tickets_name in types:
+        typed[tickets_name] = whole_number(parse_number(tickets, types[tickets_name]))
+        derived["avg_ticket_price"] = F.when(tickets > 0, gmv / tickets).otherwise(F.lit(0.0))
+    if {"place_origin_departure", "place_destination_departure"} <= set(types):
+        derived["route"] = route(
+            F.col("place_origin_departure"), F.col("place_destination_departure")
+        )
+    if {"place_origin_return", "place_destination_return"} <= set(types):
         back = F.col("place_origin_return").cast("string")
         derived["has_return"] = back.isNotNull() & (F.coalesce(back, F.lit("")) != NO_RETURN_PLACE)
-    return typed.withColumns(derived)
+    return raw.withColumns(typed).withColumns(derived)

@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farebox.functions.measures import month_offset
+from farebox.operators.skew import join_per_key
+from farebox.staging import stage
 
 KEY = "fk_contact"
 
@@ -11,9 +13,9 @@ KEY = "fk_contact"
 def cohort_counts(purchases: DataFrame, unit: str = "purchases") -> DataFrame:
     """Distinct purchases (or customers) per first month and months since.
 
-    ``purchases``: every purchase meets its customer's first month in a join, which
-    AQE splits when one customer holds much of the data; distinct ids are then counted
-    in two steps keyed by id first. ``customers``: one row per customer and month.
+    ``purchases``: every purchase meets its customer's first month in a join that keeps
+    very large customers out of the shuffle; distinct ids are then counted in two steps
+    keyed by id first. ``customers``: one row per customer and month.
     """
     rows = purchases.where(F.col(KEY).isNotNull() & F.col("date_purchase").isNotNull()).select(
         KEY, F.trunc("date_purchase", "MM").alias("month"), "nk_ota_localizer_id"
@@ -27,8 +29,10 @@ def cohort_counts(purchases: DataFrame, unit: str = "purchases") -> DataFrame:
         )
         counted = F.count(F.lit(1))
     elif unit == "purchases":
-        firsts = rows.groupBy(KEY).agg(F.min("month").alias("primeira_compra"))
-        dated = rows.join(firsts, KEY)
+        firsts = rows.groupBy(KEY).agg(
+            F.min("month").alias("primeira_compra"), F.count(F.lit(1)).alias("n")
+        )
+        dated = join_per_key(rows, stage(firsts, "first-months"), KEY, "n")
         counted = F.count_distinct("nk_ota_localizer_id")
     else:
         raise ValueError("unit is 'purchases' or 'customers'")

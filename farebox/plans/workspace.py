@@ -14,7 +14,7 @@ from farebox.operators import cohort, cycle, rankings
 from farebox.operators import rfm as rfm_operators
 from farebox.operators.decisions import best_contact_slot
 from farebox.sources.reader import conform, is_csv, read_raw
-from farebox.sources.star_schema import raw_purchases
+from farebox.sources.star_schema import order_purchases, raw_purchases
 from farebox.staging import stage
 
 
@@ -23,22 +23,23 @@ class Workspace:
 
     ``purchases`` stays a lazy plan, so an analysis of customers, dates and values scans
     only those columns. ``trips`` are the same rows for analyses that also need places,
-    companies or tickets; where getting those costs joins, they are staged on first use
-    (``stage_trips``). The other staged tables are one row per customer, or smaller.
+    companies or tickets. Where getting those takes joins, ``slim`` gives the purchases
+    without them, and the trips are staged on first use. The other staged tables are one
+    row per customer, or smaller.
     """
 
     def __init__(
-        self, raw: DataFrame, as_of: datetime.date | None = None, stage_trips: bool = False
+        self, raw: DataFrame, as_of: datetime.date | None = None, slim: DataFrame | None = None
     ):
         self.raw = raw
         self.as_of = as_of
-        self.stage_trips = stage_trips
-        self.purchases = clean_purchases(raw)
+        self.slim = slim
+        self.purchases = clean_purchases(raw if slim is None else slim)
         self.spark: SparkSession = raw.sparkSession
 
     @classmethod
     def on_star_schema(cls, spark: SparkSession, folder: str, as_of: datetime.date) -> "Workspace":
-        return cls(raw_purchases(spark, folder), as_of, stage_trips=True)
+        return cls(raw_purchases(spark, folder), as_of, order_purchases(spark, folder))
 
     @classmethod
     def read(
@@ -53,7 +54,7 @@ class Workspace:
 
     @cached_property
     def raw_trips(self) -> DataFrame:
-        return stage(self.raw, "purchases") if self.stage_trips else self.raw
+        return self.raw if self.slim is None else stage(self.raw, "purchases")
 
     @cached_property
     def trips(self) -> DataFrame:

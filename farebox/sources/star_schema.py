@@ -1,6 +1,6 @@
 """Purchases derived from an orders / lineitem star schema, or from an event log."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.functions.fixed_values import NO_RETURN_COMPANY, NO_RETURN_PLACE, PURCHASE_COLUMNS
@@ -10,21 +10,30 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _keyed(table: DataFrame, key: str, value: str, alias: str) -> DataFrame:
-    """``key -> value`` with one row per key.
+def _order_columns() -> list[Column]:
+    return [
+        F.col("o_orderkey").cast("string").alias("nk_ota_localizer_id"),
+        F.col("o_custkey").cast("string").alias("fk_contact"),
+        F.col("o_orderdate").cast("date").alias("date_purchase"),
+        _clock(F.col("o_orderkey") * 7919 % 86400).alias("time_purchase"),
+        F.col("o_totalprice").alias("gmv_success"),
+    ]
 
-    Grouping by the key tells Catalyst that it is unique, so a query that does not
-    use the value drops the whole join and never scans the table.
-    """
-    return table.groupBy(key).agg(F.max(value).alias(alias))
+
+def order_purchases(spark: SparkSession, folder: str) -> DataFrame:
+    """One purchase per order with the columns that need no join: id, customer, date,
+    time and value."""
+    return _table(spark, folder, "orders").select(*_order_columns())
 
 
 def raw_purchases(spark: SparkSession, folder: str) -> DataFrame:
-    """One purchase per order, typed.
+    """One purchase per order, all columns, typed.
 
     The first and last line of each order are found by aggregates on the line order
     (not by a window), so lines are combined before the shuffle and a very large
-    order costs no more than a small one.
+    order costs no more than a small one. Names are attached to customers and suppliers
+    before these meet the orders; those joins have a plain shuffle on either side, which
+    AQE splits when one customer or supplier holds much of the orders.
     """
     line = F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_returnflag")
     legs = (
@@ -36,16 +45,16 @@ def raw_purchases(spark: SparkSession, folder: str) -> DataFrame:
             F.max(line).alias("last_line"),
         )
     )
-    nations = _keyed(_table(spark, folder, "nation"), "n_nationkey", "n_name", "nation")
+    nation = _table(spark, folder, "nation")
     customers = (
-        _keyed(_table(spark, folder, "customer"), "c_custkey", "c_nationkey", "c_nation")
-        .join(nations, F.col("c_nation") == F.col("n_nationkey"), "left")
-        .select("c_custkey", F.col("nation").alias("origin"))
+        _table(spark, folder, "customer")
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .select("c_custkey", F.col("n_name").alias("origin"))
     )
     suppliers = (
-        _keyed(_table(spark, folder, "supplier"), "s_suppkey", "s_nationkey", "s_nation")
-        .join(nations, F.col("s_nation") == F.col("n_nationkey"), "left")
-        .select("s_suppkey", F.col("nation").alias("destination"))
+        _table(spark, folder, "supplier")
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+        .select("s_suppkey", F.col("n_name").alias("destination"))
     )
 
     flat = (
@@ -55,13 +64,9 @@ def raw_purchases(spark: SparkSession, folder: str) -> DataFrame:
         .join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(suppliers, F.col("supplier") == F.col("s_suppkey"), "left")
     )
-    second = F.col("o_orderkey") * 7919 % 86400
     returns = F.coalesce(F.col("last_line.l_returnflag"), F.lit("N")) == "R"
     return flat.select(
-        F.col("o_orderkey").cast("string").alias("nk_ota_localizer_id"),
-        F.col("o_custkey").cast("string").alias("fk_contact"),
-        F.col("o_orderdate").cast("date").alias("date_purchase"),
-        _clock(second).alias("time_purchase"),
+        *_order_columns(),
         F.col("origin").alias("place_origin_departure"),
         F.col("destination").alias("place_destination_departure"),
         F.when(returns, F.col("destination"))
@@ -74,9 +79,8 @@ def raw_purchases(spark: SparkSession, folder: str) -> DataFrame:
         F.when(returns, F.col("last_line.l_suppkey").cast("string"))
         .otherwise(NO_RETURN_COMPANY)
         .alias("fk_return_ota_bus_company"),
-        F.col("o_totalprice").alias("gmv_success"),
         F.coalesce(F.col("tickets"), F.lit(0)).cast("int").alias("total_tickets_quantity_success"),
-    )
+    ).select(*PURCHASE_COLUMNS)
 
 
 def raw_event_purchases(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,7 +111,7 @@ def as_text(purchases: DataFrame) -> DataFrame:
     return purchases.select(*[F.col(name).cast("string") for name in PURCHASE_COLUMNS])
 
 
-def _clock(second):
+def _clock(second: Column) -> Column:
     two = lambda part: F.lpad(part.cast("string"), 2, "0")
     return F.concat(
         two(F.floor(second / 3600).cast("int")),
