@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farebox.functions.fixed_values import NO_RETURN_PLACE, ROUTE_SEPARATOR
+from farebox.functions.calendar import name_of, weekday_number
+from farebox.functions.fixed_values import (
+    MONTHS_EN,
+    NO_RETURN_PLACE,
+    ROUTE_SEPARATOR,
+    WEEKDAYS_EN,
+)
 
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 CLOCK_TIME = r"^([01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d$"
@@ -24,7 +30,7 @@ def parse_date(value: Column, dtype: T.DataType) -> Column:
 
 def parse_hour(value: Column) -> Column:
     """Hour of ``H:M:S`` text; null when it is no clock time."""
-    return F.when(value.rlike(CLOCK_TIME), F.split_part(value, F.lit(":"), F.lit(1)).cast("int"))
+    return F.when(value.rlike(CLOCK_TIME), F.substring_index(value, ":", 1).try_cast("int"))
 
 
 def parse_number(value: Column, dtype: T.DataType) -> Column:
@@ -65,8 +71,8 @@ def clean_purchases(raw: DataFrame) -> DataFrame:
     }
     derived = {
         "purchase_year_month": F.trunc(day, "MM"),
-        "purchase_day_of_week": F.date_format(day, "EEEE"),
-        "purchase_month": F.date_format(day, "MMMM"),
+        "purchase_day_of_week": name_of(WEEKDAYS_EN, weekday_number(day)),
+        "purchase_month": name_of(MONTHS_EN, F.month(day) - 1),
         "purchase_year": F.year(day),
         "purchase_day": F.dayofmonth(day),
     }

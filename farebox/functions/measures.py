@@ -1,6 +1,6 @@
 """Small expressions used by several operators."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Money is summed as a decimal: the total does not depend on how rows are spread.
@@ -35,6 +35,20 @@ def scalar_struct(one_row: DataFrame) -> Column:
     return one_row.select(F.struct(*one_row.columns)).scalar()
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: dict[str, str]) -> DataFrame:
+    """A few rows known to the driver, as a plan of constants."""
+    structs = [
+        F.struct(
+            *[
+                F.lit(value).cast(kind).alias(name)
+                for value, (name, kind) in zip(row, schema.items())
+            ]
+        )
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def month_offset(later: Column, earlier: Column) -> Column:
     """Whole months between two first-of-month dates."""
     return (F.year(later) - F.year(earlier)) * 12 + F.month(later) - F.month(earlier)

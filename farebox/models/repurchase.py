@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.functions.fixed_values import HORIZONS, MIN_LABELLED_ROWS, REPURCHASE_FOREST
+from farebox.functions.measures import literal_rows
 from farebox.models.features import FEATURES, LABELS, in_training
 from farebox.models.forest import (
     count_where,
@@ -85,10 +86,18 @@ def repurchase_model(spark: SparkSession, models: RepurchaseModels) -> DataFrame
         (horizon, *size_of(forest), forest.numClasses, models.train_rows, models.test_rows)
         for horizon, forest in models.forests.items()
     ]
-    return spark.createDataFrame(
+    return literal_rows(
+        spark,
         rows,
-        "horizon_days int, trees int, depth int, nodes int, classes int, "
-        "train_rows bigint, test_rows bigint",
+        {
+            "horizon_days": "int",
+            "trees": "int",
+            "depth": "int",
+            "nodes": "int",
+            "classes": "int",
+            "train_rows": "bigint",
+            "test_rows": "bigint",
+        },
     )
 
 
@@ -98,8 +107,10 @@ def repurchase_importance(spark: SparkSession, models: RepurchaseModels) -> Data
         for horizon, forest in models.forests.items()
         for position, (feature, value) in enumerate(importances(forest), start=1)
     ]
-    return spark.createDataFrame(
-        rows, "horizon_days int, position int, feature string, importance double"
+    return literal_rows(
+        spark,
+        rows,
+        {"horizon_days": "int", "position": "int", "feature": "string", "importance": "double"},
     )
 
 
@@ -152,10 +163,19 @@ def repurchase_metrics(models: RepurchaseModels, scores: DataFrame) -> DataFrame
                 models.labelled_rows >= MIN_LABELLED_ROWS,
             )
         )
-    return scores.sparkSession.createDataFrame(
+    return literal_rows(
+        scores.sparkSession,
         rows,
-        "horizon_days int, auc double, f1 double, auc_of_answers double, labelled_rows bigint, "
-        "train_rows bigint, test_rows bigint, enough_data boolean",
+        {
+            "horizon_days": "int",
+            "auc": "double",
+            "f1": "double",
+            "auc_of_answers": "double",
+            "labelled_rows": "bigint",
+            "train_rows": "bigint",
+            "test_rows": "bigint",
+            "enough_data": "boolean",
+        },
     )
 
 

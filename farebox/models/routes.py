@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.functions.fixed_values import MIN_ROUTE_CUSTOMERS, ROUTE_FOREST
+from farebox.functions.measures import literal_rows
 from farebox.models.features import FEATURES, in_training
 from farebox.models.forest import (
     enough,
@@ -56,12 +57,17 @@ def _with_label(features: DataFrame, routes: list[str]) -> DataFrame:
     return indexer.transform(features)
 
 
-def fit_routes(features: DataFrame, forest: dict = ROUTE_FOREST) -> RouteModel:
+def fit_routes(
+    features: DataFrame, forest: dict = ROUTE_FOREST, max_customers: int | None = None
+) -> RouteModel:
     """Fit the route forest on the training side. Pass staged ``route_features``.
 
     The classes are all routes in the features, in alphabetical order, whether or not
     the training side has them, so a class number always means the same route.
+    ``max_customers`` fits on a repeatable sample; by default all customers are used.
     """
+    if max_customers is not None:
+        features = features.orderBy(F.md5(KEY), KEY).limit(max_customers)
     side = in_training(F.col(KEY))
     sizes = features.agg(
         F.count(F.lit(1)).alias("all"),
@@ -88,9 +94,17 @@ def route_model(spark: SparkSession, model: RouteModel) -> DataFrame:
         model.train_rows,
         model.customers - model.train_rows,
     )
-    return spark.createDataFrame(
+    return literal_rows(
+        spark,
         [row],
-        "trees int, depth int, nodes int, classes int, train_rows bigint, test_rows bigint",
+        {
+            "trees": "int",
+            "depth": "int",
+            "nodes": "int",
+            "classes": "int",
+            "train_rows": "bigint",
+            "test_rows": "bigint",
+        },
     )
 
 
@@ -122,7 +136,9 @@ def route_importance(spark: SparkSession, model: RouteModel) -> DataFrame:
         (position, feature, value)
         for position, (feature, value) in enumerate(importances(model.forest), start=1)
     ]
-    return spark.createDataFrame(rows, "position int, feature string, importance double")
+    return literal_rows(
+        spark, rows, {"position": "int", "feature": "string", "importance": "double"}
+    )
 
 
 def profiles_of(rfm: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Contact timing, segment profiles and business highlights."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farebox.functions.calendar import name_of, weekday_number
@@ -18,7 +18,7 @@ from farebox.functions.fixed_values import (
     STRATEGY_OTHERWISE,
     WEEKDAYS_PT,
 )
-from farebox.functions.measures import money_sum, round2, scalar_struct
+from farebox.functions.measures import literal_rows, money_sum, round2, scalar_struct
 from farebox.operators.rankings import top
 
 
@@ -101,15 +101,14 @@ def contact_plan(scores: DataFrame, slot: DataFrame) -> DataFrame:
     ).drop("slot")
 
 
-def segment_dimension(spark) -> DataFrame:
+def segment_dimension(spark: SparkSession) -> DataFrame:
     """Description, priority group and strategies of the eight named segments."""
     rows = [
-        (name, description, "blue" if name in BLUE_SEGMENTS else "orange", strategies)
+        (name, description, "blue" if name in BLUE_SEGMENTS else "orange", "; ".join(strategies))
         for name, (description, strategies) in SEGMENT_STRATEGIES.items()
     ]
-    return spark.createDataFrame(
-        rows, "Segment string, description string, priority string, strategies array<string>"
-    )
+    names = ["Segment", "description", "priority", "strategies"]
+    return literal_rows(spark, rows, dict.fromkeys(names, "string"))
 
 
 def segment_profiles(segments: DataFrame, personas: DataFrame | None = None) -> DataFrame:
@@ -137,7 +136,6 @@ def segment_profiles(segments: DataFrame, personas: DataFrame | None = None) ->
                 "customers": F.coalesce("customers", F.lit(0)),
                 "total_value": F.coalesce("total_value", F.lit(0.0)),
                 "mean_value": F.coalesce(F.col("total_value") / F.col("customers"), F.lit(0.0)),
-                "strategies": F.array_join("strategies", "; "),
             }
         )
     )

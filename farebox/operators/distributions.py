@@ -95,7 +95,8 @@ def ticket_price_density(prices: DataFrame, points: int = DENSITY_POINTS) -> Dat
 
     The bandwidth is Scott's, ``std * n ** -0.2``. Prices are first counted in bins a
     sixteenth of the bandwidth wide, which moves no price by more than a thirty-second
-    of it; the curve is then a sum over bins, not over rows.
+    of it; the curve is then a sum over bins, not over rows. Prices that are all equal
+    have no density.
     """
     price = F.col("price")
     moments = prices.agg(
@@ -106,9 +107,8 @@ def ticket_price_density(prices: DataFrame, points: int = DENSITY_POINTS) -> Dat
     )
     # Rounding the bandwidth keeps the last bits of the deviation, which depend on
     # the order of summing, from moving a price into the next bin.
-    known = scalar_struct(
-        moments.select("n", "low", "high", F.round(F.col("std") * F.pow("n", F.lit(-0.2)), 4).alias("h"))
-    )
+    bandwidth = F.round(F.col("std") * F.pow("n", F.lit(-0.2)), 4)
+    known = scalar_struct(moments.select("low", "high", F.nullif(bandwidth, F.lit(0.0)).alias("h")))
     low, high, h = F.col("known.low"), F.col("known.high"), F.col("known.h")
     fine = (
         prices.withColumn("known", known)

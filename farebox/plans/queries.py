@@ -6,19 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from farebox.functions.cleaning import clean_purchases
-from farebox.models import features as model_features
-from farebox.models import repurchase as repurchase_operators
-from farebox.models import routes as route_operators
-from farebox.operators import (
-    cart,
-    cohort,
-    cycle,
-    decisions,
-    distributions,
-    overview,
-    rankings,
-)
-from farebox.operators import rfm as rfm_operators
+from farebox.operators import overview
+from farebox.plans.reports import REPORTS
 from farebox.plans.workspace import Workspace
 from farebox.sources.star_schema import as_text, raw_event_purchases
 
@@ -26,30 +15,6 @@ from farebox.sources.star_schema import as_text, raw_event_purchases
 AS_OF = datetime.date(2001, 9, 1)
 EVENTS_AS_OF = datetime.date(2024, 2, 1)
 
-_workspaces: dict[tuple[str, str, str], Workspace] = {}
-
-
-def workspace(spark: SparkSession, folder: str, source: str = "orders") -> Workspace:
-    """The session's workspace on a folder; its staged tables and models are shared."""
-    key = (spark.conf.get("spark.app.id"), folder, source)
-    if key not in _workspaces:
-        if source == "orders":
-            _workspaces[key] = Workspace.on_star_schema(spark, folder, AS_OF)
-        else:
-            _workspaces[key] = Workspace(raw_event_purchases(spark, folder), EVENTS_AS_OF)
-    return _workspaces[key]
-
-
-def forget_workspaces() -> None:
-    """Start over: later queries stage and fit again."""
-    _workspaces.clear()
-
-
-def _from_text(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    raw = as_text(workspace(spark, folder).raw_trips)
-    return raw, clean_purchases(raw)
-
-
 PURCHASES_CLEAN_COLUMNS = [
     "nk_ota_localizer_id",
     "fk_contact",
@@ -68,138 +33,49 @@ PURCHASES_CLEAN_COLUMNS = [
     "route",
 ]
 
+# Analyses that also run over the event log, which has real clock times.
+EVENT_REPORTS = {
+    "events_kpi_overview": "kpi_overview",
+    "events_weekday_hour_counts": "weekday_hour_counts",
+    "events_rfm_segments": "rfm_segments",
+    "events_interval_stats": "interval_stats",
+    "events_next_purchase_labels": "next_purchase_labels",
+}
 
-def purchases_clean(spark, folder):
-    return _from_text(spark, folder)[1].select(*PURCHASES_CLEAN_COLUMNS)
-
-
-def ingest_profile(spark, folder):
-    return overview.ingest_profile(*_from_text(spark, folder))
+_workspaces: dict[tuple[str, str, str], Workspace] = {}
 
 
-def top_route_purchases(spark, folder):
-    w = workspace(spark, folder)
-    columns = ["nk_ota_localizer_id", "fk_contact", "date_purchase", "route", "gmv_success"]
-    return rankings.purchases_on_routes(w.trips, w.top_routes).select(*columns)
+def workspace(spark: SparkSession, folder: str, source: str = "orders") -> Workspace:
+    """The session's workspace on a folder; its staged tables and models are shared."""
+    key = (spark.conf.get("spark.app.id"), folder, source)
+    if key not in _workspaces:
+        if source == "orders":
+            _workspaces[key] = Workspace.on_star_schema(spark, folder, AS_OF)
+        else:
+            _workspaces[key] = Workspace(raw_event_purchases(spark, folder), EVENTS_AS_OF)
+    return _workspaces[key]
 
 
-def contact_plan(spark, folder):
-    w = workspace(spark, folder)
-    profiles = w.segments.select("fk_contact", "Segment", *model_features.FEATURES)
-    return decisions.contact_plan(w.repurchase.score(profiles), w.contact_slot)
+def _from_text(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    raw = as_text(workspace(spark, folder).raw_trips)
+    return raw, clean_purchases(raw)
 
 
-def _over_purchases(operator: Callable, source: str = "orders") -> Callable:
-    return lambda spark, folder: operator(workspace(spark, folder, source).purchases)
+def purchases_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return _from_text(spark, folder)[1].select(*PURCHASES_CLEAN_COLUMNS)
 
 
-def _over_trips(operator: Callable) -> Callable:
-    return lambda spark, folder: operator(workspace(spark, folder).trips)
+def ingest_profile(spark: SparkSession, folder: str) -> DataFrame:
+    return overview.ingest_profile(*_from_text(spark, folder))
 
 
-def _over(operator: Callable, source: str = "orders") -> Callable:
-    return lambda spark, folder: operator(workspace(spark, folder, source))
+def _query(report: Callable, source: str = "orders") -> Callable:
+    return lambda spark, folder: report(workspace(spark, folder, source))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    # Ingestion
     "purchases_clean": purchases_clean,
     "ingest_profile": ingest_profile,
-    # Overview and seasonality
-    "kpi_overview": _over_trips(overview.kpi_overview),
-    "gmv_by_month": _over_purchases(overview.gmv_by_month),
-    "gmv_by_weekday": _over_purchases(overview.gmv_by_weekday),
-    "gmv_by_hour": _over_purchases(overview.gmv_by_hour),
-    "gmv_by_calendar_month": _over_purchases(overview.gmv_by_calendar_month),
-    "purchases_by_weekday": _over_purchases(overview.purchases_by_weekday),
-    "purchases_by_hour": _over_purchases(overview.purchases_by_hour),
-    "weekday_hour_counts": _over_purchases(overview.weekday_hour_counts),
-    "weekday_hour_grid": _over_purchases(overview.weekday_hour_grid),
-    "best_contact_slot": _over_purchases(decisions.best_contact_slot),
-    # Customer value and segments
-    "rfm": _over_purchases(lambda p: rfm_operators.rfm(p, AS_OF)),
-    "rfm_excluded_rows": _over_purchases(rfm_operators.excluded_from_rfm),
-    "rfm_quartiles": _over(lambda w: w.quartiles),
-    "rfm_segments": _over(lambda w: w.segments),
-    "segment_report": _over(lambda w: rfm_operators.segment_report(w.segments)),
-    "segment_profiles": _over(lambda w: decisions.segment_profiles(w.segments)),
-    "rfm_sample": _over(lambda w: rfm_operators.rfm_sample(w.segments)),
-    "rfm_histograms": _over(lambda w: distributions.rfm_histograms(w.rfm)),
-    # Purchase cycle
-    "purchase_intervals": _over_purchases(cycle.purchase_intervals),
-    "interval_stats": _over(lambda w: cycle.interval_stats(w.interval_lengths)),
-    "interval_stats_180": _over(lambda w: cycle.interval_stats_180(w.interval_lengths)),
-    "interval_histogram": _over(lambda w: distributions.interval_histogram(w.interval_lengths)),
-    "interval_by_segment": _over(
-        lambda w: cycle.interval_by_segment(cycle.purchase_intervals(w.purchases), w.segments)
-    ),
-    "next_purchase_labels": _over_purchases(cycle.next_purchase_labels),
-    "next_purchase_one_per_customer": _over_purchases(
-        lambda p: cycle.next_purchase_labels(p, one_per_customer=True)
-    ),
-    "conversion_by_segment": _over(lambda w: cycle.conversion_by_segment(w.labels, w.segments)),
-    # Cohorts
-    "cohort_counts": _over_purchases(cohort.cohort_counts),
-    "cohort_customers": _over_purchases(lambda p: cohort.cohort_counts(p, "customers")),
-    "cohort_retention": _over(lambda w: w.retention),
-    "retention_curve": _over(lambda w: cohort.retention_curve(w.retention)),
-    "cohort_grid": _over(lambda w: cohort.cohort_grid(w.retention)),
-    "cohort_grid_rows": _over(lambda w: cohort.grid_to_rows(cohort.cohort_grid(w.retention))),
-    # Rankings
-    "route_ranking": _over_trips(rankings.route_ranking),
-    "origin_ranking": _over_trips(rankings.origin_ranking),
-    "destination_ranking": _over_trips(rankings.destination_ranking),
-    "company_ranking": _over_trips(rankings.company_ranking),
-    "customer_ranking": _over(lambda w: rankings.customer_ranking(w.customer_totals)),
-    "business_highlights": _over_trips(decisions.business_highlights),
-    # Cart
-    "same_company_share": _over_trips(cart.same_company_share),
-    "tickets_distribution": _over_trips(cart.tickets_distribution),
-    "avg_ticket_price": _over_trips(cart.avg_ticket_price),
-    "round_trip_comparison": _over_trips(cart.round_trip_comparison),
-    "ticket_price_histogram": _over_trips(
-        lambda p: distributions.ticket_price_histogram(cart.ticket_prices(p))
-    ),
-    "ticket_price_density": _over_trips(
-        lambda p: distributions.ticket_price_density(cart.ticket_prices(p))
-    ),
-    "purchase_count_histogram": _over_purchases(distributions.purchase_count_histogram),
-    # Model inputs
-    "repurchase_features": _over(lambda w: w.repurchase_features),
-    "repurchase_features_point_in_time": _over(
-        lambda w: model_features.point_in_time_features(w.labels, w.purchases)
-    ),
-    "train_test_split": _over(lambda w: model_features.train_test_split(w.repurchase_features)),
-    "top_route_purchases": top_route_purchases,
-    "route_features": _over(lambda w: w.route_features),
-    "route_baseline": _over(lambda w: model_features.route_baseline(w.route_features)),
-    # Models
-    "repurchase_model": _over(
-        lambda w: repurchase_operators.repurchase_model(w.spark, w.repurchase)
-    ),
-    "repurchase_metrics": _over(
-        lambda w: repurchase_operators.repurchase_metrics(w.repurchase, w.repurchase_scores)
-    ),
-    "repurchase_importance": _over(
-        lambda w: repurchase_operators.repurchase_importance(w.spark, w.repurchase)
-    ),
-    "repurchase_scores": _over(lambda w: w.repurchase_scores),
-    "timing_scores": _over(lambda w: w.repurchase.score(route_operators.profiles_of(w.rfm))),
-    "top_repurchase_customers": _over(
-        lambda w: repurchase_operators.top_repurchase_customers(w.repurchase_scores, w.segments)
-    ),
-    "route_model": _over(lambda w: route_operators.route_model(w.spark, w.routes)),
-    "route_metrics": _over(lambda w: route_operators.route_metrics(w.routes, w.route_features)),
-    "route_importance": _over(lambda w: route_operators.route_importance(w.spark, w.routes)),
-    "route_recommendations": _over(
-        lambda w: w.routes.recommend(route_operators.profiles_of(w.rfm))
-    ),
-    # Decisions
-    "contact_plan": contact_plan,
-    # The same operators over the event log, which has real clock times
-    "events_kpi_overview": _over_purchases(overview.kpi_overview, "events"),
-    "events_weekday_hour_counts": _over_purchases(overview.weekday_hour_counts, "events"),
-    "events_rfm_segments": _over(lambda w: w.segments, "events"),
-    "events_interval_stats": _over(lambda w: cycle.interval_stats(w.interval_lengths), "events"),
-    "events_next_purchase_labels": _over_purchases(cycle.next_purchase_labels, "events"),
+    **{name: _query(report) for name, report in REPORTS.items()},
+    **{name: _query(REPORTS[report], "events") for name, report in EVENT_REPORTS.items()},
 }
