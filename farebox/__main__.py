@@ -16,8 +16,8 @@ def main() -> None:
     parser.add_argument("--as-of", type=datetime.date.fromisoformat, help="default: today")
     parser.add_argument("--only", help="comma-separated analyses; default: all")
     args = parser.parse_args()
-    names = args.only.split(",") if args.only else list(REPORTS)
-    unknown = sorted(set(names) - set(REPORTS))
+    names = args.only.split(",") if args.only else None
+    unknown = sorted(set(names or []) - set(REPORTS))
     if unknown:
         parser.error(f"unknown analyses {', '.join(unknown)}; there are {', '.join(REPORTS)}")
     spark = SparkSession.builder.appName("farebox").getOrCreate()

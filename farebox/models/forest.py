@@ -11,19 +11,27 @@ from farebox.operators.cycle import KEY
 
 MAX_BINS = 128
 MEMORY_MB = 512
+SMALL_TASK_ROWS = 2_000
+LARGE_TASK_ROWS = 250_000
+MANY_TASKS = 1_000
 
 
 def with_vector(profiles: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(profiles)
 
 
-def training_layout(rows: DataFrame) -> DataFrame:
-    """Rows in a layout that does not depend on how they were read.
+def training_tasks(n: int) -> int:
+    """Partitions for n training rows: small ones up to a thousand, then larger ones."""
+    return max(1, min(-(-n // SMALL_TASK_ROWS), MANY_TASKS), -(-n // LARGE_TASK_ROWS))
+
+
+def training_layout(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows in a layout that depends on nothing but the rows.
 
     Bagging draws from one random stream per partition, so equal partitions in equal
-    order give equal forests.
+    order give equal forests, on any cluster and however the rows were read.
     """
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = training_tasks(n)
     order = [KEY, *[name for name in rows.columns if name not in (KEY, "features")]]
     return rows.repartition(partitions, KEY).sortWithinPartitions(*order)
 

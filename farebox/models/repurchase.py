@@ -63,10 +63,12 @@ def fit_repurchase(
     sizes = features.agg(
         F.coalesce(F.sum("purchases"), F.lit(0)).alias("all"),
         F.coalesce(F.sum(F.when(side, F.col("purchases"))), F.lit(0)).alias("train"),
+        F.count_if(side).alias("train_lines"),
     ).first()
     enough(sizes["train"], MIN_LABELLED_ROWS)
     train = training_layout(
-        with_vector(features.where(side)).select(KEY, "features", *LABELS, "purchases")
+        with_vector(features.where(side)).select(KEY, "features", *LABELS, "purchases"),
+        sizes["train_lines"],
     ).persist()
     try:
         with ThreadPool(len(horizons)) as pool:

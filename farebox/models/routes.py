@@ -78,7 +78,8 @@ def fit_routes(
     enough(sizes["train"], MIN_ROUTE_CUSTOMERS)
     routes = list(sizes["routes"])
     train = training_layout(
-        with_vector(_with_label(features.where(side), routes)).select(KEY, "features", "label")
+        with_vector(_with_label(features.where(side), routes)).select(KEY, "features", "label"),
+        sizes["train"],
     ).persist()
     try:
         fitted = fit_forest(train, "label", None, **forest)

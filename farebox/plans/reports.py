@@ -56,7 +56,7 @@ REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
     "next_purchase_one_per_customer": lambda w: cycle.next_purchase_labels(w.purchases, True),
     "conversion_by_segment": lambda w: cycle.conversion_by_segment(w.labels, w.segments),
     # Cohorts
-    "cohort_counts": lambda w: cohort.cohort_counts(w.purchases),
+    "cohort_counts": lambda w: w.cohorts,
     "cohort_customers": lambda w: cohort.cohort_counts(w.purchases, "customers"),
     "cohort_retention": lambda w: w.retention,
     "retention_curve": lambda w: cohort.retention_curve(w.retention),
@@ -112,7 +112,20 @@ REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
 }
 
 
-def write_reports(w: Workspace, folder: str, names: Iterable[str] = REPORTS) -> None:
-    """Write the named analyses as Parquet, one folder each."""
-    for name in names:
+# Analyses of return trips, and the column without which they are left out.
+RETURN_REPORTS = {
+    "round_trip_comparison": "has_return",
+    "same_company_share": "fk_return_ota_bus_company",
+}
+
+
+def available(w: Workspace) -> list[str]:
+    """Names of the analyses the workspace's columns allow."""
+    columns = w.trips.columns
+    return [name for name in REPORTS if RETURN_REPORTS.get(name, columns[0]) in columns]
+
+
+def write_reports(w: Workspace, folder: str, names: Iterable[str] | None = None) -> None:
+    """Write the named (or all available) analyses as Parquet, one folder each."""
+    for name in available(w) if names is None else names:
         write_result(REPORTS[name](w), f"{folder}/{name}")

@@ -91,7 +91,7 @@ class Workspace:
 
     @cached_property
     def labels(self) -> DataFrame:
-        return cycle.next_purchase_labels(self.purchases)
+        return stage(cycle.next_purchase_labels(self.purchases), "labels")
 
     @cached_property
     def repurchase_features(self) -> DataFrame:

@@ -7,9 +7,9 @@ import sys
 from conftest import ROOT, SF_SMALL
 
 import __spark_entry__ as contract
-from farebox.plans.reports import REPORTS, write_reports
+from farebox.plans.reports import REPORTS, available, write_reports
 from farebox.plans.workspace import Workspace
-from farebox.sources.star_schema import raw_event_purchases
+from farebox.sources.star_schema import raw_event_purchases, raw_purchases
 
 
 def test_importing_needs_no_session():
@@ -35,6 +35,30 @@ def test_reports_are_written(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / name)).count() > 0
 
 
+def test_reports_without_return_columns(spark, edge_raw):
+    slim = edge_raw.drop("place_origin_return", "fk_return_ota_bus_company")
+    names = available(Workspace(slim, datetime.date(2024, 5, 1)))
+    assert set(REPORTS) - set(names) == {"round_trip_comparison", "same_company_share"}
+    assert set(available(Workspace(edge_raw, datetime.date(2024, 5, 1)))) == set(REPORTS)
+
+
+SPREAD = [
+    "kpi_overview", "gmv_by_month", "best_contact_slot", "rfm_segments", "segment_report",
+    "purchase_intervals", "interval_stats", "next_purchase_labels", "cohort_retention",
+    "customer_ranking", "route_features", "avg_ticket_price", "rfm_histograms",
+]
+
+
+def test_results_do_not_depend_on_partitioning(spark):
+    raw = raw_purchases(spark, SF_SMALL).cache()
+    as_of = datetime.date(2001, 9, 1)
+    one = Workspace(raw.coalesce(1), as_of)
+    many = Workspace(raw.repartition(13, "time_purchase"), as_of)
+    for name in SPREAD:
+        tables = [sorted(map(str, REPORTS[name](w).collect())) for w in (one, many)]
+        assert tables[0] == tables[1], name
+
+
 def test_shared_tables_are_made_once(spark):
     w = Workspace(raw_event_purchases(spark, SF_SMALL), datetime.date(2024, 2, 1))
     assert w.rfm is w.rfm and w.segments is w.segments

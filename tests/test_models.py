@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from farebox.functions.fixed_values import EARLY_REPURCHASE_FOREST
 from farebox.models.features import in_training
+from farebox.models.forest import training_tasks
 from farebox.models.repurchase import fit_repurchase, repurchase_metrics, repurchase_model
 from farebox.models.routes import fit_routes
 from farebox.operators.decisions import contact_strategy, probability_band
@@ -88,6 +89,17 @@ def test_no_training_rows_is_an_error(spark):
         fit_repurchase(empty)
 
 
+def test_tasks_grow_with_the_rows():
+    assert [training_tasks(n) for n in (0, 1_500, 16_001, 5_000_000)] == [1, 1, 9, 1_000]
+    assert training_tasks(10**9) == 4_000
+
+
+def test_route_sample_is_optional(spark):
+    features = workspace(spark, SF).route_features
+    assert fit_routes(features, max_customers=120).customers == 120
+    assert fit_routes(features).customers == features.count()
+
+
 def test_split_share(spark):
     keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
     share = keys.agg(F.avg(in_training(F.col("k")).cast("double"))).first()[0]
