@@ -95,7 +95,7 @@ def _stats(lengths: DataFrame) -> DataFrame:
 
 
 def interval_by_segment(intervals: DataFrame, segments: DataFrame) -> DataFrame:
-    """Mean, median and number of positive intervals per segment."""
+    """Mean, median and number of positive intervals per segment, shortest mean first."""
     days, n = F.col(GAP), F.col("n")
     return (
         intervals.where(days > 0)
@@ -108,6 +108,7 @@ def interval_by_segment(intervals: DataFrame, segments: DataFrame) -> DataFrame:
             F.round(F.percentile(days, 0.5, n), 6).alias("median_days"),
             F.sum(n).alias("intervals"),
         )
+        .orderBy("mean_days", "Segment")
     )
 
 
@@ -146,7 +147,8 @@ def next_purchase_labels(purchases: DataFrame, one_per_customer: bool = False) -
 
 
 def conversion_by_segment(labels: DataFrame, segments: DataFrame) -> DataFrame:
-    """Share of labelled purchases followed by another within each horizon."""
+    """Share of labelled purchases followed by another within each horizon, highest
+    share within 15 days first."""
     n = F.sum("purchases")
     return (
         labels.join(segments.select(KEY, "Segment"), KEY)
@@ -160,4 +162,5 @@ def conversion_by_segment(labels: DataFrame, segments: DataFrame) -> DataFrame:
             ],
             n.alias("labelled"),
         )
+        .orderBy(F.desc("conversion_15_days"), "Segment")
     )

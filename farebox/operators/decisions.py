@@ -112,8 +112,9 @@ def segment_dimension(spark: SparkSession) -> DataFrame:
 
 
 def segment_profiles(segments: DataFrame, personas: DataFrame | None = None) -> DataFrame:
-    """Size, value and mean RFM of every named segment with its text; segments without
-    customers have zeros. ``personas`` adds the descriptions of a personas file."""
+    """Size, value and mean RFM of every named segment with its text, best mean score
+    first; segments without customers have zeros. ``personas`` adds the descriptions of a
+    personas file."""
     n = F.count(F.lit(1))
 
     def mean(column):
@@ -141,7 +142,7 @@ def segment_profiles(segments: DataFrame, personas: DataFrame | None = None) ->
     )
     if personas is not None:
         profiles = profiles.join(personas, "Segment", "left")
-    return profiles
+    return profiles.orderBy(F.desc_nulls_last("mean_score"), "Segment")
 
 
 def business_highlights(purchases: DataFrame) -> DataFrame:

@@ -62,6 +62,7 @@ def gmv_by_month(purchases: DataFrame) -> DataFrame:
         .groupBy(F.trunc(DAY, "MM").alias("month"))
         .agg(money_sum(F.col(GMV)).alias("gmv"))
     )
+    # Its window also leaves the months in order.
     three = Window.orderBy("month").rowsBetween(-2, 0)
     return monthly.select(
         F.date_format("month", "yyyy-MM").alias("year_month"),

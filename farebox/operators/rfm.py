@@ -212,7 +212,8 @@ def rfm_segments(quartiles: DataFrame) -> DataFrame:
 
 
 def segment_report(segments: DataFrame) -> DataFrame:
-    """Customers, value, mean value and shares per segment (at most nine rows)."""
+    """Customers, value, mean value and shares per segment, most valuable first (at most
+    nine rows)."""
     every = Window.partitionBy()
     return (
         segments.groupBy("Segment")
@@ -229,6 +230,7 @@ def segment_report(segments: DataFrame) -> DataFrame:
                 * 100,
             }
         )
+        .orderBy(F.desc("total_value"), "Segment")
     )
 
 

@@ -16,7 +16,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a fresh local one only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
+        return configured.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.conf.get("spark.app.id")
