@@ -13,6 +13,7 @@ from farebox.functions.fixed_values import (
     MONTHS_EN,
     NO_RETURN_PLACE,
     ROUTE_SEPARATOR,
+    TEXT_COLUMNS,
     WEEKDAYS_EN,
 )
 
@@ -65,6 +66,12 @@ def clean_purchases(raw: DataFrame) -> DataFrame:
     tickets = F.col(tickets_name)
 
     typed = {
+        # Keys and markers are text whatever type a file gives them.
+        name: F.col(name).cast("string")
+        for name in TEXT_COLUMNS
+        if name in types and not isinstance(types[name], T.StringType)
+    }
+    typed |= {
         "date_purchase": parse_date(day, types["date_purchase"]),
         "time_purchase_hour": parse_hour(F.col("time_purchase").cast("string")),
         "gmv_success": parse_number(gmv, types["gmv_success"]),

@@ -16,6 +16,18 @@ PURCHASE_COLUMNS = [
     "total_tickets_quantity_success",
 ]
 
+# Those that hold keys, places and markers rather than dates or numbers.
+TEXT_COLUMNS = [
+    "nk_ota_localizer_id",
+    "fk_contact",
+    "place_origin_departure",
+    "place_destination_departure",
+    "place_origin_return",
+    "place_destination_return",
+    "fk_departure_ota_bus_company",
+    "fk_return_ota_bus_company",
+]
+
 # Other spellings under which the tickets column may arrive.
 TICKETS_COLUMN_NAMES = [
     "total_tickets_quantity_sucess",
@@ -24,6 +36,12 @@ TICKETS_COLUMN_NAMES = [
     "qtd_passagens",
 ]
 
+# Texts that stand for a missing value in CSV files.
+MISSING_TEXTS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
 # Markers of "no return trip" in the place and company columns.
 NO_RETURN_PLACE = "0"
 NO_RETURN_COMPANY = "1"

@@ -11,7 +11,7 @@ from farebox.operators.cycle import KEY
 
 MAX_BINS = 128
 MEMORY_MB = 512
-SMALL_TASK_ROWS = 2_000
+SMALL_TASK_ROWS = 50_000
 LARGE_TASK_ROWS = 250_000
 MANY_TASKS = 1_000
 

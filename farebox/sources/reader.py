@@ -4,7 +4,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.functions.cleaning import clean_purchases
-from farebox.functions.fixed_values import PURCHASE_COLUMNS, TICKETS_COLUMN_NAMES
+from farebox.functions.fixed_values import (
+    MISSING_TEXTS,
+    PURCHASE_COLUMNS,
+    TICKETS_COLUMN_NAMES,
+)
 
 OPTIONAL_COLUMNS = ["place_origin_return", "place_destination_return", "fk_return_ota_bus_company"]
 REQUIRED_COLUMNS = [name for name in PURCHASE_COLUMNS if name not in OPTIONAL_COLUMNS]
@@ -65,7 +69,11 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     if is_csv(path):
         # Without inferSchema every column is text: no pass over the data for types,
         # and rejected values can be counted afterwards.
-        return spark.read.option("header", True).option("escape", '"').csv(path)
+        text = spark.read.option("header", True).option("escape", '"').csv(path)
+        present = {c: F.col(f"`{c}`") for c in text.columns}
+        return text.select(
+            *[F.when(~value.isin(MISSING_TEXTS), value).alias(c) for c, value in present.items()]
+        )
     if path.rstrip("/").lower().endswith(".parquet"):
         return spark.read.parquet(path)
     raise ValueError(f"unsupported format: {path}; purchases are read from .csv or .parquet")

@@ -90,8 +90,8 @@ def test_no_training_rows_is_an_error(spark):
 
 
 def test_tasks_grow_with_the_rows():
-    assert [training_tasks(n) for n in (0, 1_500, 16_001, 5_000_000)] == [1, 1, 9, 1_000]
-    assert training_tasks(10**9) == 4_000
+    assert [training_tasks(n) for n in (0, 1_500, 50_001, 5_000_000)] == [1, 1, 2, 100]
+    assert training_tasks(10**8) == 1_000 and training_tasks(10**9) == 4_000
 
 
 def test_route_sample_is_optional(spark):

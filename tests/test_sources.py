@@ -87,6 +87,25 @@ def test_misspelt_columns_are_renamed(edge_raw):
     assert sorted(conform(odd).columns) == sorted(PURCHASE_COLUMNS)
 
 
+def test_missing_texts_in_csv(spark, tmp_path):
+    path = tmp_path / "few.csv"
+    path.write_text("id,who,note\n1,NULL,a\n2,NA,\n3,N,none\n")
+    rows = [tuple(r) for r in read_raw(spark, str(path)).orderBy("id").collect()]
+    assert rows == [("1", None, "a"), ("2", None, None), ("3", "N", "none")]
+
+
+def test_numeric_keys_become_text(spark, edge_raw):
+    from pyspark.sql import functions as F
+
+    from farebox.functions.cleaning import clean_purchases
+
+    numeric = edge_raw.withColumns(
+        {"fk_contact": F.lit(7), "place_origin_return": F.lit(0), "gmv_success": F.lit(2)}
+    )
+    row = clean_purchases(numeric).first()
+    assert (row.fk_contact, row.has_return, row.gmv_success) == ("7", False, 2.0)
+
+
 def test_numbers(spark):
     texts = ["1", " 2.5 ", "-3e2", "12d", "NaN", "Infinity", "", "1,5", None]
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
