@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.llm import bpe, quality_rules, sharding
+from farebox.llm import bpe, pii, quality_rules, sharding
 from farebox.llm.tables import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -37,6 +37,21 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every text."""
+    found = pii.find_spans(table(spark, folder, "documents"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"].isin(pii.BASE))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}")
+        for kind in pii.BASE
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.spans_text(base), 256).alias("base_sha256"),
+        pii.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every text and what they decode to, as digests."""
     return bpe.encode_texts(
@@ -48,6 +63,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op8_quality_rules": op8_quality_rules,
+    "op9_pii": op9_pii,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
