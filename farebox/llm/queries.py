@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.llm import bpe, pii, quality_rules, sharding
+from farebox.llm import bpe, pii, quality_classifier, quality_rules, sharding
 from farebox.llm.tables import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -28,6 +28,16 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, folder, "documents")
+    model = quality_classifier.fit(docs, table(spark, folder, "labels"))
+    return quality_classifier.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", quality_classifier.is_held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts, divergence from the languages, and the verdict."""
     judged = quality_rules.judge(table(spark, folder, "documents"), keep=["doc_id"])
@@ -62,6 +72,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
     "op10_bpe": op10_bpe,
