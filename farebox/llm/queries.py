@@ -8,12 +8,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.llm import bpe, pii, quality_classifier, quality_rules, sharding
+from farebox.llm import (
+    bpe,
+    decontamination,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    url_filter,
+)
 from farebox.llm.tables import table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that occurs in it."""
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontamination.find_leaks(docs, items, keep=["doc_id"])
+
+
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page held against a dated list, as it stood on the day of the fetch."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    captures, entries = url_filter.sample_captures(pages), url_filter.sample_list(pages)
+    return url_filter.filter_captures(captures, entries)
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Uniform shuffle into 24 shards under the law ``rows``."""
     text = F.col("text")
@@ -71,10 +92,12 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontamination": op4_decontamination,
+    "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.ORACLE_SQL}
