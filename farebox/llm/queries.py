@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from farebox.llm import (
     bpe,
     decontamination,
+    html_extraction,
     pii,
     quality_classifier,
     quality_rules,
@@ -22,6 +23,12 @@ from farebox.llm.tables import table
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_extraction.extract_text(table(spark, folder, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of a document and a benchmark item that occurs in it."""
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -92,6 +99,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
