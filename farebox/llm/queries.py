@@ -12,6 +12,7 @@ from farebox.llm import (
     bpe,
     decontamination,
     html_extraction,
+    jaccard_join,
     pii,
     quality_classifier,
     quality_rules,
@@ -29,6 +30,11 @@ def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under links of similar shingle sets."""
+    return jaccard_join.similar_components(table(spark, folder, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of a document and a benchmark item that occurs in it."""
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -100,6 +106,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_jaccard_join": op2_jaccard_join,
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
