@@ -116,7 +116,7 @@ def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
             yield np.unique(grams[a:b][whole[a:b]])
         elif b > a:
             short = words.hashes[a:b] * GRAM[k : k + b - a]
-            short[0] += GRAM[40 + b - a]
+            short[:1] += GRAM[40 + b - a]
             yield mix(short.sum(dtype=np.uint64, keepdims=True))
         else:
             yield np.zeros(0, np.uint64)
