@@ -17,6 +17,7 @@ from farebox.llm import (
     quality_classifier,
     quality_rules,
     sharding,
+    suffix_dedup,
     url_filter,
 )
 from farebox.llm.tables import table
@@ -35,6 +36,11 @@ def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, folder, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without strings that also start earlier."""
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"), keep=["doc_id"])
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of a document and a benchmark item that occurs in it."""
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -107,6 +113,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_sharding": op6_sharding,
