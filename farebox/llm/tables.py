@@ -1,7 +1,33 @@
-"""Tables the queries read."""
+"""Tables the queries read, and the code that their tasks need."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give this package to the executors, once for each application.
+
+    Tasks import it, and executors need not have it installed.
+    """
+    app = spark.conf.get("spark.app.id")
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="farebox-code-")) / "farebox-code.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
