@@ -5,7 +5,7 @@ import datetime
 
 from pyspark.sql import SparkSession
 
-from farebox.plans.reports import REPORTS, write_reports
+from farebox.plans.reports import NEEDS, REPORTS, write_reports
 from farebox.plans.workspace import Workspace
 
 
@@ -14,6 +14,7 @@ def main() -> None:
     parser.add_argument("purchases", help="a .csv or .parquet path")
     parser.add_argument("out", help="folder for the result tables")
     parser.add_argument("--as-of", type=datetime.date.fromisoformat, help="default: today")
+    parser.add_argument("--personas", help="text file of 'segment: description' lines")
     parser.add_argument("--only", help="comma-separated analyses; default: all")
     args = parser.parse_args()
     names = args.only.split(",") if args.only else None
@@ -21,8 +22,13 @@ def main() -> None:
     if unknown:
         parser.error(f"unknown analyses {', '.join(unknown)}; there are {', '.join(REPORTS)}")
     spark = SparkSession.builder.appName("farebox").getOrCreate()
-    write_reports(Workspace.read(spark, args.purchases, args.as_of), args.out, names)
-    spark.stop()
+    workspace = Workspace.read(spark, args.purchases, args.as_of, args.personas)
+    try:
+        for name in write_reports(workspace, args.out, names):
+            print(f"left out, a column is missing: {name} needs {', '.join(NEEDS[name])}")
+    finally:
+        workspace.close()
+        spark.stop()
 
 
 if __name__ == "__main__":

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farebox.functions.calendar import name_of, weekday_number
+from farebox.functions.measures import MONEY_LIMIT
 from farebox.functions.fixed_values import (
     MONTHS_EN,
     NO_RETURN_PLACE,
@@ -29,17 +30,22 @@ def parse_date(value: Column, dtype: T.DataType) -> Column:
     return value.cast("date")
 
 
-def parse_hour(value: Column) -> Column:
-    """Hour of ``H:M:S`` text; null when it is no clock time."""
-    return F.when(value.rlike(CLOCK_TIME), F.substring_index(value, ":", 1).try_cast("int"))
+def parse_second(value: Column, dtype: T.DataType) -> Column:
+    """Second of the day of ``H:M:S`` text or of a timestamp; null when it is no clock time."""
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.hour(value) * 3600 + F.minute(value) * 60 + F.second(value)
+    text = value.cast("string")
+    hour, minute, second = (F.split_part(text, F.lit(":"), F.lit(i)).try_cast("int") for i in (1, 2, 3))
+    return F.when(text.rlike(CLOCK_TIME), hour * 3600 + minute * 60 + second)
 
 
 def parse_number(value: Column, dtype: T.DataType) -> Column:
-    """Number or null. The pattern keeps out ``12d``, ``NaN`` and ``Infinity``."""
+    """Number or null. The pattern keeps out ``12d`` and ``NaN``; infinite values and values
+    of ``MONEY_LIMIT`` or more, which no sum could hold, are null as well."""
+    number = value.try_cast("double")
     if isinstance(dtype, T.StringType):
-        return F.when(value.rlike(PLAIN_NUMBER), value.try_cast("double"))
-    number = value.cast("double")
-    return F.when(~F.isnan(number), number)
+        number = F.when(value.rlike(PLAIN_NUMBER), number)
+    return F.when(~F.isnan(number) & (F.abs(number) < MONEY_LIMIT), number)
 
 
 def whole_number(value: Column) -> Column:
@@ -73,7 +79,6 @@ def clean_purchases(raw: DataFrame) -> DataFrame:
     }
     typed |= {
         "date_purchase": parse_date(day, types["date_purchase"]),
-        "time_purchase_hour": parse_hour(F.col("time_purchase").cast("string")),
         "gmv_success": parse_number(gmv, types["gmv_success"]),
     }
     derived = {
@@ -83,6 +88,10 @@ def clean_purchases(raw: DataFrame) -> DataFrame:
         "purchase_year": F.year(day),
         "purchase_day": F.dayofmonth(day),
     }
+    if "time_purchase" in types:
+        second = parse_second(F.col("time_purchase"), types["time_purchase"])
+        typed["time_purchase_second"] = second
+        typed["time_purchase_hour"] = F.floor(second / 3600).cast("int")
     if tickets_name in types:
         typed[tickets_name] = whole_number(parse_number(tickets, types[tickets_name]))
         derived["avg_ticket_price"] = F.when(tickets > 0, gmv / tickets).otherwise(F.lit(0.0))

@@ -3,13 +3,20 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Money is summed as a decimal: the total does not depend on how rows are spread.
-MONEY = "decimal(18,2)"
+# Money is summed as a decimal: the total does not depend on how rows are spread. Eight
+# places keep values as they came; sums of 10^10 values of the largest size still fit.
+MONEY = "decimal(28,8)"
+MONEY_LIMIT = 1e20
+
+
+def money(value: Column) -> Column:
+    """A value as a decimal; null if it is too large for one."""
+    return value.try_cast(MONEY)
 
 
 def money_sum(value: Column) -> Column:
     """Sum of a money column, 0 for a group that is all null."""
-    return F.coalesce(F.sum(value.cast(MONEY)).cast("double"), F.lit(0.0))
+    return F.coalesce(F.sum(money(value)).cast("double"), F.lit(0.0))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -37,6 +44,8 @@ def scalar_struct(one_row: DataFrame) -> Column:
 
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: dict[str, str]) -> DataFrame:
     """A few rows known to the driver, as a plan of constants."""
+    if not rows:
+        return spark.createDataFrame([], ", ".join(f"{n} {k}" for n, k in schema.items()))
     structs = [
         F.struct(
             *[

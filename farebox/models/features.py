@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farebox.functions.fixed_values import HORIZONS, TRAIN_PERCENT
-from farebox.functions.measures import MONEY, money_sum
+from farebox.functions.measures import MONEY, money, money_sum
 from farebox.operators.cycle import DAY, KEY, timeline
 from farebox.operators.rankings import purchases_on_routes
 
@@ -46,7 +46,7 @@ def point_in_time_features(labels: DataFrame, purchases: DataFrame) -> DataFrame
         .groupBy(KEY, DAY)
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum(F.col("gmv_success").cast(MONEY)), F.lit(0).cast(MONEY)).alias("gmv"),
+            F.coalesce(F.sum(money(F.col("gmv_success"))), F.lit(0).cast(MONEY)).alias("gmv"),
         )
     )
     before = timeline().rowsBetween(Window.unboundedPreceding, -1)
@@ -79,10 +79,14 @@ def route_features(
 ) -> DataFrame:
     """RFM over purchases on the given routes, with each customer's last route and its
     alphabetical code. One aggregate per customer; the last route is the maximum of
-    (date, time, purchase id)."""
+    (date, second of the day, purchase id); a purchase without a clock time comes before
+    the others of its day."""
     today = F.current_date() if as_of is None else F.lit(as_of)
     codes = _route_codes(routes)
-    last = F.struct("date_purchase", "time_purchase", "nk_ota_localizer_id", "route")
+    columns = purchases.columns
+    second = F.col("time_purchase_second") if "time_purchase_second" in columns else F.lit(None)
+    second = F.coalesce(second.cast("int"), F.lit(-1)).alias("second")
+    last = F.struct("date_purchase", second, "nk_ota_localizer_id", "route")
     return (
         purchases_on_routes(purchases, routes)
         .where(F.col(KEY).isNotNull() & F.col("date_purchase").isNotNull())

@@ -3,7 +3,6 @@
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from farebox.functions.fixed_values import SEED
 from farebox.models.features import FEATURES
@@ -61,23 +60,16 @@ def fit_forest(
     return forest.fit(train)
 
 
-def importances(model: RandomForestClassificationModel) -> list[tuple[str, float]]:
-    """(feature, importance), most important first."""
+def importances(model: RandomForestClassificationModel | None) -> list[tuple[str, float]]:
+    """(feature, importance), most important first; nothing for a model without data."""
+    if model is None:
+        return []
     pairs = zip(FEATURES, model.featureImportances.toArray().tolist())
     return sorted(pairs, key=lambda pair: (-pair[1], pair[0]))
 
 
-def size_of(model: RandomForestClassificationModel) -> tuple[int, int, int]:
-    """Trees, deepest tree, nodes in all."""
-    return model.getNumTrees, max(tree.depth for tree in model.trees), model.totalNumNodes
-
-
-def enough(rows: int, wanted: int) -> bool:
-    """Whether there is enough data; none at all is an error."""
-    if rows == 0:
-        raise ValueError("no rows to train on")
-    return rows >= wanted
-
-
-def count_where(condition):
-    return F.coalesce(F.sum(F.when(condition, F.col("purchases"))), F.lit(0)).cast("double")
+def size_of(model: RandomForestClassificationModel | None) -> tuple[int | None, ...]:
+    """Trees, deepest tree, nodes in all, classes; nulls for a model that had no data."""
+    if model is None:
+        return None, None, None, None
+    return model.getNumTrees, max(tree.depth for tree in model.trees), model.totalNumNodes, model.numClasses

@@ -4,7 +4,6 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,30 +12,34 @@ from farebox.functions.fixed_values import HORIZONS, MIN_LABELLED_ROWS, REPURCHA
 from farebox.functions.measures import literal_rows
 from farebox.models.features import FEATURES, LABELS, in_training
 from farebox.models.forest import (
-    count_where,
-    enough,
     fit_forest,
     importances,
     size_of,
     training_layout,
     with_vector,
 )
+from farebox.models.metrics import binary_metrics
 from farebox.operators.cycle import KEY
 
 
 @dataclass
 class RepurchaseModels:
-    """One fitted forest per horizon and the sizes they were fitted on."""
+    """One fitted forest per horizon (None without training rows) and the sizes they were
+    fitted on."""
 
-    forests: dict[int, RandomForestClassificationModel]
+    forests: dict[int, RandomForestClassificationModel | None]
     labelled_rows: int
     train_rows: int
     test_rows: int
 
     def score(self, profiles: DataFrame) -> DataFrame:
-        """``prob_<horizon>`` for any frame with recency, frequency and monetary."""
+        """``prob_<horizon>`` for any frame with recency, frequency and monetary; null where
+        there was nothing to learn from."""
         scored = with_vector(profiles)
         for horizon, forest in self.forests.items():
+            if forest is None:
+                scored = scored.withColumn(f"prob_{horizon}", F.lit(None).cast("double"))
+                continue
             named = forest.copy()
             named.setRawPredictionCol(f"raw_{horizon}")
             named.setProbabilityCol(f"both_{horizon}")
@@ -65,7 +68,8 @@ def fit_repurchase(
         F.coalesce(F.sum(F.when(side, F.col("purchases"))), F.lit(0)).alias("train"),
         F.count_if(side).alias("train_lines"),
     ).first()
-    enough(sizes["train"], MIN_LABELLED_ROWS)
+    if not sizes["train"]:
+        return RepurchaseModels(dict.fromkeys(horizons), sizes["all"], 0, sizes["all"])
     train = training_layout(
         with_vector(features.where(side)).select(KEY, "features", *LABELS, "purchases"),
         sizes["train_lines"],
@@ -85,7 +89,7 @@ def fit_repurchase(
 
 def repurchase_model(spark: SparkSession, models: RepurchaseModels) -> DataFrame:
     rows = [
-        (horizon, *size_of(forest), forest.numClasses, models.train_rows, models.test_rows)
+        (horizon, *size_of(forest), models.train_rows, models.test_rows)
         for horizon, forest in models.forests.items()
     ]
     return literal_rows(
@@ -124,61 +128,36 @@ def repurchase_scores(models: RepurchaseModels, features: DataFrame) -> DataFram
 def repurchase_metrics(models: RepurchaseModels, scores: DataFrame) -> DataFrame:
     """AUC, F1 of "buys" at 0.5 and AUC of the yes/no answers on the test side.
 
-    AUC is null where the test side has one class only.
+    AUC is null where the test side has one class only, and all three are null where there
+    is no model or no test row.
     """
     test = scores.where(~in_training(F.col(KEY)))
-    counts = []
-    for horizon in models.forests:
-        actual = F.col(f"will_buy_next_{horizon}_days") == 1
-        said = F.col(f"prob_{horizon}") > 0.5
-        counts += [
-            count_where(actual & said).alias(f"tp_{horizon}"),
-            count_where(~actual & said).alias(f"fp_{horizon}"),
-            count_where(actual & ~said).alias(f"fn_{horizon}"),
-            count_where(~actual & ~said).alias(f"tn_{horizon}"),
-        ]
-    cell = test.agg(*counts).first()
-    rows = []
-    for horizon in models.forests:
-        tp, fp, fn, tn = (cell[f"{name}_{horizon}"] for name in ("tp", "fp", "fn", "tn"))
-        auc = hard = None
-        if tp + fn > 0 and fp + tn > 0:
-            evaluator = BinaryClassificationEvaluator(
-                rawPredictionCol=f"prob_{horizon}",
-                labelCol=f"will_buy_next_{horizon}_days",
-                weightCol="purchases",
-                metricName="areaUnderROC",
-                numBins=0,
-            )
-            auc = evaluator.evaluate(test)
-            hard = (tp / (tp + fn) + tn / (fp + tn)) / 2
-        f1 = 2 * tp / (2 * tp + fp + fn) if tp + fp + fn > 0 else 0.0
-        rows.append(
-            (
-                horizon,
-                auc,
-                f1,
-                hard,
-                models.labelled_rows,
-                models.train_rows,
-                models.test_rows,
-                models.labelled_rows >= MIN_LABELLED_ROWS,
-            )
+    rows = [
+        (
+            horizon,
+            models.labelled_rows,
+            models.train_rows,
+            models.test_rows,
+            models.labelled_rows >= MIN_LABELLED_ROWS,
         )
-    return literal_rows(
+        for horizon in models.forests
+    ]
+    sizes = literal_rows(
         scores.sparkSession,
         rows,
         {
             "horizon_days": "int",
-            "auc": "double",
-            "f1": "double",
-            "auc_of_answers": "double",
             "labelled_rows": "bigint",
             "train_rows": "bigint",
             "test_rows": "bigint",
             "enough_data": "boolean",
         },
     )
+    # At most one row per horizon on either side.
+    measured = F.broadcast(binary_metrics(test, list(models.forests)))
+    return sizes.join(measured, "horizon_days", "left").select(
+        "horizon_days", "auc", "f1", "auc_of_answers", *sizes.columns[1:]
+    )
 
 
 def top_repurchase_customers(

@@ -5,51 +5,53 @@ from dataclasses import dataclass
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.functions.fixed_values import MIN_ROUTE_CUSTOMERS, ROUTE_FOREST
+from farebox.functions.fixed_values import ROUTE_FOREST
 from farebox.functions.measures import literal_rows
 from farebox.models.features import FEATURES, in_training
 from farebox.models.forest import (
-    enough,
     fit_forest,
     importances,
     size_of,
     training_layout,
     with_vector,
 )
+from farebox.models.metrics import class_metrics, top_options
 from farebox.operators.cycle import KEY
 
 
 @dataclass
 class RouteModel:
-    """The fitted forest and its route names in class order."""
+    """The fitted forest (None without training rows) and its route names in class order."""
 
-    forest: RandomForestClassificationModel
+    forest: RandomForestClassificationModel | None
     routes: list[str]
     customers: int
     train_rows: int
 
     def recommend(self, profiles: DataFrame, k: int = 3) -> DataFrame:
         """The k most likely routes of every profile, best first. Ranked inside each
-        row, so nothing is shuffled."""
-        options = F.transform(
-            vector_to_array("probability"),
-            lambda p, i: F.struct(p.alias("probability"), (-i).alias("order")),
-        )
-        best = F.slice(F.sort_array(options, asc=False), 1, k)
-        names = F.array(*[F.lit(route) for route in self.routes])
-        return (
-            self.forest.transform(with_vector(profiles))
-            .select(KEY, F.posexplode(best).alias("place", "option"))
-            .select(
-                KEY,
-                (F.col("place") + 1).alias("position"),
-                F.get(names, -F.col("option.order")).alias("route"),
-                F.col("option.probability").alias("probability"),
+        row, so nothing is shuffled. No rows without a forest."""
+        if self.forest is None:
+            nothing = {"position": "int", "route": "string", "probability": "double"}
+            return profiles.where("false").select(
+                KEY, *[F.lit(None).cast(kind).alias(name) for name, kind in nothing.items()]
             )
-        )
+        names = F.array(*[F.lit(route) for route in self.routes])
+        best = top_options(vector_to_array("probability"), names, k)
+        return ranked_options(self.forest.transform(with_vector(profiles)), best)
+
+
+def ranked_options(profiles: DataFrame, best: Column) -> DataFrame:
+    """One row per customer and place from an array of (route, probability)."""
+    return profiles.select(KEY, F.posexplode(best).alias("place", "option")).select(
+        KEY,
+        (F.col("place") + 1).alias("position"),
+        F.col("option.route").alias("route"),
+        F.col("option.probability").alias("probability"),
+    )
 
 
 def _with_label(features: DataFrame, routes: list[str]) -> DataFrame:
@@ -75,7 +77,8 @@ def fit_routes(
         # At most TOP_ROUTES names.
         F.array_sort(F.collect_set("route")).alias("routes"),
     ).first()
-    enough(sizes["train"], MIN_ROUTE_CUSTOMERS)
+    if not sizes["train"]:
+        return RouteModel(None, list(sizes["routes"]), sizes["all"], 0)
     routes = list(sizes["routes"])
     train = training_layout(
         with_vector(_with_label(features.where(side), routes)).select(KEY, "features", "label"),
@@ -91,7 +94,6 @@ def fit_routes(
 def route_model(spark: SparkSession, model: RouteModel) -> DataFrame:
     row = (
         *size_of(model.forest),
-        model.forest.numClasses,
         model.train_rows,
         model.customers - model.train_rows,
     )
@@ -111,25 +113,12 @@ def route_model(spark: SparkSession, model: RouteModel) -> DataFrame:
 
 def route_metrics(model: RouteModel, features: DataFrame) -> DataFrame:
     """Accuracy on the test side against guessing uniformly; one row."""
-    predicted = model.forest.transform(with_vector(_with_label(features, model.routes)))
-    test = ~in_training(F.col(KEY))
-    right = F.col("prediction") == F.col("label")
-    accuracy = F.count_if(test & right) / F.nullif(F.count_if(test), F.lit(0))
-    sums = predicted.agg(
-        accuracy.alias("accuracy"),
-        F.count_distinct("route").alias("classes"),
-        F.count(F.lit(1)).alias("customers"),
-        F.count_if(test).alias("test_rows"),
-    )
-    baseline = 1.0 / F.col("classes")
-    return sums.withColumns(
-        {
-            "baseline": baseline,
-            "lift": F.col("accuracy") / baseline,
-            "points_above": (F.col("accuracy") - baseline) * 100,
-            "enough_data": F.col("customers") >= MIN_ROUTE_CUSTOMERS,
-        }
-    )
+    if model.forest is None:
+        nothing = F.lit(None).cast("double")
+        predicted = features.withColumns({"prediction": nothing, "label": nothing})
+    else:
+        predicted = model.forest.transform(with_vector(_with_label(features, model.routes)))
+    return class_metrics(predicted, ~in_training(F.col(KEY)))
 
 
 def route_importance(spark: SparkSession, model: RouteModel) -> DataFrame:

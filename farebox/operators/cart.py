@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farebox.functions.fixed_values import NO_RETURN_COMPANY
-from farebox.functions.measures import MONEY, percent_above, ratio
+from farebox.functions.measures import money as as_money
+from farebox.functions.measures import percent_above, ratio
 
 TICKETS = "total_tickets_quantity_success"
 GMV = "gmv_success"
@@ -28,7 +29,7 @@ def ticket_prices(purchases: DataFrame) -> DataFrame:
 
 def avg_ticket_price(purchases: DataFrame) -> DataFrame:
     """Mean of the purchases' own ticket prices (not the ratio of the totals)."""
-    exact = F.col("price").cast("decimal(24,8)")
+    exact = as_money(F.col("price"))
     return ticket_prices(purchases).agg(
         F.round(F.sum(exact).cast("double") / F.count(F.lit(1)), 4).alias("avg_ticket_price"),
         F.count(F.lit(1)).alias("purchases"),
@@ -56,7 +57,7 @@ def same_company_share(purchases: DataFrame) -> DataFrame:
 def round_trip_comparison(purchases: DataFrame) -> DataFrame:
     """Share and mean GMV of one-way purchases and round trips, two rows."""
     back = F.col("has_return")
-    money = F.col(GMV).cast(MONEY)
+    money = as_money(F.col(GMV))
 
     def mean(of):
         return F.sum(F.when(of, money)).cast("double") / F.nullif(

@@ -59,8 +59,11 @@ def retention_curve(retention: DataFrame) -> DataFrame:
     )
 
 
-def cohort_grid(retention: DataFrame, last_period: int = 12) -> DataFrame:
-    """Cohort rows with one column ``p0`` .. per period up to ``last_period``."""
+def cohort_grid(retention: DataFrame, last_period: int | None = None) -> DataFrame:
+    """Cohort rows with one column ``p0`` .. per period up to ``last_period``, by default
+    up to the largest there is (months between two dates, so the calendar bounds it)."""
+    if last_period is None:
+        last_period = retention.agg(F.max("periods")).first()[0] or 0
     periods = list(range(last_period + 1))
     return (
         retention.groupBy("primeira_compra")

@@ -64,8 +64,10 @@ def best_contact_slot(purchases: DataFrame) -> DataFrame:
 
 
 def probability_band(probability: Column) -> Column:
+    """Band of a probability; an unknown one has none."""
     return (
-        F.when(probability > 0.6, BAND_ABOVE_060)
+        F.when(probability.isNull(), F.lit(None).cast("string"))
+        .when(probability > 0.6, BAND_ABOVE_060)
         .when(probability > 0.3, BAND_ABOVE_030)
         .otherwise(BAND_OTHERWISE)
     )
@@ -73,7 +75,8 @@ def probability_band(probability: Column) -> Column:
 
 def contact_strategy(probability: Column) -> Column:
     return (
-        F.when(probability > 0.7, STRATEGY_ABOVE_070)
+        F.when(probability.isNull(), F.lit(None).cast("string"))
+        .when(probability > 0.7, STRATEGY_ABOVE_070)
         .when(probability > 0.4, STRATEGY_ABOVE_040)
         .otherwise(STRATEGY_OTHERWISE)
     )
@@ -112,9 +115,9 @@ def segment_dimension(spark: SparkSession) -> DataFrame:
 
 
 def segment_profiles(segments: DataFrame, personas: DataFrame | None = None) -> DataFrame:
-    """Size, value and mean RFM of every named segment with its text, best mean score
-    first; segments without customers have zeros. ``personas`` adds the descriptions of a
-    personas file."""
+    """Size, value and mean RFM of every segment, best mean score first. Named segments
+    have their text, and zeros when they have no customers; "Outros" has no text.
+    ``personas`` adds the descriptions of a personas file."""
     n = F.count(F.lit(1))
 
     def mean(column):
@@ -131,7 +134,7 @@ def segment_profiles(segments: DataFrame, personas: DataFrame | None = None) ->
     # At most nine rows on each side.
     profiles = (
         segment_dimension(segments.sparkSession)
-        .join(F.broadcast(sums), "Segment", "left")
+        .join(sums, "Segment", "full")
         .withColumns(
             {
                 "customers": F.coalesce("customers", F.lit(0)),
@@ -141,7 +144,7 @@ def segment_profiles(segments: DataFrame, personas: DataFrame | None = None) ->
         )
     )
     if personas is not None:
-        profiles = profiles.join(personas, "Segment", "left")
+        profiles = profiles.join(personas.select("Segment", "persona"), "Segment", "left")
     return profiles.orderBy(F.desc_nulls_last("mean_score"), "Segment")
 
 

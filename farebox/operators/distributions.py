@@ -3,6 +3,8 @@
 Bins are counted before anything is shuffled; what follows works on one row per bin.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,11 @@ def histogram(df: DataFrame, column: str, bins: int, weight: str | None = None)
     )
 
 
+def significant(value: float, digits: int = 6) -> float:
+    """``value`` rounded to significant digits."""
+    return float(f"{value:.{digits - 1}e}")
+
+
 def _named(frame: DataFrame, name: str) -> DataFrame:
     return frame.select(F.lit(name).alias("measure"), *frame.columns)
 
@@ -93,10 +100,12 @@ def ticket_price_density(prices: DataFrame, points: int = DENSITY_POINTS) -> Dat
     """Gaussian density of ticket prices at ``points`` grid points from minimum to
     maximum, scaled to the counts of the 30-bin histogram.
 
-    The bandwidth is Scott's, ``std * n ** -0.2``. Prices are first counted in bins a
-    sixteenth of the bandwidth wide, which moves no price by more than a thirty-second
-    of it; the curve is then a sum over bins, not over rows. Prices that are all equal
-    have no density.
+    The bandwidth is Scott's, ``std * n ** -0.2``, to six significant digits. Prices are
+    first counted in bins a sixteenth of the bandwidth wide, which moves no price by more
+    than a thirty-second of it; the curve is then a sum over bins, not over rows. A bin
+    meets the grid points near enough to show in the sixth decimal, so a far price adds no
+    work. Prices are read twice: for their moments and for the bins. Prices that are all
+    equal have no density: a point each, with nulls.
     """
     price = F.col("price")
     moments = prices.agg(
@@ -105,31 +114,34 @@ def ticket_price_density(prices: DataFrame, points: int = DENSITY_POINTS) -> Dat
         F.max(price).alias("high"),
         F.stddev_samp(price).alias("std"),
     )
+    one = moments.first()
+    low, high, n = one["low"], one["high"], one["n"]
     # Rounding the bandwidth keeps the last bits of the deviation, which depend on
     # the order of summing, from moving a price into the next bin.
-    bandwidth = F.round(F.col("std") * F.pow("n", F.lit(-0.2)), 4)
-    known = scalar_struct(moments.select("low", "high", F.nullif(bandwidth, F.lit(0.0)).alias("h")))
-    low, high, h = F.col("known.low"), F.col("known.high"), F.col("known.h")
+    h = significant((one["std"] or 0.0) * n**-0.2 if n else 0.0)
+    grid = prices.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
+    if not h:
+        start = F.lit(low).cast("double")
+        return grid.select("point", F.round(start, 6).alias("price"), F.lit(None).cast("double").alias("density"))
+    step = (high - low) / (points - 1)
+    scale = (high - low) / 30 / (h * math.sqrt(2 * math.pi))
+    # Beyond this distance even all rows together stay under a tenth of the sixth decimal.
+    reach = h * math.sqrt(2 * math.log(max(n * scale * 1e8, math.e)))
     fine = (
-        prices.withColumn("known", known)
-        .groupBy(F.floor((price - low) / (h / FINE)).alias("cell"))
+        prices.groupBy(F.floor((price - low) / (h / FINE)).alias("cell"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("known", known)
-        .select("known", (low + (F.col("cell") + 0.5) * (h / FINE)).alias("centre"), "n")
+        .select((low + (F.col("cell") + 0.5) * (h / FINE)).alias("centre"), "n")
     )
-    step = (high - low) / (points - 1)
-    at = low + F.col("point") * step
-    distance = (at - F.col("centre")) / h
-    scale = (high - low) / 30 / (h * F.sqrt(F.lit(2.0) * F.pi()))
-    return (
-        # A constant list of grid points per fine bin.
-        fine.select("known", "centre", "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-        .groupBy("point")
-        .agg(F.sum(F.col("n") * F.exp(-distance * distance / 2)).alias("mass"))
-        .withColumn("known", known)
-        .select(
-            "point",
-            F.round(low + F.col("point") * step, 6).alias("price"),
-            F.round(F.col("mass") * scale, 6).alias("density"),
-        )
+    first = F.greatest(F.ceil((F.col("centre") - reach - low) / step), F.lit(0)).cast("int")
+    last = F.least(F.floor((F.col("centre") + reach - low) / step), F.lit(points - 1)).cast("int")
+    distance = (low + F.col("point") * F.lit(step) - F.col("centre")) / h
+    mass = (
+        fine.withColumns({"first": first, "last": last}).where("first <= last")
+        .select("centre", "n", F.explode(F.sequence("first", "last")).alias("point"))
+        .groupBy("point").agg(F.sum(F.col("n") * F.exp(-distance * distance / 2)).alias("mass"))
+    )
+    return grid.join(F.broadcast(mass), "point", "left").select(
+        "point",
+        F.round(F.lit(low) + F.col("point") * F.lit(step), 6).alias("price"),
+        F.round(F.coalesce("mass", F.lit(0.0)) * F.lit(scale), 6).alias("density"),
     )

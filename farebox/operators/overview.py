@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from farebox.functions.cleaning import clean_purchases
 from farebox.functions.calendar import months, weekday_number, weekdays
 from farebox.functions.fixed_values import PURCHASE_COLUMNS
 from farebox.functions.measures import money_sum, ratio
@@ -10,30 +11,47 @@ from farebox.functions.measures import money_sum, ratio
 GMV = "gmv_success"
 DAY = "date_purchase"
 HOUR = "time_purchase_hour"
+TICKETS = "total_tickets_quantity_success"
 
 
-def kpi_overview(purchases: DataFrame) -> DataFrame:
-    """Totals, distinct purchases and customers, and their guarded ratios; one row."""
-    totals = purchases.agg(
-        money_sum(F.col(GMV)).alias("total_gmv"),
-        F.coalesce(F.sum("total_tickets_quantity_success"), F.lit(0)).alias("total_tickets"),
-        F.count_distinct("nk_ota_localizer_id").alias("transactions"),
-        F.count_distinct("fk_contact").alias("customers"),
-    )
-    gmv, tickets, transactions, customers = map(F.col, totals.columns)
+def kpi_overview(purchases: DataFrame, tickets: DataFrame | None = None) -> DataFrame:
+    """Totals, distinct purchases and customers, and their guarded ratios; one row.
+
+    ``tickets`` may give the tickets from a narrower table than ``purchases``. Each
+    distinct count is an aggregate of its own: together they would multiply every row.
+    """
+
+    def distinct(column: str) -> DataFrame:
+        return purchases.select(column).distinct().agg(F.count(column).alias("x"))
+
+    parts = {
+        "total_gmv": purchases.agg(money_sum(F.col(GMV)).alias("x")),
+        "total_tickets": (purchases if tickets is None else tickets).agg(
+            F.coalesce(F.sum(TICKETS), F.lit(0)).alias("x")
+        ),
+        "transactions": distinct("nk_ota_localizer_id"),
+        "customers": distinct("fk_contact"),
+    }
+    one = purchases.sparkSession.range(1)
+    totals = one.select(*[part.scalar().alias(name) for name, part in parts.items()])
+    gmv, sold, transactions, customers = map(F.col, totals.columns)
     return totals.withColumns(
         {
             "gmv_per_transaction": ratio(gmv, transactions),
-            "tickets_per_transaction": ratio(tickets, transactions),
-            "gmv_per_ticket": ratio(gmv, tickets),
+            "tickets_per_transaction": ratio(sold, transactions),
+            "gmv_per_ticket": ratio(gmv, sold),
             "gmv_per_customer": ratio(gmv, customers),
         }
     )
 
 
-def ingest_profile(raw: DataFrame, purchases: DataFrame) -> DataFrame:
+def ingest_profile(raw: DataFrame) -> DataFrame:
     """Row and column counts, nulls per input column, rejected values and the covered
-    period, as (metric, value) text rows. ``purchases`` is the cleaned ``raw``."""
+    period, as (metric, value) text rows. Rejected numbers are values that are there but are no number, not finite or too large."""
+    types = {field.name: field.dataType for field in raw.schema.fields}
+    numbers = [name for name in (GMV, TICKETS) if name in types]
+    # Raw and cleaned values side by side, in one pass.
+    purchases = clean_purchases(raw.withColumns({f"given:{name}": F.col(name) for name in numbers}))
     inputs = [name for name in PURCHASE_COLUMNS if name in raw.columns]
     # Cleaning replaces three columns in place; their null counts after coercion are
     # what the load step reports, so one pass over the cleaned rows is enough.
@@ -41,12 +59,21 @@ def ingest_profile(raw: DataFrame, purchases: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("string").alias("rows"),
         F.lit(len(inputs)).cast("string").alias("columns"),
         F.count_if(F.col(DAY).isNull()).cast("string").alias("invalid_dates"),
-        F.count_if(F.col(HOUR).isNull()).cast("string").alias("invalid_hours"),
+        *[
+            F.count_if(F.col(HOUR).isNull()).cast("string").alias("invalid_hours")
+            for _ in [HOUR] if HOUR in purchases.columns
+        ],
         F.min(DAY).cast("string").alias("first_date"),
         F.max(DAY).cast("string").alias("last_date"),
-        F.count_distinct("fk_departure_ota_bus_company")
-        .cast("string")
-        .alias("outbound_companies"),
+        *[
+            F.count_distinct(name).cast("string").alias("outbound_companies")
+            for name in ["fk_departure_ota_bus_company"] if name in types
+        ],
+        *[
+            F.count_if(F.col(f"given:{name}").isNotNull() & F.col(name).isNull())
+            .cast("string").alias(f"rejected:{name}")
+            for name in numbers
+        ],
         *[F.count_if(F.col(name).isNull()).cast("string").alias(f"nulls:{name}") for name in inputs],
     )
     return one_row.unpivot([], one_row.columns, "metric", "value")

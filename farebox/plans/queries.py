@@ -9,7 +9,7 @@ from farebox.functions.cleaning import clean_purchases
 from farebox.operators import overview
 from farebox.plans.reports import REPORTS
 from farebox.plans.workspace import Workspace
-from farebox.sources.star_schema import as_text, raw_event_purchases
+from farebox.sources.star_schema import as_text, modified, raw_event_purchases
 
 # Day on which recency is taken: a month after the last order, two days after the last event.
 AS_OF = datetime.date(2001, 9, 1)
@@ -31,6 +31,12 @@ PURCHASES_CLEAN_COLUMNS = [
     "avg_ticket_price",
     "has_return",
     "route",
+    "place_origin_departure",
+    "place_destination_departure",
+    "place_origin_return",
+    "place_destination_return",
+    "fk_departure_ota_bus_company",
+    "fk_return_ota_bus_company",
 ]
 
 # Analyses that also run over the event log, which has real clock times.
@@ -42,12 +48,14 @@ EVENT_REPORTS = {
     "events_next_purchase_labels": "next_purchase_labels",
 }
 
-_workspaces: dict[tuple[str, str, str], Workspace] = {}
+_workspaces: dict[tuple, Workspace] = {}
 
 
 def workspace(spark: SparkSession, folder: str, source: str = "orders") -> Workspace:
-    """The session's workspace on a folder; its staged tables and models are shared."""
-    key = (spark.conf.get("spark.app.id"), folder, source)
+    """The session's workspace on a folder; its staged tables and models are shared until
+    the files change."""
+    files = ["orders", "lineitem", "customer", "supplier", "nation"] if source == "orders" else ["events"]
+    key = (spark.conf.get("spark.app.id"), folder, source, *modified(spark, folder, files))
     if key not in _workspaces:
         if source == "orders":
             _workspaces[key] = Workspace.on_star_schema(spark, folder, AS_OF)
@@ -56,17 +64,13 @@ def workspace(spark: SparkSession, folder: str, source: str = "orders") -> Works
     return _workspaces[key]
 
 
-def _from_text(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    raw = as_text(workspace(spark, folder).raw_trips)
-    return raw, clean_purchases(raw)
-
-
 def purchases_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return _from_text(spark, folder)[1].select(*PURCHASES_CLEAN_COLUMNS)
+    raw = as_text(workspace(spark, folder).raw_trips)
+    return clean_purchases(raw).select(*PURCHASES_CLEAN_COLUMNS)
 
 
 def ingest_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return overview.ingest_profile(*_from_text(spark, folder))
+    return overview.ingest_profile(as_text(workspace(spark, folder).raw_trips))
 
 
 def _query(report: Callable, source: str = "orders") -> Callable:

@@ -3,8 +3,11 @@
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from farebox.functions.fixed_values import HORIZONS
 from farebox.models import features as model_features
+from farebox.models import metrics
 from farebox.models import repurchase as repurchase_operators
 from farebox.models import routes as route_operators
 from farebox.operators import cart, cohort, cycle, decisions, distributions, overview, rankings
@@ -23,9 +26,30 @@ def contact_plan(w: Workspace) -> DataFrame:
     return decisions.contact_plan(w.repurchase.score(profiles), w.contact_slot)
 
 
+def scored_contact_plan(w: Workspace) -> DataFrame:
+    profiles = w.segments.select("fk_contact", "Segment", *model_features.FEATURES)
+    return decisions.contact_plan(metrics.with_digest_scores(profiles), w.contact_slot)
+
+
+def scored_routes(w: Workspace) -> DataFrame:
+    """Three best of the top routes for every customer, by digest scores."""
+    routes = sorted(row.route for row in w.top_routes.collect())  # at most ten
+    names = F.array(*map(F.lit, routes))
+    scores = F.array(*[metrics.digest_score(F.col("fk_contact"), route) for route in routes])
+    best = metrics.top_options(scores, names, 3)
+    return route_operators.ranked_options(route_operators.profiles_of(w.rfm), best)
+
+
+def guessed_route_metrics(w: Workspace) -> DataFrame:
+    """Accuracy and lift of a guess by digest among ten codes."""
+    guess = F.floor(metrics.digest_score(F.col("fk_contact"), "route") * 10)
+    guessed = w.route_features.withColumns({"prediction": guess, "label": F.col("route_encoded")})
+    return metrics.class_metrics(guessed, ~model_features.in_training(F.col("fk_contact")))
+
+
 REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
     # Overview and seasonality
-    "kpi_overview": lambda w: overview.kpi_overview(w.trips),
+    "kpi_overview": lambda w: overview.kpi_overview(w.purchases, w.tickets),
     "gmv_by_month": lambda w: overview.gmv_by_month(w.purchases),
     "gmv_by_weekday": lambda w: overview.gmv_by_weekday(w.purchases),
     "gmv_by_hour": lambda w: overview.gmv_by_hour(w.purchases),
@@ -41,7 +65,7 @@ REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
     "rfm_quartiles": lambda w: w.quartiles,
     "rfm_segments": lambda w: w.segments,
     "segment_report": lambda w: rfm_operators.segment_report(w.segments),
-    "segment_profiles": lambda w: decisions.segment_profiles(w.segments),
+    "segment_profiles": lambda w: decisions.segment_profiles(w.segments, w.personas),
     "rfm_sample": lambda w: rfm_operators.rfm_sample(w.segments),
     "rfm_histograms": lambda w: distributions.rfm_histograms(w.rfm),
     # Purchase cycle
@@ -109,23 +133,56 @@ REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
     "route_recommendations": lambda w: w.routes.recommend(route_operators.profiles_of(w.rfm)),
     # Decisions
     "contact_plan": contact_plan,
+    # The same rules and metrics on scores from digests, which need no model
+    "scored_metrics": lambda w: metrics.binary_metrics(
+        metrics.with_digest_scores(w.repurchase_features).where(
+            ~model_features.in_training(F.col("fk_contact"))
+        ),
+        HORIZONS,
+    ),
+    "scored_top_customers": lambda w: repurchase_operators.top_repurchase_customers(
+        metrics.with_digest_scores(w.repurchase_features), w.segments
+    ),
+    "scored_contact_plan": scored_contact_plan,
+    "scored_routes": scored_routes,
+    "guessed_route_metrics": guessed_route_metrics,
 }
 
 
-# Analyses of return trips, and the column without which they are left out.
-RETURN_REPORTS = {
-    "round_trip_comparison": "has_return",
-    "same_company_share": "fk_return_ota_bus_company",
+# Columns that analyses need besides id, customer, date and value.
+TIMED = ["gmv_by_hour", "purchases_by_hour", "weekday_hour_counts", "weekday_hour_grid",
+         "best_contact_slot", "business_highlights", "contact_plan", "scored_contact_plan"]
+TICKETED = ["kpi_overview", "tickets_distribution", "avg_ticket_price",
+            "ticket_price_histogram", "ticket_price_density"]
+ROUTED = ["route_ranking", "top_route_purchases", "route_features", "route_baseline", "route_model",
+          "route_metrics", "route_importance", "route_recommendations", "scored_routes", "guessed_route_metrics"]
+_NEEDS: list[tuple[list[str], str]] = [
+    (TIMED, "time_purchase_hour"),
+    (TICKETED, "total_tickets_quantity_success"),
+    (ROUTED, "route"),
+    (["origin_ranking", "business_highlights"], "place_origin_departure"),
+    (["destination_ranking", "business_highlights"], "place_destination_departure"),
+    (["company_ranking", "same_company_share"], "fk_departure_ota_bus_company"),
+    (["same_company_share"], "fk_return_ota_bus_company"),
+    (["round_trip_comparison"], "has_return"),
+]
+NEEDS: dict[str, list[str]] = {
+    name: [column for names, column in _NEEDS if name in names] for name in REPORTS
 }
 
 
 def available(w: Workspace) -> list[str]:
     """Names of the analyses the workspace's columns allow."""
-    columns = w.trips.columns
-    return [name for name in REPORTS if RETURN_REPORTS.get(name, columns[0]) in columns]
+    return [name for name in REPORTS if set(NEEDS[name]) <= w.columns]
+
 
+def write_reports(w: Workspace, folder: str, names: Iterable[str] | None = None) -> list[str]:
+    """Write the named (or all) analyses as Parquet, one folder each.
 
-def write_reports(w: Workspace, folder: str, names: Iterable[str] | None = None) -> None:
-    """Write the named (or all available) analyses as Parquet, one folder each."""
-    for name in available(w) if names is None else names:
-        write_result(REPORTS[name](w), f"{folder}/{name}")
+    Returns the names that were left out because the purchases lack a column for them.
+    """
+    wanted, possible = list(REPORTS if names is None else names), set(available(w))
+    for name in wanted:
+        if name in possible:
+            write_result(REPORTS[name](w), f"{folder}/{name}")
+    return [name for name in wanted if name not in possible]

@@ -13,9 +13,9 @@ from farebox.models.routes import RouteModel, fit_routes
 from farebox.operators import cohort, cycle, rankings
 from farebox.operators import rfm as rfm_operators
 from farebox.operators.decisions import best_contact_slot
-from farebox.sources.reader import conform, is_csv, read_raw
-from farebox.sources.star_schema import order_purchases, raw_purchases
-from farebox.staging import stage
+from farebox.sources.reader import conform, is_csv, read_personas, read_raw
+from farebox.sources.star_schema import order_purchases, order_tickets, raw_purchases
+from farebox.staging import release, stage
 
 
 class Workspace:
@@ -28,29 +28,61 @@ class Workspace:
     row per customer, or smaller.
     """
 
+    _open: set[int] = set()
+
     def __init__(
-        self, raw: DataFrame, as_of: datetime.date | None = None, slim: DataFrame | None = None
+        self,
+        raw: DataFrame,
+        as_of: datetime.date | None = None,
+        slim: DataFrame | None = None,
+        personas: DataFrame | None = None,
+        tickets: DataFrame | None = None,
     ):
         self.raw = raw
         self.as_of = as_of
         self.slim = slim
+        self.personas = personas
+        self._tickets = tickets
+        Workspace._open.add(id(self))
         self.purchases = clean_purchases(raw if slim is None else slim)
         self.spark: SparkSession = raw.sparkSession
 
     @classmethod
     def on_star_schema(cls, spark: SparkSession, folder: str, as_of: datetime.date) -> "Workspace":
-        return cls(raw_purchases(spark, folder), as_of, order_purchases(spark, folder))
+        slim, tickets = order_purchases(spark, folder), order_tickets(spark, folder)
+        return cls(raw_purchases(spark, folder), as_of, slim, tickets=tickets)
 
     @classmethod
     def read(
-        cls, spark: SparkSession, path: str, as_of: datetime.date | None = None
+        cls,
+        spark: SparkSession,
+        path: str,
+        as_of: datetime.date | None = None,
+        personas: str | None = None,
     ) -> "Workspace":
-        """On a purchases file. CSV text is parsed once, into typed Parquet."""
+        """On a purchases file, and a personas file for the segment profiles. CSV text is
+        parsed once, into typed Parquet."""
         raw = conform(read_raw(spark, path))
         if is_csv(path):
             typed = clean_purchases(raw).select(*[c for c in PURCHASE_COLUMNS if c in raw.columns])
             raw = stage(typed, "purchases")
-        return cls(raw, as_of)
+        return cls(raw, as_of, personas=read_personas(spark, personas) if personas else None)
+
+    def close(self) -> None:
+        """The workspace is done. With the last open one go all tables the application staged."""
+        Workspace._open.discard(id(self))
+        if not Workspace._open:
+            release(self.spark)
+
+    @property
+    def tickets(self) -> DataFrame:
+        """Tickets per purchase, from the narrowest source there is."""
+        return self.trips if self._tickets is None else self._tickets
+
+    @cached_property
+    def columns(self) -> set[str]:
+        """Columns of the trips, known without staging them."""
+        return set(clean_purchases(self.raw).columns)
 
     @cached_property
     def raw_trips(self) -> DataFrame:

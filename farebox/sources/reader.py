@@ -10,33 +10,27 @@ from farebox.functions.fixed_values import (
     TICKETS_COLUMN_NAMES,
 )
 
-OPTIONAL_COLUMNS = ["place_origin_return", "place_destination_return", "fk_return_ota_bus_company"]
-REQUIRED_COLUMNS = [name for name in PURCHASE_COLUMNS if name not in OPTIONAL_COLUMNS]
+# Analyses that need other columns are left out where a file lacks them.
+REQUIRED_COLUMNS = ["nk_ota_localizer_id", "fk_contact", "date_purchase", "gmv_success"]
 
 
 def _squeezed(name: str) -> str:
-    return name.lower().replace(" ", "").replace("_", "")
+    """A name without what spellings differ in: letter case, spaces and underscores."""
+    return "".join(c for c in name.casefold() if c not in " _")
 
 
 def find_column(columns: list[str], wanted: list[str]) -> str | None:
     """The column that answers to one of the wanted names, or None.
 
-    Exact names win. After that letter case, spaces and underscores are ignored,
-    and a name may contain the other; earlier wanted names and earlier columns win.
+    Exact names win; after that spelling is ignored. Earlier wanted names and earlier
+    columns win. A part of a name is no match: ``total`` or ``quantity`` can be anything.
     """
-    for name in wanted:
-        if name in columns:
-            return name
-    squeezed = [(column, _squeezed(column)) for column in columns]
-    for name in map(_squeezed, wanted):
-        for column, short in squeezed:
-            if short == name:
-                return column
-    for name in map(_squeezed, wanted):
-        for column, short in squeezed:
-            if short and (name in short or short in name):
-                return column
-    return None
+    exact = [name for name in wanted if name in columns]
+    if exact:
+        return exact[0]
+    by_short = {_squeezed(column): column for column in reversed(columns)}
+    known = [by_short[short] for short in map(_squeezed, wanted) if short in by_short]
+    return known[0] if known else None
 
 
 def conform(raw: DataFrame) -> DataFrame:
@@ -65,7 +59,11 @@ def is_csv(path: str) -> bool:
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Scan a CSV file with header (every column as text) or Parquet."""
+    """Scan a CSV file with header (every column as text) or Parquet.
+
+    Quoted values of a CSV may hold commas, not line breaks (a file is split at those);
+    values beyond the header's columns are dropped. A path without suffix is Parquet.
+    """
     if is_csv(path):
         # Without inferSchema every column is text: no pass over the data for types,
         # and rejected values can be counted afterwards.
@@ -74,9 +72,10 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
         return text.select(
             *[F.when(~value.isin(MISSING_TEXTS), value).alias(c) for c, value in present.items()]
         )
-    if path.rstrip("/").lower().endswith(".parquet"):
+    name = path.rstrip("/").rsplit("/", 1)[-1].lower()
+    if name.endswith(".parquet") or "." not in name:
         return spark.read.parquet(path)
-    raise ValueError(f"unsupported format: {path}; purchases are read from .csv or .parquet")
+    raise ValueError(f"unsupported format: {path}; purchases are read from .csv, .parquet or a folder of Parquet files")
 
 
 def read_purchases(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,27 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def modified(spark: SparkSession, folder: str, names: list[str]) -> list[int]:
+    """When each table was last written, in milliseconds; 0 for an absent one."""
+    jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
+    times = []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        system = path.getFileSystem(settings)
+        known = system.exists(path)
+        times.append(system.getFileStatus(path).getModificationTime() if known else 0)
+    return times
+
+
+def order_tickets(spark: SparkSession, folder: str) -> DataFrame:
+    """Tickets of each order that has lines: their number. No places, no staging."""
+    lines = _table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).cast("int").alias("total_tickets_quantity_success")
+    )
+    orders = _table(spark, folder, "orders").select("o_orderkey")
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(lines.columns[-1])
+
+
 def _order_columns() -> list[Column]:
     return [
         F.col("o_orderkey").cast("string").alias("nk_ota_localizer_id"),
@@ -35,13 +56,15 @@ def raw_purchases(spark: SparkSession, folder: str) -> DataFrame:
     before these meet the orders; those joins have a plain shuffle on either side, which
     AQE splits when one customer or supplier holds much of the orders.
     """
+    # Each line is one fixed-width tie-break order; what is not read later is not carried.
     line = F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_returnflag")
+    first = F.struct("l_linenumber", "l_suppkey")
     legs = (
         _table(spark, folder, "lineitem")
         .groupBy("l_orderkey")
         .agg(
             F.count(F.lit(1)).alias("tickets"),
-            F.min(line).alias("first_line"),
+            F.min(first).alias("first_line"),
             F.max(line).alias("last_line"),
         )
     )

@@ -44,7 +44,7 @@ def test_cleaning(edge):
 
 
 def test_profile(edge_raw, edge):
-    profile = rows(overview.ingest_profile(edge_raw, edge), "metric", "value")
+    profile = rows(overview.ingest_profile(edge_raw), "metric", "value")
     assert profile["rows"] == "12" and profile["columns"] == "12"
     assert profile["invalid_dates"] == "1" and profile["invalid_hours"] == "2"
     assert profile["nulls:gmv_success"] == "1" and profile["nulls:fk_contact"] == "1"

@@ -5,10 +5,21 @@ from conftest import SF, SF_SMALL
 from pyspark.sql import functions as F
 
 from farebox.functions.fixed_values import EARLY_REPURCHASE_FOREST
-from farebox.models.features import in_training
+from farebox.models.features import FEATURES, LABELS, in_training
 from farebox.models.forest import training_tasks
-from farebox.models.repurchase import fit_repurchase, repurchase_metrics, repurchase_model
-from farebox.models.routes import fit_routes
+from farebox.models.repurchase import (
+    fit_repurchase,
+    repurchase_importance,
+    repurchase_metrics,
+    repurchase_model,
+)
+from farebox.models.routes import (
+    fit_routes,
+    profiles_of,
+    route_importance,
+    route_metrics,
+    route_model,
+)
 from farebox.operators.decisions import contact_strategy, probability_band
 from farebox.plans.queries import QUERIES, workspace
 from farebox.staging import stage
@@ -83,10 +94,33 @@ def test_early_settings(spark):
     assert repurchase_metrics(models, models.score(features)).count() == 1
 
 
-def test_no_training_rows_is_an_error(spark):
-    empty = workspace(spark, SF_SMALL).repurchase_features.where("false")
-    with pytest.raises(ValueError, match="no rows"):
-        fit_repurchase(empty)
+def test_no_training_rows(spark):
+    w = workspace(spark, SF_SMALL)
+    models = fit_repurchase(w.repurchase_features.where("false"))
+    scores = models.score(w.repurchase_features.where("false"))
+    for row in repurchase_metrics(models, scores).collect():
+        assert (row.auc, row.f1, row.labelled_rows, row.enough_data) == (None, None, 0, False)
+    assert [r.trees for r in repurchase_model(spark, models).collect()] == [None] * 3
+    assert repurchase_importance(spark, models).count() == 0
+    model = fit_routes(w.route_features.where("false"))
+    row = route_metrics(model, w.route_features.where("false")).first()
+    assert (row.accuracy, row.customers, row.enough_data) == (None, 0, False)
+    assert route_model(spark, model).count() == 1 and route_importance(spark, model).count() == 0
+    assert model.recommend(profiles_of(w.rfm)).count() == 0
+
+
+def test_forests_learn_a_planted_signal(spark):
+    rows = [(f"c{i}", i % 40, 1 + i % 3, float(i % 7), 9, int(i % 40 < 10), int(i % 40 < 20), 1, 1)
+            for i in range(2000)]
+    names = ["fk_contact", *FEATURES, "days_until_next_purchase", *LABELS, "purchases"]
+    features = stage(spark.createDataFrame(rows, names), "planted")
+    models = fit_repurchase(features)
+    found = {r.horizon_days: r for r in repurchase_metrics(models, models.score(features)).collect()}
+    assert found[7].auc > 0.95 and found[15].auc > 0.95 and found[7].f1 > 0.9
+    assert found[30].auc is None and found[30].f1 == 1.0
+    routed = features.select("fk_contact", *FEATURES, F.concat(F.lit("r"), F.floor(F.col("recency") / 20)).alias("route"))
+    row = route_metrics(fit_routes(stage(routed, "planted-routes")), routed).first()
+    assert row.classes == 2 and row.accuracy > 0.95 and row.lift > 1.9
 
 
 def test_tasks_grow_with_the_rows():

@@ -50,7 +50,7 @@ def test_workspace_on_csv_and_parquet(spark, csv, edge_raw, tmp_path):
     assert reports[0] == reports[1] and len(reports[0]) == 4
 
 
-@pytest.mark.parametrize("path", ["sales.xlsx", "sales.txt", "sales"])
+@pytest.mark.parametrize("path", ["sales.xlsx", "sales.txt", "sales.json"])
 def test_other_formats_are_refused(spark, path):
     with pytest.raises(ValueError, match="unsupported format"):
         read_raw(spark, path)
@@ -71,7 +71,9 @@ def test_return_columns_are_optional(edge_raw):
     [
         (["id", "total_tickets_quantity_sucess"], "total_tickets_quantity_sucess"),
         (["id", "Total Tickets Quantity Success"], "Total Tickets Quantity Success"),
-        (["id", "n_tickets_sold"], "n_tickets_sold"),
+        (["id", "n_tickets_sold"], None),
+        (["id", "total", "quantity", "a"], None),
+        (["id", "TICKETS"], "TICKETS"),
         (["id", "QTD PASSAGENS"], "QTD PASSAGENS"),
         (["date", "value"], None),
     ],
@@ -131,7 +133,8 @@ def test_personas(spark, tmp_path):
     segments = QUERIES["rfm_segments"](spark, SF_SMALL)
     profiles = segment_profiles(segments, read_personas(spark, str(path))).collect()
     assert {r.Segment: r.persona for r in profiles}["Leais"] == "fiéis: sempre"
-    assert len(profiles) == 8
+    assert len(profiles) == 9
+    assert {r.Segment: r.description for r in profiles}["Outros"] is None
 
 
 def test_results_are_written(spark, edge, tmp_path):
