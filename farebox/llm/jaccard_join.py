@@ -9,10 +9,9 @@ remains is verified once for each pair, on the sets themselves.
 
 Equal sets are one node from the start. For components not every link is needed: inside a
 group that is already connected nothing more is verified. First each node is verified
-against the one leading node of its prefix groups that it meets most, then against all
-leading nodes, and at last, for whatever groups are still in several components, every pair
-across components that passes the filters is verified. Each step leaves fewer pairs to the
-next; together they miss no link between components.
+against the leading nodes of its prefix groups, and then, for whatever groups are still in
+several components, every pair across components that passes the filters is verified.
+Together they miss no link between components.
 
 Rarity comes from counts over all documents in a table of fixed size (counts of hash
 ranges). Any order gives exact results; the table only makes prefixes selective.
@@ -36,7 +35,6 @@ from farebox.staging import stage
 COUNTER_BITS, CHUNK_BITS, RANGES = 20, 16, 8
 SALT_ROWS = 1000
 HOT_COUNT = 200_000
-BROADCAST_ROWS = 20_000
 
 
 def set_keys(grams: np.ndarray, seed: int) -> tuple[int, int]:
@@ -200,9 +198,6 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent
     leaders = pairs.select("a", "part", F.lit(False).alias("partner"), F.col("a").alias("key")).distinct()
     partners = pairs.select("a", "part", F.lit(True).alias("partner"), F.col("b").alias("key"))
     wanted = leaders.union(partners).join(sets.select("key", "doc_id"), "key")
-    wanted = stage(wanted, "jaccard-wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
     texts = docs.select("doc_id", "__text").join(wanted, "doc_id")
     texts = texts.repartition("a", "part").sortWithinPartitions("a", "part", "partner", "key")
 
@@ -298,20 +293,11 @@ def linking_pairs(
     """Links that connect the same components as all links do."""
     led = (
         groups.where(F.col("lead") != F.col("key")).where(may_link("lead_", "", percent))
-        .groupBy(F.col("lead").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("shared"))
+        .select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
     )
-    led = stage(led, "jaccard-led")
-    most = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))
-    chosen = suffix_filter(led.withColumn("_r", most).where("_r = 1").select("a", "b"), sets, percent)
-    links = stage(verified(chosen, docs, sets, k, percent, seed), "jaccard-links")
-
-    # all other leaders, where the components are not yet one
-    labels = stage(components(links), "jaccard-labels")
-    rest = _across(led.select("a", "b"), labels).join(chosen, ["a", "b"], "left_anti")
-    rest = stage(suffix_filter(rest, sets, percent), "jaccard-rest")
-    if not rest.isEmpty():
-        links = stage(links.union(verified(rest, docs, sets, k, percent, seed)), "jaccard-links")
-        labels = stage(components(links), "jaccard-labels")
+    led = stage(suffix_filter(led, sets, percent), "jaccard-led")
+    links = stage(verified(led, docs, sets, k, percent, seed), "jaccard-links")
+    labels = components(links)
 
     # every pair across components that shares a prefix gram
     marked = groups.join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
@@ -324,17 +310,8 @@ def linking_pairs(
         a.join(b, "gram").where(F.col("a_key") < F.col("b_key")).where(F.col("a_label") != F.col("b_label"))
         .where(may_link("a_", "b_", percent)).select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
     )
-    tried = chosen.union(rest)
-    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = stage(suffix_filter(across.join(tried, ["a", "b"], "left_anti"), sets, percent), "jaccard-across")
     if not across.isEmpty():
         links = links.union(verified(across, docs, sets, k, percent, seed))
     return links
-
-
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    of = labels.select(F.col("node").alias("a"), F.col("label").alias("_la"))
-    to = labels.select(F.col("node").alias("b"), F.col("label").alias("_lb"))
-    joined = pairs.join(of, "a", "left").join(to, "b", "left")
-    return joined.where(F.coalesce("_la", "a") != F.coalesce("_lb", "b")).select("a", "b")
