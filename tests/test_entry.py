@@ -63,3 +63,55 @@ def test_shared_tables_are_made_once(spark):
     w = Workspace(raw_event_purchases(spark, SF_SMALL), datetime.date(2024, 2, 1))
     assert w.rfm is w.rfm and w.segments is w.segments
     assert w.rfm.inputFiles() and all("/rfm-" in path for path in w.rfm.inputFiles())
+
+
+FOUR = "nk_ota_localizer_id,fk_contact,date_purchase,gmv_success\n1,a,2024-01-05,10.0\n2,b,2024-01-06,20.5\n"
+
+
+def test_few_columns_and_no_repeat_customer(spark, tmp_path):
+    (tmp_path / "few.csv").write_text(FOUR)
+    (tmp_path / "personas.txt").write_text("Leais: fiéis\n")
+    w = Workspace.read(spark, str(tmp_path / "few.csv"), datetime.date(2024, 2, 1), str(tmp_path / "personas.txt"))
+    left_out = write_reports(w, str(tmp_path / "out"))
+    assert {"gmv_by_hour", "kpi_overview", "route_ranking", "same_company_share"} <= set(left_out)
+    written = set(REPORTS) - set(left_out)
+    assert {"rfm_segments", "cohort_grid", "repurchase_metrics", "segment_profiles"} <= written
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
+    assert all(not r.enough_data and r.auc is None for r in read("repurchase_metrics").collect())
+    assert "persona" in read("segment_profiles").columns
+
+
+def test_staged_tables_go_when_the_last_workspace_closes(spark, tmp_path):
+    code = f"""
+import datetime, os
+from pyspark.sql import SparkSession
+from farebox.plans.workspace import Workspace
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", "{tmp_path}/shared").getOrCreate())
+one, two = (Workspace.on_star_schema(spark, "{SF_SMALL}", datetime.date(2001, 9, 1)) for _ in range(2))
+one.rfm, two.cohorts
+one.close()
+assert spark.conf.get("spark.app.id") in os.listdir("{tmp_path}/shared")
+assert two.cohorts.count() > 0
+two.close()
+app = spark.conf.get("spark.app.id")
+assert app not in os.listdir("{tmp_path}/shared")
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=300)
+
+
+def test_changed_files_give_new_results(spark, tmp_path):
+    import os
+    import shutil
+
+    from farebox.plans.queries import QUERIES
+
+    for name in ("orders", "lineitem", "customer", "supplier", "nation"):
+        shutil.copy(f"{SF_SMALL}/{name}.parquet", tmp_path / f"{name}.parquet")
+        os.chmod(tmp_path / f"{name}.parquet", 0o644)
+    before = QUERIES["rfm"](spark, str(tmp_path)).count()
+    spark.read.parquet(f"{SF_SMALL}/orders.parquet").where("o_custkey < 50").toPandas().to_parquet(
+        tmp_path / "orders.parquet", coerce_timestamps="us"
+    )
+    os.utime(tmp_path / "orders.parquet", (2_000_000_000, 2_000_000_000))
+    assert QUERIES["rfm"](spark, str(tmp_path)).count() < before

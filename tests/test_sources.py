@@ -157,3 +157,48 @@ def test_scans_read_only_what_the_query_needs(spark, query, scanned):
     scans = [part.split(">")[0] for part in plan.split("ReadSchema: struct<")[1:]]
     columns = [{c.split(":")[0] for c in scan.split(",")} for scan in scans]
     assert len(columns) == 1 and columns[0] <= scanned
+
+
+def test_extreme_values_are_counted_not_fatal(spark, edge_raw):
+    from pyspark.sql import functions as F
+
+    from farebox.functions.cleaning import clean_purchases
+
+    odd = {"T01": "0.004", "T02": "0.004", "T03": "0.004", "T04": "1e25", "T05": "1e400", "T06": "1e17"}
+    value = F.coalesce(*[F.when(F.col("nk_ota_localizer_id") == k, v) for k, v in odd.items()], F.lit("0"))
+    raw = edge_raw.withColumn("gmv_success", value)
+    clean = clean_purchases(raw)
+    kpi = overview.kpi_overview(clean).first()
+    assert kpi.total_gmv == pytest.approx(1e17)
+    small = clean.where("nk_ota_localizer_id in ('T01', 'T02', 'T03')")
+    assert overview.kpi_overview(small).first().total_gmv == 0.012
+    profile = {r.metric: r.value for r in overview.ingest_profile(raw).collect()}
+    assert profile["rejected:gmv_success"] == "2" and profile["nulls:gmv_success"] == "2"
+    typed = edge_raw.withColumn("gmv_success", F.lit(float("inf")))
+    assert clean_purchases(typed).where("gmv_success is not null").count() == 0
+
+
+def test_last_route_is_by_clock_time(spark, edge_raw):
+    from pyspark.sql import functions as F
+
+    from farebox.functions.cleaning import clean_purchases
+    from farebox.models.features import route_features
+
+    row = edge_raw.where("nk_ota_localizer_id = 'T01'").drop(
+        "nk_ota_localizer_id", "time_purchase", "place_origin_departure", "place_destination_departure"
+    )
+    trips = [("1", "18:00:00", "RJ", "SP"), ("2", "9:05:00", "SP", "RJ"), ("3", None, "SP", "BH")]
+    names = "nk_ota_localizer_id string, time_purchase string, place_origin_departure string, place_destination_departure string"
+    raw = row.crossJoin(spark.createDataFrame(trips, names))
+    clean = clean_purchases(raw)
+    routes = clean.select("route").distinct()
+    assert route_features(clean, routes).first().route == "RJ -> SP"
+    timed = raw.withColumn("time_purchase", F.to_timestamp(F.concat(F.lit("2024-01-05 "), "time_purchase")))
+    hours = {r.nk_ota_localizer_id: r.time_purchase_hour for r in clean_purchases(timed).collect()}
+    assert hours == {"1": 18, "2": 9, "3": None}
+    assert route_features(clean_purchases(timed), routes).first().route == "RJ -> SP"
+
+
+def test_suffixless_folder_is_parquet(spark, edge_raw, tmp_path):
+    edge_raw.write.parquet(str(tmp_path / "purchases"))
+    assert read_raw(spark, str(tmp_path / "purchases")).count() == 12
