@@ -119,14 +119,14 @@ def postings(docs: DataFrame, k: int, percent: int, seed: int, table: Broadcast)
     """``gram``, ``salt``, ``key``, ``n``, ``pos`` of the prefix of each set, rare grams first.
 
     A task gives each set once, however many of its rows have it. Grams of very high count
-    are dealt over ``salt`` values; other grams have salt 0.
+    are dealt over ``salts`` groups; other grams have one group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, wide = table.value, np.uint64(64 - COUNTER_BITS)
         seen: set[int] = set()
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for grams in sets_of(batch.column(0), k):
                 n = len(grams)
                 key, _ = set_keys(grams, seed)
@@ -136,19 +136,19 @@ def postings(docs: DataFrame, k: int, percent: int, seed: int, table: Broadcast)
                 count = counts[(grams >> wide).astype(np.int64)]
                 first = np.lexsort((grams, count))[: n - (percent * n + 99) // 100 + 1]
                 size = len(first)
-                salt = (key & 0xFFFF) % (1 + count[first] // HOT_COUNT)
+                salts = (1 + count[first] // HOT_COUNT).astype(np.int32)
                 for column, values in zip(columns, (
-                    grams[first].view(np.int64), salt.astype(np.int32), np.full(size, key, np.int64),
+                    grams[first].view(np.int64), ((key & 0xFFFF) % salts).astype(np.int32), salts, np.full(size, key, np.int64),
                     np.full(size, n, np.int32), np.arange(size, dtype=np.int32),
                 )):
                     column.append(values)
             if columns[0]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c)) for c in columns],
-                    names=["gram", "salt", "key", "n", "pos"],
+                    names=["gram", "salt", "salts", "key", "n", "pos"],
                 )
 
-    schema = "gram long, salt int, key long, n int, pos int"
+    schema = "gram long, salt int, salts int, key long, n int, pos int"
     return docs.select("__text").mapInArrow(run, schema)
 
 
@@ -275,16 +275,17 @@ def shared_prefixes(posted: DataFrame) -> DataFrame:
     """Postings of grams that several sets have in their prefix, with the group's leader.
 
     The leader is the set where the gram comes first: it has the fewest rarer grams of its
-    own. For salted grams the leaders of the salts are a group of their own.
+    own. A gram dealt over salts has a leader in each; the last step of ``linking_pairs``
+    sees all its sets together.
     """
     posted = posted.repartition("gram", "salt").dropDuplicates(["gram", "salt", "key"])
     group = Window.partitionBy("gram", "salt")
     lead = F.min(F.struct("pos", "key", "n")).over(group).alias("_lead")
-    counted = posted.select("*", lead, F.count("*").over(group).alias("_size"), F.max("salt").over(group).alias("_s"))
+    counted = posted.select("*", lead, F.count("*").over(group).alias("_size"))
     fields = [
         F.col("_lead.key").alias("lead"), F.col("_lead.pos").alias("lead_pos"), F.col("_lead.n").alias("lead_n"),
     ]
-    return stage(counted.where("_size > 1 OR _s > 0").select("gram", "key", "n", "pos", *fields), "jaccard-groups")
+    return stage(counted.where("_size > 1 OR salts > 1").select("gram", "key", "n", "pos", *fields), "jaccard-groups")
 
 
 def linking_pairs(
