@@ -77,13 +77,19 @@ def document_key(doc_id: Column) -> Column:
 
 
 def find_regions(docs: DataFrame, length: int) -> DataFrame:
-    schema = "anchor long, region long, id long, copy long, low int, high int, place int"
+    """All regions. ``again`` marks those that a batch has earlier in the order of documents.
+
+    Such a region is covered whatever other batches hold, so it need not meet the others:
+    in place of its anchor it gets a number of its own, which spreads a frequent anchor's
+    rows over all tasks.
+    """
+    schema = "anchor long, region long, id long, copy long, low int, high int, place int, again boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            found: list[list[np.ndarray]] = [[] for _ in range(7)]
             for first, data, offsets in slices(batch.column(2)):
-                found: list[list[np.ndarray]] = [[] for _ in range(7)]
                 for r in range(len(offsets) - 1):
                     anchor, region, *places = regions(data[offsets[r] : offsets[r + 1]], length)
                     size = len(anchor)
@@ -91,10 +97,25 @@ def find_regions(docs: DataFrame, length: int) -> DataFrame:
                            *(p.astype(np.int32) for p in places))
                     for column, values in zip(found, row):
                         column.append(values)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in found],
-                    names=["anchor", "region", "id", "copy", "low", "high", "place"],
-                )
+            if not found[0]:
+                continue
+            anchor, region, id_, copy, low, high, place = (np.concatenate(c) for c in found)
+            order = np.lexsort((low, copy, id_, region, anchor))
+            again = np.zeros(len(order), bool)
+            a, r = anchor[order], region[order]
+            # rows of one document that are there twice are one place, not an earlier one
+            i, c, p = id_[order], copy[order], low[order]
+            same = (a[1:] == a[:-1]) & (r[1:] == r[:-1])
+            new_place = (i[1:] != i[:-1]) | (c[1:] != c[:-1]) | (p[1:] != p[:-1])
+            start = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0))
+            moved = np.concatenate([[False], new_place])
+            later = np.cumsum(moved) > np.cumsum(moved)[start]
+            again[order] = later
+            own = mix(mix(id_.view(np.uint64)) + low.astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v) for v in (np.where(again, own, anchor), region, id_, copy, low, high, place, again)],
+                names=["anchor", "region", "id", "copy", "low", "high", "place", "again"],
+            )
 
     return docs.select("id", "copy", "__text").mapInArrow(run, schema)
 
@@ -228,7 +249,7 @@ def compare_regions(texts: DataFrame, length: int) -> DataFrame:
 
 
 def cut_out(docs: DataFrame, keep: list[str], want_text: bool) -> DataFrame:
-    """``docs`` (with ``spans``, null for none) without the bytes of their spans."""
+    """``docs`` (with ``__begins`` and ``__ends``, null for none) without the bytes of their spans."""
     schema = ", ".join(
         [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [RESULTS]
         + ["kept_text string"] * want_text
@@ -262,7 +283,7 @@ def cut_out(docs: DataFrame, keep: list[str], want_text: bool) -> DataFrame:
                 [*batch.columns[: len(keep)], *made[: 4 + want_text]], names=names
             )
 
-    columns = [*keep, "__text", "begins", "ends"]
+    columns = [*keep, "__text", "__begins", "__ends"]
     return docs.select(*columns).mapInArrow(run, schema)
 
 
@@ -280,22 +301,24 @@ def remove_repeats(
     """
     results = {part.split(" ")[0] for part in RESULTS.split(", ")} | {"kept_text"}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in results and c != text]
-    plain = docs.select(*keep, document_key(docs["doc_id"]).alias("id"), docs[text].alias("__text"))
+    plain = docs.select(*keep, document_key(docs["doc_id"]).alias("__id"), docs[text].alias("__text"))
     repeated = docs.groupBy(document_key(docs["doc_id"]).alias("id")).count().where("count > 1")
     copy = F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("__text")
-    plain = plain.withColumn("copy", copy)
+    plain = plain.withColumn("__copy", copy)
+    slim = plain.select(F.col("__id").alias("id"), F.col("__copy").alias("copy"), "__text")
 
     by_anchor = Window.partitionBy("anchor")
     by_region = Window.partitionBy("anchor", "region").orderBy("id", "copy", "place", "low")
     met = (
-        find_regions(plain, length).repartition("anchor")
-        .withColumn("nth", F.row_number().over(by_region))
+        find_regions(slim, length).repartition("anchor")
+        .withColumn("nth", F.rank().over(by_region))
         .withColumn("mixed", F.min("region").over(by_anchor) != F.max("region").over(by_anchor))
-        .where("nth > 1 OR mixed")
+        .where("again OR nth > 1 OR mixed")
     )
+    unknown = (F.col("nth") == 1) & ~F.col("again")
     met = stage(
-        met.select("id", "copy", "low", "high", F.when(F.col("nth") == 1, F.col("anchor")).alias("anchor"),
-                   F.when(F.col("nth") == 1, F.col("place")).alias("place")),
+        met.select("id", "copy", "low", "high", F.when(unknown, F.col("anchor")).alias("anchor"),
+                   F.when(unknown, F.col("place")).alias("place")),
         "repeat-regions",
     )
     covered = met.where("anchor IS NULL").select(
@@ -304,14 +327,14 @@ def remove_repeats(
     unclear = met.where("anchor IS NOT NULL").groupBy("id", "copy").agg(
         F.collect_list(F.struct("anchor", "low", "high", "place")).alias("regions")
     )
-    named = plain.select("id", "copy", "__text")
-    texts = _region_bytes(named.join(unclear, ["id", "copy"]), length)
+    texts = _region_bytes(slim.join(unclear, ["id", "copy"]), length)
     texts = texts.repartition("anchor").sortWithinPartitions("anchor")
     spans = stage(covered.union(compare_regions(texts, length)), "repeat-spans")
     spans = spans.groupBy("id", "copy").agg(
         F.collect_list(F.struct("begin", "end")).alias("spans")
-    ).select("id", "copy", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"))
-    return cut_out(plain.join(spans, ["id", "copy"], "left"), keep, want_text)
+    ).select(F.col("id").alias("__id"), F.col("copy").alias("__copy"),
+             F.col("spans.begin").alias("__begins"), F.col("spans.end").alias("__ends"))
+    return cut_out(plain.join(spans, ["__id", "__copy"], "left"), keep, want_text)
 
 
 def _region_bytes(docs: DataFrame, length: int) -> DataFrame:
