@@ -13,6 +13,7 @@ from farebox.llm import (
     decontamination,
     html_extraction,
     jaccard_join,
+    oracle,
     pii,
     quality_classifier,
     quality_rules,
@@ -122,4 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": url_filter.ORACLE_SQL}
+# The others are beyond SQL: models, random draws, edit distances, token merges.
+ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": oracle.SIMILAR,
+    "op3_suffix_dedup": oracle.REPEATS,
+    "op5_url_filter": url_filter.ORACLE_SQL,
+}

@@ -9,7 +9,7 @@ from farebox.llm import url_filter
 from farebox.llm.boosted_trees import fit
 from farebox.llm.html_extraction import extract, extract_text, trained
 from farebox.llm.html_nodes import MARK, Page
-from farebox.llm.queries import ORACLE_SQL, QUERIES
+from farebox.llm.queries import QUERIES
 from farebox.llm.training_pages import training_pages
 
 SMALL = "/root/testdata/sf0.01"
@@ -120,10 +120,3 @@ def test_lists_in_time(spark):
     assert twice.count() == 22 and twice.where("NOT kept").count() == 8
     assert url_filter.filter_captures(captures.where("false"), entries).count() == 0
     assert url_filter.filter_captures(captures, entries.where("false")).where("NOT kept").count() == 0
-
-
-def test_url_query_equals_sql(spark):
-    from compare import connect, differences
-
-    frame = QUERIES["op5_url_filter"](spark, SMALL)
-    assert differences(frame, connect(SMALL), ORACLE_SQL["op5_url_filter"]) == []
