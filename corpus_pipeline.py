@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farebox.llm import bpe, decontamination, jaccard_join, pii, quality_classifier
-from farebox.llm.tables import table
+from farebox.llm.tables import ship_code, table
 from farebox.staging import stage
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -30,6 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words, or without an id, are equal to none and stay. Of rows that
     repeat an id the first in the order of text, language, source and size stays.
     """
+    ship_code(spark)
     found = jaccard_join.similar_components(docs, k=SHINGLE_WORDS, percent=PERCENT)
     leading = found.where("component_id = doc_id").select("doc_id").distinct()
     kept = docs.join(leading, "doc_id", "left_semi")
@@ -54,6 +55,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids."""
+    ship_code(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     return bpe.encode_texts(docs, path, results=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 

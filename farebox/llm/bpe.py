@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from farebox.llm.tables import text_last
+
 MEMO_FRAGMENTS = 300_000
 TYPES = "n_tokens long, ids binary, ids_sha256 string, decoded string, decoded_sha256 string"
 
@@ -182,7 +184,7 @@ def encode_texts(
     kinds = dict(part.split(" ") for part in TYPES.split(", "))
     results = list(kinds) if results is None else results
     keep = [c for c in (docs.columns if keep is None else keep) if c not in results]
-    source = docs.select(*keep, docs[text].alias("__text"))
+    source, at = text_last(docs, text, keep)
     schema = ", ".join(
         [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
         + [f"{r} {kinds[r]}" for r in results]
@@ -193,7 +195,7 @@ def encode_texts(
         arrow = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
         for batch in batches:
             made: dict[str, list] = {r: [] for r in results}
-            for value in batch.column(len(keep)):
+            for value in batch.column(at):
                 ids = bpe.encode(value.as_py() or "")
                 packed = np.array(ids, "<u4").tobytes()
                 decoded = bpe.decode(ids)

@@ -18,6 +18,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from farebox.llm.tables import text_last
+
 EDIT_RATE = 0.05
 MIN_CHARS = 30
 BLOCK_CHARS = 1_000_000
@@ -149,23 +151,23 @@ def find_leaks(
     """
     results = [part.split(" ")[0] for part in HITS.split(", ")]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in results]
-    source = docs.select(*keep, docs[text].alias("__text"))
+    source, at = text_last(docs, text, keep)
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     schema = ", ".join([*kinds, HITS])
     out = docs.sparkSession.createDataFrame([], schema)
     first = True
     for block in item_blocks(items, rate, min_chars, block_chars):
-        found = source.mapInArrow(_searcher(block.items, rate, keep), schema)
+        found = source.mapInArrow(_searcher(block.items, rate, keep, at), schema)
         out, first = (found if first else out.unionByName(found)), False
     return out
 
 
-def _searcher(items: list[tuple[int, str]], rate: float, keep: list[str]):
+def _searcher(items: list[tuple[int, str]], rate: float, keep: list[str], at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(items, rate)
         for batch in batches:
             rows, hits = [], []
-            for i, value in enumerate(batch.column(len(keep))):
+            for i, value in enumerate(batch.column(at)):
                 for hit in block.matches(normalise(value.as_py())):
                     rows.append(i)
                     hits.append(hit)

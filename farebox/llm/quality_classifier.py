@@ -5,7 +5,8 @@ forms: kind of its first and last character, length, whether it is in capitals,
 whether it repeats the word before it. Each form has fixed random index vectors. The vector
 of a form is its own index vector plus the mean of the index vectors of its neighbours over
 the whole corpus (random indexing; it needs the counts of neighbouring forms only). A
-document is the mean of its words' vectors and the logarithm of their number. A network
+document is the mean of its words' vectors, drawn a little to the corpus mean so that a few
+words say little, and the logarithm of their number. A network
 with one hidden layer, fitted in numpy on a bounded sample of labelled documents, gives a
 logit, and a temperature fitted on rows left out of the training makes it a probability.
 """
@@ -21,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farebox.llm.quality_rules import _KIND, CHARACTER_CLASSES
+from farebox.llm.tables import text_last
 from farebox.llm.text_arrays import Words, slices
 
 DIMENSIONS, HIDDEN, NONZERO = 96, 32, 8
 TRAINING_ROWS = 20_000
+PRIOR_WORDS = 5
 _LENGTHS = np.array([2, 3, 4, 6, 9, 14])
 _CLASSES = len(CHARACTER_CLASSES)
 N_FORMS = _CLASSES * _CLASSES * (len(_LENGTHS) + 1) * 2 * 2
@@ -83,7 +86,8 @@ def neighbour_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def word_vectors(pairs: list[tuple[int, int]]) -> np.ndarray:
-    """Vector of every form from the counts of neighbouring forms."""
+    """Vector of every form from the counts of neighbouring forms; the last row is their
+    mean over the corpus."""
     own, before, after = (index_vectors(seed) for seed in (1, 2, 3))
     context, total = np.zeros((N_FORMS, DIMENSIONS)), np.zeros(N_FORMS)
     if pairs:
@@ -93,7 +97,8 @@ def word_vectors(pairs: list[tuple[int, int]]) -> np.ndarray:
         np.add.at(context, right, before[left] * n[:, None])
         np.add.at(total, left, n)
         np.add.at(total, right, n)
-    return own + context / np.maximum(total, 1)[:, None]
+    vectors = own + context / np.maximum(total, 1)[:, None]
+    return np.vstack([vectors, total @ vectors / max(total.sum(), 1)])
 
 
 def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
@@ -108,7 +113,8 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
             rows = np.repeat(np.arange(b - a), np.diff(words.first[a : b + 1]))
             hist = np.bincount(rows * N_FORMS + part, minlength=(b - a) * N_FORMS)
             n = np.diff(words.first[a : b + 1])
-            mean = hist.reshape(b - a, N_FORMS) @ vectors / np.maximum(n, 1)[:, None]
+            sums = hist.reshape(b - a, N_FORMS) @ vectors[:-1] + PRIOR_WORDS * vectors[-1]
+            mean = sums / (n + PRIOR_WORDS)[:, None]
             out[first + a : first + b] = np.column_stack([mean, np.log1p(n) / 10])
     return out
 
@@ -233,12 +239,13 @@ def score(
     schema = ", ".join(
         [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double"]
     )
+    source, at = text_last(docs, text, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = model.scores(pooled(batch.column(len(keep)), model.vectors))
+            values = model.scores(pooled(batch.column(at), model.vectors))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(values)], names=[*keep, "score"]
             )
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)

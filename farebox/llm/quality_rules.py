@@ -209,6 +209,8 @@ def judge(
         "base_failed", "char_distance", "word_distance", "kept",
     ]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in {*results, text}]
+    docs, given = docs.withColumnsRenamed({c: f"__{c}" for c in keep}), keep
+    keep, lang = [f"__{c}" for c in keep], f"__{lang}" if lang in keep else lang
     # one pass to measure, staged: the second pass needs the references of all documents
     inner = list(dict.fromkeys([*keep, lang]))
     measured = stage(text_measures(docs, text, inner), "quality-measures")
@@ -243,4 +245,4 @@ def judge(
                 names=[*keep, *results],
             )
 
-    return measured.mapInArrow(run, schema)
+    return measured.mapInArrow(run, schema).withColumnsRenamed(dict(zip(keep, given)))
