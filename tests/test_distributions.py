@@ -38,3 +38,33 @@ def test_shares_sum_to_a_hundred(spark):
     assert sum(r.pct_customers for r in report) == pytest.approx(100)
     assert sum(r.pct_value for r in report) == pytest.approx(100)
     assert sum(r.customers for r in report) == 150
+
+
+def test_density_with_one_far_price(spark):
+    prices = spark.createDataFrame([(float(50 + i % 40),) for i in range(500)] + [(1e9,)], "price double")
+    rows = {r.point: r for r in ticket_price_density(prices).collect()}
+    assert len(rows) == 200 and rows[0].price == 50.0 and rows[199].price == 1e9
+    assert rows[0].density > 0 and all(r.density is not None for r in rows.values())
+    pairs = ticket_price_density(prices)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" in pairs and pairs.count("LogicalRDD") == 1  # one scan besides the moments
+
+
+def test_density_of_prices_very_near_each_other(spark):
+    prices = spark.createDataFrame([(10 + (i % 7) * 1e-6,) for i in range(700)], "price double")
+    rows = ticket_price_density(prices).collect()
+    assert len(rows) == 200 and all(r.density > 0 for r in rows)
+
+
+def test_density_without_spread_or_rows(spark):
+    same = spark.createDataFrame([(3.0,), (3.0,)], "price double")
+    assert {(r.price, r.density) for r in ticket_price_density(same).collect()} == {(3.0, None)}
+    assert ticket_price_density(same.where("false")).count() == 200
+
+
+def test_kpi_plan_does_not_multiply_rows(spark):
+    from conftest import SF_SMALL
+
+    from farebox.plans.queries import QUERIES
+
+    plan = QUERIES["kpi_overview"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
