@@ -13,6 +13,8 @@ by all pairs and never shipped one by one:
    compared: windows whose hash is alone in their group are unique and fall away, and the
    suffix array of what is left, built by linear grouping, brings equal windows together.
    The earliest of each set of equal windows stays, the others are covered.
+   An anchor of very many regions would make one group too large for a task: its windows
+   meet by a digest of 128 bits each instead, in groups that a batch has cut to one row.
 4. Covered bytes are merged by document and cut out.
 """
 
@@ -32,6 +34,8 @@ from farebox.staging import stage
 
 LENGTH, GRAM = 100, 32
 BATCH_BYTES = 1 << 17
+CROWD_ROWS = 1000
+WINDOW = -1
 RESULTS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -218,6 +222,14 @@ def compare_regions(texts: DataFrame, length: int) -> DataFrame:
 
         def settle(group: list[tuple]) -> None:
             nonlocal waiting_bytes
+            windows = [p for p in group if p[2] == WINDOW]
+            group = [p for p in group if p[2] != WINDOW]
+            earliest: dict[bytes, tuple[int, int, int]] = {}
+            for key, *_, digest in sorted(windows, key=lambda p: p[0]):
+                if digest is None or earliest.setdefault(digest, key) != key:
+                    spans.append((*key, key[2] + length))
+            if not group:
+                return
             first: dict[tuple[int, bytes], tuple[int, int, int]] = {}
             group.sort(key=lambda p: p[0])
             for i, a, b in sorted(unique_windows_removed(group, length)):
@@ -236,7 +248,7 @@ def compare_regions(texts: DataFrame, length: int) -> DataFrame:
                 if anchor != current:
                     if group:
                         settle(group)
-                        if waiting_bytes >= BATCH_BYTES:
+                        if waiting_bytes >= BATCH_BYTES or len(spans) >= BATCH_BYTES:
                             yield flush()
                     current, group = anchor, []
                 group.append(((id_, copy, low), low, place, data))
@@ -312,12 +324,13 @@ def remove_repeats(
     met = (
         find_regions(slim, length).repartition("anchor")
         .withColumn("nth", F.rank().over(by_region))
+        .withColumn("crowded", F.count("*").over(by_anchor) > CROWD_ROWS)
         .withColumn("mixed", F.min("region").over(by_anchor) != F.max("region").over(by_anchor))
         .where("again OR nth > 1 OR mixed")
     )
     unknown = (F.col("nth") == 1) & ~F.col("again")
     met = stage(
-        met.select("id", "copy", "low", "high", F.when(unknown, F.col("anchor")).alias("anchor"),
+        met.select("id", "copy", "low", "high", "crowded", F.when(unknown, F.col("anchor")).alias("anchor"),
                    F.when(unknown, F.col("place")).alias("place")),
         "repeat-regions",
     )
@@ -325,7 +338,7 @@ def remove_repeats(
         "id", "copy", F.col("low").alias("begin"), (F.col("high") + length).alias("end")
     )
     unclear = met.where("anchor IS NOT NULL").groupBy("id", "copy").agg(
-        F.collect_list(F.struct("anchor", "low", "high", "place")).alias("regions")
+        F.collect_list(F.struct("anchor", "low", "high", "place", "crowded")).alias("regions")
     )
     texts = _region_bytes(slim.join(unclear, ["id", "copy"]), length)
     texts = texts.repartition("anchor").sortWithinPartitions("anchor")
@@ -338,20 +351,39 @@ def remove_repeats(
 
 
 def _region_bytes(docs: DataFrame, length: int) -> DataFrame:
+    """The bytes of each region; for regions of crowded anchors a digest of each window.
+
+    Digests that a batch has earlier come out as covered (``bytes`` is null), with a key of
+    their own, so a very frequent window adds a row for each batch only.
+    """
     schema = "anchor long, id long, copy long, low int, place int, bytes binary"
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                id_, copy = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                data = (batch.column(2)[i].as_py() or "").encode("utf-8")
-                found = batch.column(3).slice(i, 1).flatten()
-                anchor, low, high, place = (found.field(k) for k in range(4))
-                pieces = [data[a : b + length] for a, b in zip(low.to_pylist(), high.to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [anchor, pa.array([id_] * len(pieces), pa.int64()), pa.array([copy] * len(pieces), pa.int64()),
-                     low, place, pa.array(pieces, pa.binary())],
-                    names=["anchor", "id", "copy", "low", "place", "bytes"],
-                )
+            rows: list[tuple] = []
+            first: dict[bytes, tuple[int, int, int]] = {}
+            for id_, copy, text, found in zip(*(c.to_pylist() for c in batch.columns)):
+                data = (text or "").encode("utf-8")
+                for region in found:
+                    low, high = region["low"], region["high"]
+                    if not region["crowded"]:
+                        piece = data[low : high + length]
+                        rows.append((region["anchor"], id_, copy, low, region["place"], piece))
+                        continue
+                    for at in range(low, high + 1):
+                        digest = hashlib.blake2b(data[at : at + length], digest_size=16).digest()
+                        place = (id_, copy, at)
+                        known = first.get(digest, place)
+                        first[digest] = min(known, place)
+                        if known != place:
+                            rows.append((hash(max(known, place)), *max(known, place), WINDOW, None))
+            for digest, place in first.items():
+                rows.append((int.from_bytes(digest[:8], "little", signed=True), *place, WINDOW, digest))
+            columns = list(zip(*rows)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)],
+                names=["anchor", "id", "copy", "low", "place", "bytes"],
+            )
 
     return docs.select("id", "copy", "__text", "regions").mapInArrow(run, schema)

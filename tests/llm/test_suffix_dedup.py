@@ -39,9 +39,10 @@ def test_suffix_array():
         assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
 
-@pytest.mark.parametrize("seed, batch", [(1, 1 << 17), (2, 300), (3, 1)])
-def test_equal_to_brute_force(spark, monkeypatch, seed, batch):
+@pytest.mark.parametrize("seed, batch, crowd", [(1, 1 << 17, 1000), (2, 300, 4), (3, 1, 9), (4, 1 << 17, 0)])
+def test_equal_to_brute_force(spark, monkeypatch, seed, batch, crowd):
     monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", batch)
+    monkeypatch.setattr(suffix_dedup, "CROWD_ROWS", crowd)
     r = random.Random(seed)
     rows = near_copies(seed, groups=6, copies=7)
     rows += [(len(rows) + i, "".join(r.choice("ab") for _ in range(400)) * 2) for i in range(4)]
