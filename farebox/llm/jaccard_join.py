@@ -33,7 +33,7 @@ from farebox.llm.text_arrays import Words, mix, shingle_sets, slices
 from farebox.staging import stage
 
 COUNTER_BITS, CHUNK_BITS, RANGES = 20, 16, 8
-SALT_ROWS = 1000
+SALT_ROWS = 100
 HOT_COUNT = 200_000
 
 
