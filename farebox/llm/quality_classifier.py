@@ -1,36 +1,44 @@
 """Quality classifier: random-indexing word vectors and a small network.
 
-The vocabulary of a corpus is open, so every word is mapped to one of ``N_FORMS`` word
-forms: kind of its first and last character, length, whether it is in capitals, and
-whether it repeats the word before it. Each form has fixed random index vectors. The vector
-of a form is its own index vector plus the mean of the index vectors of its neighbours over
-the whole corpus (random indexing; it needs the counts of neighbouring forms only). A
-document is the mean of its words' vectors, drawn a little to the corpus mean so that a few
-words say little, and the logarithm of their number. A network
-with one hidden layer, fitted in numpy on a bounded sample of labelled documents, gives a
-logit, and a temperature fitted on rows left out of the training makes it a probability.
+The vocabulary of a corpus is open, so no table of words is needed to tell them apart: the
+sparse random index vectors of a word are drawn from its 64-bit hash. The vector of a word
+is its own index vector plus the mean of the index vectors of its neighbours over the whole
+corpus (random indexing). The sums over neighbours are kept in ``BUCKETS`` rows by the first
+bits of the hash: words that share a row share the second part, never the first. A
+document is the mean of its words' vectors, the mean of index vectors of their forms (kind
+of the first and last character, length, whether in capitals, whether the word before is
+repeated), both drawn a little to the corpus mean so that a few words say little, and the
+logarithm of their number. A network with one hidden layer, fitted in numpy on a bounded
+sample of labelled documents, gives a logit, and a temperature fitted on rows left out of
+the training makes it a probability.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farebox.llm.quality_rules import _KIND, CHARACTER_CLASSES
 from farebox.llm.tables import text_last
-from farebox.llm.text_arrays import Words, slices
+from farebox.llm.text_arrays import Words, mix, slices
 
 DIMENSIONS, HIDDEN, NONZERO = 96, 32, 8
 TRAINING_ROWS = 20_000
 PRIOR_WORDS = 5
 _LENGTHS = np.array([2, 3, 4, 6, 9, 14])
 _CLASSES = len(CHARACTER_CLASSES)
-N_FORMS = _CLASSES * _CLASSES * (len(_LENGTHS) + 1) * 2 * 2
+BUCKET_BITS = 18
+BUCKETS, BLOCK, SCALE = 1 << BUCKET_BITS, 32, 1 << 14  # rows, rows sent at once, steps to 1
+WIDTH = 2 * DIMENSIONS + 1
+MOST_WORDS = 1 << 30  # neighbour sums of a task are sent before they could pass 32 bits
+OWN, BEFORE, AFTER, FORM = np.random.default_rng(1).integers(1, 2**63, (4, 2), dtype=np.uint64)
 _START = np.where(_KIND < 0, 0, _KIND).astype(np.int64)  # a word starts with a whole code point
 _UPPER = np.arange(256) - 65 < 26
 _UPPER[:65] = False
@@ -52,76 +60,156 @@ def word_forms(words: Words, data: np.ndarray) -> np.ndarray:
     return (form * 2 + capital) * 2 + again
 
 
-def index_vectors(seed: int) -> np.ndarray:
-    """Sparse random vectors of +1 and -1, one for each form."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((N_FORMS, DIMENSIONS))
-    spots = rng.random((N_FORMS, DIMENSIONS)).argpartition(NONZERO, axis=1)[:, :NONZERO]
-    np.put_along_axis(out, spots, rng.choice([-1.0, 1.0], (N_FORMS, NONZERO)), axis=1)
-    return out / np.sqrt(NONZERO)
+def index_vectors(keys: np.ndarray, seeds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sparse random vectors of the keys: ``NONZERO`` times a dimension and +1 or -1 for each.
+
+    The dimensions fall into ``NONZERO`` equal parts, and each part has one that is not zero.
+    """
+    part = DIMENSIONS // NONZERO
+    for k in range(NONZERO):
+        if k % 4 == 0:
+            bits = mix(keys.astype(np.uint64) ^ seeds[k // 4])
+        chunk = ((bits >> np.uint64(16 * (k % 4))) & np.uint64(0xFFFF)).astype(np.int64)
+        yield k * part + ((chunk >> 1) * part >> 15), 1 - 2 * (chunk & 1)
+
+
+def buckets(words: Words) -> np.ndarray:
+    return (words.hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def index_sums(keys: np.ndarray, seeds: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the index vectors of the keys of each of ``n`` rows."""
+    out = np.zeros(n * DIMENSIONS)
+    for spot, sign in index_vectors(keys, seeds):
+        out += np.bincount(rows * DIMENSIONS + spot, sign, len(out))
+    return out.reshape(n, DIMENSIONS)
+
+
+@dataclass
+class Vectors:
+    context: Broadcast  # mean of the neighbours' index vectors for each bucket, in 1 / SCALE
+    mean: np.ndarray  # of words and forms over the corpus
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as they need, after a byte that gives their size."""
+    most = max(int(values.max()), -int(values.min()))
+    kind = np.int8 if most < 1 << 7 else np.int16 if most < 1 << 15 else np.int32
+    return bytes([np.dtype(kind).itemsize]) + zlib.compress(values.astype(kind).tobytes(), 1)
 
 
-def neighbour_counts(docs: DataFrame, text: str) -> DataFrame:
-    """``pair`` (form * N_FORMS + next form) and ``n``, over all documents."""
+def unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[1:]), f"i{packed[0]}").astype(np.int64)
+
+
+def word_vectors(docs: DataFrame, text: str) -> Vectors:
+    """Neighbour means of every bucket, over all documents.
+
+    A task adds up its documents in a table of fixed size and sends each block of it once,
+    so a frequent word is no more to send than a rare one. Sums are whole numbers: the
+    result does not depend on the partitions.
+    """
+    columns = DIMENSIONS + 1  # the last counts neighbours
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}  # bounded by N_FORMS ** 2
+        table = np.zeros((BUCKETS, columns), np.int32)
+        flat, sums, seen = table.reshape(-1), np.zeros((2, DIMENSIONS)), 0
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            facts = np.concatenate([sums.ravel(), table.sum(axis=0, dtype=np.int64), [seen]])
+            cut = table.reshape(-1, BLOCK * columns)
+            some = np.flatnonzero(cut.any(axis=1))
+            for a in range(0, len(some), 256):
+                ids, values = some[a : a + 256], [pack(row) for row in cut[some[a : a + 256]]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(values, pa.binary())], names=["block", "sums"]
+                )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([-1], pa.int64()), pa.array([facts.astype(np.int64).tobytes()], pa.binary())],
+                names=["block", "sums"],
+            )
+
         for batch in batches:
             for _, data, offsets in slices(batch.column(0)):
                 words = Words(data, offsets)
-                form = word_forms(words, data)
-                inside = np.ones(max(len(form) - 1, 0), bool)
-                edges = words.first[(words.first > 0) & (words.first < len(form))]
+                if not len(words.starts):
+                    continue
+                if seen + len(words.starts) > MOST_WORDS:
+                    yield from blocks()
+                    table[:], sums[:], seen = 0, 0, 0
+                inside = np.ones(len(words.starts) - 1, bool)
+                edges = words.first[(words.first > 0) & (words.first < len(words.starts))]
                 inside[edges - 1] = False
-                pairs, n = np.unique((form[:-1] * N_FORMS + form[1:])[inside], return_counts=True)
-                for p, k in zip(pairs.tolist(), n.tolist()):
-                    total[p] = total.get(p, 0) + k
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())],
-            names=["pair", "n"],
-        )
-
-    found = docs.select(docs[text].alias("__text")).mapInArrow(run, "pair long, n long")
-    return found.groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def word_vectors(pairs: list[tuple[int, int]]) -> np.ndarray:
-    """Vector of every form from the counts of neighbouring forms; the last row is their
-    mean over the corpus."""
-    own, before, after = (index_vectors(seed) for seed in (1, 2, 3))
-    context, total = np.zeros((N_FORMS, DIMENSIONS)), np.zeros(N_FORMS)
-    if pairs:
-        code, n = (np.array(x) for x in zip(*sorted(pairs)))
-        left, right = code // N_FORMS, code % N_FORMS
-        np.add.at(context, left, after[right] * n[:, None])
-        np.add.at(context, right, before[left] * n[:, None])
-        np.add.at(total, left, n)
-        np.add.at(total, right, n)
-    vectors = own + context / np.maximum(total, 1)[:, None]
-    return np.vstack([vectors, total @ vectors / max(total.sum(), 1)])
-
-
-def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Document vectors: the mean word vector, and the logarithm of the number of words."""
-    out = np.zeros((len(column), DIMENSIONS + 1))
+                at = buckets(words) * columns
+                left, right = at[:-1][inside], at[1:][inside]
+                for spot, sign in index_vectors(words.hashes[1:][inside], AFTER):
+                    np.add.at(flat, left + spot, sign.astype(np.int32))
+                for spot, sign in index_vectors(words.hashes[:-1][inside], BEFORE):
+                    np.add.at(flat, right + spot, sign.astype(np.int32))
+                np.add.at(flat, left + DIMENSIONS, np.int32(1))
+                np.add.at(flat, right + DIMENSIONS, np.int32(1))
+                row = np.zeros(len(words.starts), np.int64)
+                sums[0] += index_sums(words.hashes, OWN, row, 1)[0]
+                sums[1] += index_sums(word_forms(words, data), FORM, row, 1)[0]
+                seen += len(words.starts)
+        if seen:
+            yield from blocks()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}  # bounded by the table
+        for batch in batches:
+            for block, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                values = np.frombuffer(sums, np.int64) if block < 0 else unpack(sums)
+                total[block] = total[block] + values if block in total else values
+        for block, values in total.items():
+            if block >= 0:
+                table = values.reshape(BLOCK, columns)
+                means = table[:, :-1] * (SCALE / np.sqrt(NONZERO)) / np.maximum(table[:, -1:], 1)
+                values = np.rint(means).astype(np.int16)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), pa.array([values.tobytes()], pa.binary())],
+                names=["block", "sums"],
+            )
+
+    schema = "block long, sums binary"
+    found = docs.select(docs[text].alias("__text")).mapInArrow(run, schema)
+    context = np.zeros((BUCKETS, DIMENSIONS), np.int16)
+    mean = np.zeros(2 * DIMENSIONS)
+    for block, sums in found.repartition("block").mapInArrow(add, schema).collect():
+        if block >= 0:
+            context[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(sums, np.int16).reshape(BLOCK, -1)
+        else:
+            facts = np.frombuffer(sums, np.int64)
+            own, form, near = facts[:-2].reshape(3, DIMENSIONS) / np.sqrt(NONZERO)
+            mean = np.concatenate([own / facts[-1] + near / max(facts[-2], 1), form / facts[-1]])
+    return Vectors(docs.sparkSession.sparkContext.broadcast(context), mean)
+
+
+def pooled(column: pa.Array, vectors: Vectors) -> np.ndarray:
+    """Document vectors: the mean word vector, the mean vector of word forms, and the
+    logarithm of the number of words."""
+    out = np.zeros((len(column), WIDTH))
     for first, data, offsets in slices(column):
         words = Words(data, offsets)
-        form = word_forms(words, data)
-        for a in range(0, len(offsets) - 1, 512):
-            b = min(a + 512, len(offsets) - 1)
-            part = form[words.first[a] : words.first[b]]
-            rows = np.repeat(np.arange(b - a), np.diff(words.first[a : b + 1]))
-            hist = np.bincount(rows * N_FORMS + part, minlength=(b - a) * N_FORMS)
-            n = np.diff(words.first[a : b + 1])
-            sums = hist.reshape(b - a, N_FORMS) @ vectors[:-1] + PRIOR_WORDS * vectors[-1]
-            mean = sums / (n + PRIOR_WORDS)[:, None]
-            out[first + a : first + b] = np.column_stack([mean, np.log1p(n) / 10])
+        n = np.diff(words.first)
+        rows = np.repeat(np.arange(len(n)), n)
+        near, bucket = np.zeros((len(n), DIMENSIONS), np.int64), buckets(words)
+        context = vectors.context.value
+        for a in range(0, len(bucket), 1 << 13):
+            part, row = context[bucket[a : a + (1 << 13)]], rows[a : a + (1 << 13)]
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            near[row[starts]] += np.add.reduceat(part.astype(np.int32), starts, axis=0)
+        own = index_sums(words.hashes, OWN, rows, len(n)) / np.sqrt(NONZERO) + near / SCALE
+        form = index_sums(word_forms(words, data), FORM, rows, len(n)) / np.sqrt(NONZERO)
+        sums = np.column_stack([own, form]) + PRIOR_WORDS * vectors.mean
+        mean = sums / (n + PRIOR_WORDS)[:, None]
+        out[first : first + len(n)] = np.column_stack([mean, np.log1p(n) / 10])
     return out
 
 
 @dataclass
 class Model:
-    vectors: np.ndarray
+    vectors: Vectors
     centre: np.ndarray
     scale: np.ndarray
     layers: list[np.ndarray]
@@ -136,7 +224,7 @@ class Model:
 
 
 def fit_network(
-    x: np.ndarray, y: np.ndarray, vectors: np.ndarray, seed: int = 7, epochs: int = 60
+    x: np.ndarray, y: np.ndarray, vectors: Vectors, seed: int = 7, epochs: int = 60
 ) -> Model:
     """Fit by Adam on batches of 256 rows. Without rows every score is one half."""
     rng = np.random.default_rng(seed)
@@ -195,8 +283,7 @@ def fit(
     their id, so it does not depend on partitions; a fifth of it sets the temperature. A
     document with several labels counts once, with the largest.
     """
-    pairs = [(r["pair"], r["n"]) for r in neighbour_counts(docs, text).collect()]
-    vectors = word_vectors(pairs)
+    vectors = word_vectors(docs, text)
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .where(~is_held_out(F.col("doc_id")))
@@ -223,7 +310,7 @@ def fit(
     # repeated document rows are cut to one for each label, which keeps the bound
     rows = rows.groupBy("doc_id", "y", "late").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    x = np.array([r["x"] for r in rows]).reshape(-1, DIMENSIONS + 1)
+    x = np.array([r["x"] for r in rows]).reshape(-1, WIDTH)
     y, late = np.array([r["y"] for r in rows], float), np.array([r["late"] for r in rows], bool)
     return calibrate(fit_network(x[~late], y[~late], vectors), x[late], y[late])
 

@@ -121,3 +121,17 @@ def test_calibration_lowers_the_loss():
     raw = -np.log(np.where(y[200:] > 0, model.scores(x[200:]), 1 - model.scores(x[200:]))).mean()
     quality_classifier.calibrate(model, x[200:], y[200:])
     assert -np.log(np.where(y[200:] > 0, model.scores(x[200:]), 1 - model.scores(x[200:]))).mean() <= raw
+
+
+def test_classifier_tells_words_of_one_shape_apart(spark):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    good, bad = (["".join(rng.choice(letters, 5)) for _ in range(40)] for _ in range(2))
+    rows = [(i, " ".join(rng.choice((bad, good)[i % 2], 40))) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels)
+    scored = quality_classifier.score(docs.where(quality_classifier.is_held_out(docs.doc_id)), model).toPandas()
+    assert len(scored) > 200 and ((scored.score >= 0.5) == (scored.doc_id % 2 == 1)).mean() > 0.98
+    again = quality_classifier.fit(docs.repartition(7), labels)
+    assert (again.vectors.context.value == model.vectors.context.value).all() and (again.vectors.mean == model.vectors.mean).all()
