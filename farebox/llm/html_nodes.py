@@ -2,7 +2,9 @@
 
 Inline elements melt into the block that holds them. Text that lies beside blocks in the
 same parent becomes a node of its own. End tags may be missing or stray; a page that breaks
-off in the middle of a tag ends before that tag. Work is linear in the length of the page.
+off in the middle of a tag ends before that tag. An element whose text is left out and that
+has no end tag of its own never takes the rest of the page with it. Work is linear in the
+length of the page.
 """
 
 from __future__ import annotations
@@ -19,7 +21,17 @@ BLOCKS = set(
     "li main menu nav ol optgroup option p pre search section select summary table tbody td "
     "tfoot th thead tr ul".split()
 )
-NEVER_TEXT = "script style template noscript textarea title iframe noembed noframes svg math object head select".split()
+NEVER_TEXT = "script style template noscript textarea title iframe noembed noframes svg math object select".split()
+FOREIGN, FALLBACK = {"svg", "math"}, {"noscript", "object", "template"}
+# Fixed values of HTML: start tags that end an unclosed svg or math, but for places in them
+# that hold HTML; and what may stand in a select.
+BREAKOUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li "
+    "listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var "
+    "article aside footer form header main nav section".split()
+)
+HOLDS_HTML = "foreignobject desc title annotation-xml mi mn mo ms mtext".split()
+IN_SELECT = {"option", "optgroup", "hr", "button", "legend", "div"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 CLOSED_BY_SAME = {
     "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"},
@@ -44,7 +56,11 @@ TOKEN_GROUPS = [
     r"cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|message|hidden",
 ]
 _TOKENS = [re.compile(rf"(?:^|[^a-z])(?:{g})(?:$|[^a-z])") for g in TOKEN_GROUPS]
-_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)([^>]*)(>?)|!--|[!?][^>]*>?)", re.S)
+# A value in quotation marks may hold ">"; a mark that is never closed is a stray one.
+_TAG = re.compile(
+    r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)*+)(>?)"""
+    r"""|!--|[!?][^>]*>?)"""
+)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:?!]")
@@ -71,50 +87,81 @@ class Page:
         self._open = [0]
         self._count: dict[str, int] = {"body": 1}
         self._link = False
+        self._head = False
         self._parse(source or "")
         self._separate_text()
 
     def _parse(self, source: str) -> None:
-        at, n, skip, skipped = 0, len(source), "", 0
-        while at < n:
+        at, n, skip = 0, len(source), ""
+        began, opened, inside = 0, "", {}  # of the skipped element: where, attributes, open tags
+        plain: dict[str, int] = {}  # tags that are not skipped before a place
+        while True:
             m = _TAG.search(source, at)
-            if not m:
-                self._text(source[at:], skip)
-                return
-            self._text(source[at : m.start()], skip)
+            self._text(source[at : m.start() if m else n], skip)
+            if not m or (m.group(2) and not m.group(4)):
+                # the page ends, or breaks off inside a tag
+                if not skip:
+                    return
+                at, plain[skip] = began, n
+                self._start(skip, opened)
+                skip = ""
+                continue
             if m.group() == "<!--":
                 end = source.find("-->", m.end())
                 at = n if end < 0 else end + 3
                 continue
+            at = m.end()
             if not m.group(2):
-                at = m.end()
                 continue
-            end, inner = m.end(), m.group(3)
-            if not m.group(4):
-                return  # the page breaks off inside a tag
-            while inner.count('"') % 2 and '="' in inner.replace(" ", ""):
-                more = source.find(">", end)
-                if more < 0 or more - end > 10_000:
-                    break  # a stray quotation mark
-                inner, end = source[m.start(3) : more], more + 1
-            at, tag, closing = end, m.group(2).lower(), bool(m.group(1))
-            if skip:
-                skipped += 0 if tag != skip else -1 if closing else 1
-                if skipped <= 0:
+            tag, closing, inner = m.group(2).lower(), bool(m.group(1)), m.group(3)
+            empty = inner.rstrip().endswith("/")
+            if skip and closing:
+                if inside.get(tag):
+                    inside[tag] -= 1
+                    if tag == skip and not inside[tag]:
+                        skip = ""
+                    continue
+                if not self._encloses(tag):
+                    continue
+                if skip in FALLBACK:
+                    at, plain[skip] = began, m.start()
+                    self._start(skip, opened)
                     skip = ""
-                continue
-            if tag in RAW and not closing:
+                    continue
+                skip = ""
+            elif skip and self._ends(skip, tag, inside):
+                skip = ""
+            if tag in RAW and not closing and skip not in FOREIGN:
                 stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                if not stop:
+                if not stop and not skip:
                     return
-                at = stop.end()
-            elif tag in NEVER_TEXT and not closing and not inner.rstrip().endswith("/"):
-                skip, skipped = tag, 1
+                at = stop.end() if stop else n
+            elif skip:
+                if not empty:
+                    inside[tag] = inside.get(tag, 0) + 1
+            elif tag in NEVER_TEXT and not closing and not empty and m.start() >= plain.get(tag, 0):
+                skip, began, opened, inside = tag, at, inner, {tag: 1}
             elif closing:
                 self._close(tag)
             else:
                 self._start(tag, inner)
 
+    def _encloses(self, tag: str) -> bool:
+        """Whether an end tag closes something that is open around a skipped element."""
+        if tag in ("head", "body", "html"):
+            return self._head or tag != "head"
+        return tag in BLOCKS and self._count.get(tag, 0) > 0
+
+    def _ends(self, skip: str, tag: str, inside: dict[str, int]) -> bool:
+        """Whether a start tag ends a skipped element that has not been closed."""
+        if tag == "body" and self._head and not inside.get("html"):
+            return True
+        if skip in FOREIGN:
+            return tag in BREAKOUT and not any(inside.get(x) for x in HOLDS_HTML)
+        if skip == "select":
+            return tag in ("input", "textarea") or (tag in BLOCKS and tag not in IN_SELECT)
+        return False
+
     def _text(self, raw: str, skip: str) -> None:
         if raw and not skip:
             text = html.unescape(raw) if "&" in raw else raw
@@ -125,6 +172,8 @@ class Page:
         self.order.append((self._open[-1], " "))
 
     def _start(self, tag: str, inner: str) -> None:
+        if tag in ("head", "body"):
+            self._head = tag == "head"
         if tag in ("body", "html"):
             return
         if tag not in BLOCKS:
@@ -161,6 +210,8 @@ class Page:
     def _close(self, tag: str) -> None:
         if tag == "a":
             self._link = False
+        elif tag == "head":
+            self._head = False
         if tag in BLOCKS and tag not in ("body", "html") and self._count.get(tag):
             while self.nodes[self._open[-1]].tag != tag:
                 self._pop()

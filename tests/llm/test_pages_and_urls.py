@@ -70,6 +70,37 @@ def test_broken_pages(model):
     assert all(isinstance(t, str) for t in texts) and MARK not in "".join(texts)
 
 
+def all_text(source):
+    page = Page(source)
+    return page.text([True] * len(page.nodes))
+
+
+@pytest.mark.parametrize("source, text", [
+    ("<html><head><title>x</title><body><p>text", "text"),
+    ("<head><meta charset=u><title>x</title><p>text</p> more", "text more"),
+    ("<head><noscript><style>p{}</style></head><body><p>text", "text"),
+    ("<div><select><option>a</div><p>text", "text"),
+    ("<select><option>a<p>text", "text"),
+    ("<div><svg><path d='M0'></div><p>text", "text"),
+    ("<svg><path d='M0'><p>text", "text"),
+    ("<div><object data=x><p>one</p></div><p>text", "one text"),
+    ("<template><p>text", "text"),
+    ("<div><noscript><noscript><img src=x></div><p>text", "text"),
+    ("a<svg><title>t</title><foreignObject><body><p>no</p></body></foreignObject></svg>b", "ab"),
+    ("<div>a<template><div>no</div><script>'</template></div>'</script></template>b</div>", "ab"),
+    (f"""<p data-x="{'{' * 9}>{'y' * 20_000}>">text</p>""", "text"),
+    ("<p title='a > b' data-y='\"'>text <a title='>'>more</a></p>", "text more"),
+    ("<p title=5\">text</p><p title=\"x>more", "text more"),
+])
+def test_missing_end_tags_and_quoted_marks(source, text):
+    assert all_text(source) == text
+
+
+def test_unclosed_elements_take_linear_time():
+    for source in ("<object>" * 40_000, "<div><noscript>" * 20_000 + "</div>" * 20_000, "<a b=\"'>" * 40_001):
+        assert isinstance(all_text(source), str)
+
+
 def test_every_page_of_the_table(spark):
     rows = {r.page_id: r for r in QUERIES["op1_html_extraction"](spark, SMALL).collect()}
     for page in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
