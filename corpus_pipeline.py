@@ -8,7 +8,7 @@ so a lost executor costs a part of one stage.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.llm import bpe, decontamination, jaccard_join, pii, quality_classifier
@@ -25,18 +25,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar shingle sets: the one with the smallest id.
+    """One row of each component of similar shingle sets: the one with the smallest id.
 
-    Documents without words, or without an id, are equal to none and stay. Of rows that
-    repeat an id the first in the order of text, language, source and size stays.
+    Every row is compared, whatever its id. Rows without an id come last; of rows with one
+    id the first by a hash of their other columns stays. Rows without words are equal to
+    none and stay, but for full repeats of a row with an id.
     """
     ship_code(spark)
-    found = jaccard_join.similar_components(docs, k=SHINGLE_WORDS, percent=PERCENT)
-    leading = found.where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(leading, "doc_id", "left_semi")
-    again = Window.partitionBy("doc_id").orderBy(*(c for c in docs.columns if c != "doc_id"))
-    kept = kept.withColumn("_again", F.row_number().over(again)).where("_again = 1")
-    return kept.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    others = F.xxhash64(*(c for c in docs.columns if c != "doc_id"))
+    rows = docs.select("*", F.monotonically_increasing_id().alias("_row"), others.alias("_order"))
+    rows = stage(rows, "pipeline-rows")  # row numbers hold once they are written
+    found = jaccard_join.similar_components(
+        rows.select(F.col("_row").alias("doc_id"), "text"), k=SHINGLE_WORDS, percent=PERCENT
+    ).withColumnsRenamed({"doc_id": "_row"})
+    wordless = F.col("n_shingles") == 0
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_order", "_row"))
+    leading = (
+        rows.select("_row", "doc_id", "_order").join(found, "_row")
+        .groupBy(
+            F.when(~wordless, F.col("component_id")), F.when(wordless, F.col("doc_id")),
+            F.when(wordless, F.col("_order")), F.when(wordless & F.col("doc_id").isNull(), F.col("_row")),
+        )
+        .agg(first.alias("_first")).select("_first._row")
+    )
+    return rows.join(leading, "_row", "left_semi").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

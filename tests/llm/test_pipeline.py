@@ -51,3 +51,13 @@ def test_stages_take_odd_tables(spark):
         assert step(spark, no_documents(spark), FOLDER).count() == 0
     left = corpus_pipeline.near_duplicates(spark, docs, FOLDER)
     assert sorted(r.doc_id for r in left.where("doc_id IS NOT NULL").collect()) == [1, 2, 3, 4, 5, 7, 9, 11, 12]
+
+
+def test_near_duplicates_by_row(spark):
+    x, y, z = ("".join(f"{c}{i} " for i in range(30)) for c in "xyz")
+    rows = [(3, x), (5, x), (5, y), (None, y), (None, z), (None, z + "end"), (6, None), (6, None), (6, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()]
+    assert sorted((r for r in left if r[0]), key=str) == [(3, x), (5, y), (6, ""), (6, None)]
+    others = [t for i, t in left if i is None]
+    assert len(others) == 3 and others.count(None) == 2 and next(filter(None, others)) in (z, z + "end")
