@@ -6,12 +6,18 @@ deletions, substitutions). Cut into ``k + 1`` pieces, at least one piece must th
 unchanged. All pieces of a block of items form one automaton; every document is scanned
 once, and around each piece hit the item is verified by Myers' bit-parallel distance.
 
+Items under ``MIN_CHARS`` characters are too short to be told by edits. With ``short_items``
+they are searched as they are, with word boundaries on both sides; scripts that are written
+without spaces have a boundary at every character.
+
 Items are processed in blocks of bounded size, each held against all documents, so memory
 does not grow with the benchmark.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,6 +29,8 @@ from farebox.llm.tables import text_last
 EDIT_RATE = 0.05
 MIN_CHARS = 30
 BLOCK_CHARS = 1_000_000
+# Thai, Lao, Burmese, Khmer, and Han with kana.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")
 HITS = "item_id long, distance int, match_start int, match_end int"
 
 
@@ -67,12 +75,21 @@ def bits(item: str) -> dict[str, int]:
     return masks
 
 
+def boundary(left: str, right: str) -> bool:
+    """Whether a word may end between two characters (empty: the end of the text)."""
+    for c in (left, right):
+        if not (c.isalnum() or c == "_" or c and unicodedata.combining(c)) or _UNSPACED.match(c):
+            return True
+    return False
+
+
 class Block:
-    """A bounded set of items, searched together."""
+    """A bounded set of items, searched together; those under ``exact_under`` characters
+    without edits and between word boundaries."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = items
-        self.budgets = [int(rate * len(text)) for _, text in items]
+    def __init__(self, items: list[tuple[int, str]], rate: float, exact_under: int = 0):
+        self.items, self.exact_under = items, exact_under
+        self.budgets = [int(rate * len(text)) if len(text) >= exact_under else 0 for _, text in items]
         self.masks = [bits(text) for _, text in items]
         self.mirrors = [bits(text[::-1]) for _, text in items]
         where: dict[str, list[tuple[int, int]]] = {}
@@ -98,6 +115,14 @@ class Block:
         for i, at in starts.items():
             item_id, item = self.items[i]
             budget, m = self.budgets[i], len(item)
+            if m < self.exact_under:
+                whole = [
+                    s for s in at
+                    if boundary(text[s - 1 : s] if s else "", item[0]) and boundary(item[-1], text[s + m : s + m + 1])
+                ]
+                if whole:
+                    found.append((item_id, 0, min(whole), min(whole) + m))
+                continue
             best: tuple[int, int, int] | None = None
             low = high = None
             for s in [*sorted(at), None]:
@@ -120,33 +145,36 @@ class Block:
         return found
 
 
-def item_blocks(items: DataFrame, rate: float, min_chars: int, block_chars: int) -> Iterator[Block]:
+def item_blocks(
+    items: DataFrame, rate: float, min_chars: int, block_chars: int, short_items: bool = False
+) -> Iterator[Block]:
     """Blocks of at most ``block_chars`` characters (or one item), streamed to the driver."""
     block: list[tuple[int, str]] = []
-    size = 0
+    size, exact_under = 0, min_chars if short_items else 0
     for row in items.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id").toLocalIterator():
         text = normalise(row["text"])
-        if len(text) < min_chars:
+        if not text or (len(text) < min_chars and not short_items):
             continue
         if block and size + len(text) > block_chars:
-            yield Block(block, rate)
+            yield Block(block, rate, exact_under)
             block, size = [], 0
         block.append((row["item_id"], text))
         size += len(text)
     if block:
-        yield Block(block, rate)
+        yield Block(block, rate, exact_under)
 
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str] | None = None,
     rate: float = EDIT_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS,
+    short_items: bool = False,
 ) -> DataFrame:
     """One row for each pair of a document row and an item that occurs in it.
 
     ``keep`` (default: all columns) of the document, ``item_id``, ``distance`` (edits of
     the best place, the first on ties) and its ``match_start`` and ``match_end`` in the
     normalised text. Null and empty texts match nothing; items under ``min_chars``
-    normalised characters are too short to tell and are not searched. Repeated rows give
+    normalised characters are searched only with ``short_items``, without edits. Repeated rows give
     repeated results. Columns named like a result give way to it.
     """
     results = [part.split(" ")[0] for part in HITS.split(", ")]
@@ -156,15 +184,17 @@ def find_leaks(
     schema = ", ".join([*kinds, HITS])
     out = docs.sparkSession.createDataFrame([], schema)
     first = True
-    for block in item_blocks(items, rate, min_chars, block_chars):
-        found = source.mapInArrow(_searcher(block.items, rate, keep, at), schema)
+    for block in item_blocks(items, rate, min_chars, block_chars, short_items):
+        found = source.mapInArrow(_searcher(block, rate, keep, at), schema)
         out, first = (found if first else out.unionByName(found)), False
     return out
 
 
-def _searcher(items: list[tuple[int, str]], rate: float, keep: list[str], at: int):
+def _searcher(made: Block, rate: float, keep: list[str], at: int):
+    items, exact_under = made.items, made.exact_under
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(items, rate)
+        block = Block(items, rate, exact_under)
         for batch in batches:
             rows, hits = [], []
             for i, value in enumerate(batch.column(at)):
@@ -185,18 +215,20 @@ def _searcher(items: list[tuple[int, str]], rate: float, keep: list[str], at: in
 
 def without_leaks(
     docs: DataFrame, items: DataFrame, text: str = "text", rate: float = EDIT_RATE,
-    min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS,
+    min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS, short_items: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` in which no item occurs, all columns, one pass per block."""
     out = docs
-    for block in item_blocks(items, rate, min_chars, block_chars):
-        out = out.mapInArrow(_dropper(block.items, rate, out.columns.index(text)), out.schema)
+    for block in item_blocks(items, rate, min_chars, block_chars, short_items):
+        out = out.mapInArrow(_dropper(block, rate, out.columns.index(text)), out.schema)
     return out
 
 
-def _dropper(items: list[tuple[int, str]], rate: float, column: int):
+def _dropper(made: Block, rate: float, column: int):
+    items, exact_under = made.items, made.exact_under
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(items, rate)
+        block = Block(items, rate, exact_under)
         for batch in batches:
             clean = [not block.matches(normalise(v.as_py())) for v in batch.column(column)]
             yield batch.filter(pa.array(clean, pa.bool_()))

@@ -45,7 +45,7 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of a document and a benchmark item that occurs in it."""
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
-    return decontamination.find_leaks(docs, items, keep=["doc_id"])
+    return decontamination.find_leaks(docs, items, keep=["doc_id"], short_items=True)
 
 
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:

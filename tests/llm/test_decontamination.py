@@ -4,6 +4,7 @@ import random
 
 from odd_tables import ODD_ROWS, clashing, no_documents, odd_documents
 
+import corpus_pipeline
 from farebox.llm import decontamination as d
 from farebox.llm.queries import QUERIES
 
@@ -97,3 +98,19 @@ def test_odd_rows(spark):
     assert d.find_leaks(no_documents(spark), items).count() == 0
     assert d.find_leaks(docs, items.where("false")).count() == 0
     assert d.without_leaks(docs, items.where("false")).count() == len(ODD_ROWS)
+
+
+def test_short_items(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [(1, "So, what is 2+2? Four."), (2, "Words only"), (3, "a word"), (4, "\u6771\u4eac\u90fd\u5e81"), (5, None), (6, "keyword word")],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame(
+        [(1, "What is 2+2?"), (2, "word"), (3, "\u4eac\u90fd"), (4, " "), (5, "four, or five then"), (6, None)], "item_id long, text string"
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = sorted(map(tuple, QUERIES["op4_decontamination"](spark, str(tmp_path)).collect()))
+    assert found == [(1, 1, 0, 4, 16), (3, 2, 0, 2, 6), (4, 3, 0, 1, 3), (6, 2, 0, 8, 12)]
+    left = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [2, 5]
