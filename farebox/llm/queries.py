@@ -13,6 +13,7 @@ from farebox.llm import (
     decontamination,
     html_extraction,
     jaccard_join,
+    line_dedup,
     oracle,
     pii,
     quality_classifier,
@@ -111,6 +112,14 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without lines that ten documents share."""
+    docs = table(spark, folder, "documents")
+    found = line_dedup.shared_line_bitmaps(docs, min_docs=10, min_chars=1, keep=["doc_id", "text"])
+    kept = line_dedup.kept_text(F.col("text"), F.col("keep_lines"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_jaccard_join": op2_jaccard_join,
@@ -122,10 +131,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_pii": op9_pii,
     "op10_bpe": op10_bpe,
+    "op11_line_dedup": op11_line_dedup,
 }
 # The others are beyond SQL: models, random draws, edit distances, token merges.
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_join": oracle.SIMILAR,
     "op3_suffix_dedup": oracle.REPEATS,
     "op5_url_filter": url_filter.ORACLE_SQL,
+    "op11_line_dedup": line_dedup.ORACLE_SQL,
 }
