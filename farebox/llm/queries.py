@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from farebox.llm import (
     bpe,
+    collocations,
     decontamination,
     html_extraction,
     jaccard_join,
@@ -120,6 +121,11 @@ def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2,000 phrases of every language."""
+    return collocations.collocations(table(spark, folder, "documents"), min_count=100, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_jaccard_join": op2_jaccard_join,
@@ -132,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_bpe": op10_bpe,
     "op11_line_dedup": op11_line_dedup,
+    "op13_collocations": op13_collocations,
 }
 # The others are beyond SQL: models, random draws, edit distances, token merges.
 ORACLE_SQL: dict[str, str] = {
@@ -139,4 +146,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_suffix_dedup": oracle.REPEATS,
     "op5_url_filter": url_filter.ORACLE_SQL,
     "op11_line_dedup": line_dedup.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
 }
