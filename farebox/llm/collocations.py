@@ -33,6 +33,7 @@ OUT_ROWS = 1 << 16
 PAIR_BITS = 26  # the bit table of frequent pairs has 2^PAIR_BITS bits (8 MB)
 BITMAP = 1 << 15  # bits in one bitmap of bitmap_construct_agg
 SALTS = 64
+MOST_LANGS = 10_000  # sizes of so many languages are broadcast, of more they are joined by key
 BREAK = b"\xff"  # stands between pieces; in no UTF-8 text
 _LETTERS = dict(zip(range(ord("A"), ord("Z") + 1), range(ord("a"), ord("z") + 1)))
 _FOLD = bytes(BREAK[0] if b in b".,;:!?\n\x0b\x0c\r" else _LETTERS.get(b, b) for b in range(256))
@@ -207,6 +208,8 @@ def collocations(
     texts = docs.select(F.coalesce(docs[lang], F.lit("und")).alias("lang"), docs[text].alias("text"))
     counts = phrase_counts(texts, min_count)
     sizes = counts.where("k = 0").select("lang", F.col("f").alias("n"))
+    if sizes.count() <= MOST_LANGS:
+        sizes = F.broadcast(sizes)
     parts = counts.where("k > 0").select("lang", "phrase", "f")
     phrases = counts.where("k > 1").select("lang", "phrase", F.split("phrase", " ").alias("words"), "k", F.col("f").alias("a"))
 

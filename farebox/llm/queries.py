@@ -14,6 +14,7 @@ from farebox.llm import (
     decontamination,
     html_extraction,
     jaccard_join,
+    lexical_search,
     line_dedup,
     oracle,
     pii,
@@ -121,6 +122,12 @@ def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return lexical_search.search(docs, items, top=20)
+
+
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """The first 2,000 phrases of every language."""
     return collocations.collocations(table(spark, folder, "documents"), min_count=100, top=2000)
@@ -138,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_bpe": op10_bpe,
     "op11_line_dedup": op11_line_dedup,
+    "op12_lexical_search": op12_lexical_search,
     "op13_collocations": op13_collocations,
 }
 # The others are beyond SQL: models, random draws, edit distances, token merges.
@@ -146,5 +154,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_suffix_dedup": oracle.REPEATS,
     "op5_url_filter": url_filter.ORACLE_SQL,
     "op11_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_lexical_search": lexical_search.ORACLE_SQL,
     "op13_collocations": collocations.ORACLE_SQL,
 }
