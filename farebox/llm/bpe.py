@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from farebox.llm.tables import text_last
 
-MEMO_FRAGMENTS = 300_000
+MEMO_FRAGMENTS = 1 << 16  # of words and of fragments each; a task forgets them at its end
 TYPES = "n_tokens long, ids binary, ids_sha256 string, decoded string, decoded_sha256 string"
 
 
@@ -212,5 +212,7 @@ def encode_texts(
                 [*batch.columns[: len(keep)], *(pa.array(made[r], arrow[kinds[r]]) for r in results)],
                 names=[*keep, *results],
             )
+        bpe.memo.clear()  # the process lives on and may do other work
+        bpe.fragments.clear()
 
     return source.mapInArrow(run, schema)

@@ -299,18 +299,17 @@ def fit(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pooled(batch.column(3), vectors)
-            edges = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+            packed = pa.array([row.tobytes() for row in x], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1).cast(pa.int32()), batch.column(2),
-                 pa.ListArray.from_arrays(edges, x.ravel())],
+                [batch.column(0), batch.column(1).cast(pa.int32()), batch.column(2), packed],
                 names=["doc_id", "y", "late", "x"],
             )
 
-    rows = labelled.mapInArrow(run, "doc_id long, y int, late boolean, x array<double>")
+    rows = labelled.mapInArrow(run, "doc_id long, y int, late boolean, x binary")
     # repeated document rows are cut to one for each label, which keeps the bound
     rows = rows.groupBy("doc_id", "y", "late").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    x = np.array([r["x"] for r in rows]).reshape(-1, WIDTH)
+    x = np.frombuffer(b"".join([r["x"] for r in rows])).reshape(-1, WIDTH)
     y, late = np.array([r["y"] for r in rows], float), np.array([r["late"] for r in rows], bool)
     return calibrate(fit_network(x[~late], y[~late], vectors), x[late], y[late])
 
