@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from farebox.llm.tables import text_last
 
-MEMO_FRAGMENTS = 1 << 16  # of words and of fragments each; a task forgets them at its end
+MEMO_WORDS, MEMO_FRAGMENTS = 1 << 18, 1 << 16  # remembered by a process: some 80 MB
 TYPES = "n_tokens long, ids binary, ids_sha256 string, decoded string, decoded_sha256 string"
 
 
@@ -35,6 +36,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class ForcedBoundaryBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -53,8 +58,8 @@ class ForcedBoundaryBpe:
         # neighbours inside tokens; the last symbol of a word is another symbol than inside
         split = map(self.symbols_of, self.vocab)
         self.joined = {pair for symbols in split for pair in zip(symbols, symbols[1:])}
-        self.memo: dict[str, list[int]] = {}
-        self.fragments: dict[tuple[str, ...], list[int]] = {}
+        self.memo: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
+        self.fragments: dict[tuple[str, ...], bytes] = {}
 
     def symbols_of(self, token: str) -> list[str]:
         if token.endswith(self.end) and len(token) > len(self.end):
@@ -78,7 +83,7 @@ class ForcedBoundaryBpe:
                 start = i
         yield tuple(symbols[start:])
 
-    def merge(self, fragment: tuple[str, ...]) -> list[int]:
+    def merge(self, fragment: tuple[str, ...]) -> bytes:
         """The ids of one fragment: merge the pair of the lowest rank, leftmost first."""
         known = self.fragments.get(fragment)
         if known is not None:
@@ -96,7 +101,7 @@ class ForcedBoundaryBpe:
                     ranks[i - 1] = rank_of((parts[i - 1], parts[i]), never)
                 if i < len(ranks):
                     ranks[i] = rank_of((parts[i], parts[i + 1]), never)
-        ids = [self.vocab[p] for p in parts]
+        ids = pack([self.vocab[p] for p in parts])
         if len(self.fragments) >= MEMO_FRAGMENTS:
             self.fragments.clear()
         if len(fragment) <= 64:
@@ -128,36 +133,37 @@ class ForcedBoundaryBpe:
                         heapq.heappush(heap, (r, left, *pair))
         return [t for t in text if t is not None]
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         known = self.memo.get(word)
         if known is not None:
             return known
         letters = self.letters
         symbols = [letters[b] for b in word.encode("utf-8")]
         symbols[-1] += self.end
-        ids: list[int] = []
-        for fragment in self.cut(symbols):
-            ids += self.merge(fragment)
-        if len(self.memo) >= MEMO_FRAGMENTS:
+        ids = b"".join([self.merge(fragment) for fragment in self.cut(symbols)])
+        if len(self.memo) >= MEMO_WORDS:
             self.memo.clear()
         if len(word) <= 64:
             self.memo[word] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+        return np.frombuffer(self.encode_packed(text), "<u4").tolist()
+
+    def encode_packed(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        ids: list[bytes] = []
         start = 0
         for m in self.specials.finditer(text) if "<|" in text else ():
             self._encode_plain(text[start : m.start()], ids)
-            ids.append(self.special[m.group()])
+            ids.append(pack([self.special[m.group()]]))
             start = m.end()
         self._encode_plain(text[start:] if start else text, ids)
-        return ids
+        return b"".join(ids)
 
-    def _encode_plain(self, text: str, ids: list[int]) -> None:
+    def _encode_plain(self, text: str, ids: list[bytes]) -> None:
         memo, word = self.memo, self.word
-        for w in self.words.findall(self.normalise(text)):
-            ids += memo.get(w) or word(w)
+        ids += [memo.get(w) or word(w) for w in self.words.findall(self.normalise(text))]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by a space, as the file names no decoder."""
@@ -196,8 +202,8 @@ def encode_texts(
         for batch in batches:
             made: dict[str, list] = {r: [] for r in results}
             for value in batch.column(at):
-                ids = bpe.encode(value.as_py() or "")
-                packed = np.array(ids, "<u4").tobytes()
+                packed = bpe.encode_packed(value.as_py() or "")
+                ids = np.frombuffer(packed, "<u4").tolist()
                 decoded = bpe.decode(ids)
                 row = {
                     "n_tokens": len(ids),
@@ -212,7 +218,5 @@ def encode_texts(
                 [*batch.columns[: len(keep)], *(pa.array(made[r], arrow[kinds[r]]) for r in results)],
                 names=[*keep, *results],
             )
-        bpe.memo.clear()  # the process lives on and may do other work
-        bpe.fragments.clear()
 
     return source.mapInArrow(run, schema)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from farebox.llm.quality_rules import _KIND, CHARACTER_CLASSES
 from farebox.llm.tables import text_last
 from farebox.llm.text_arrays import Words, mix, slices
+from farebox.staging import stage
 
 DIMENSIONS, HIDDEN, NONZERO = 96, 32, 8
 TRAINING_ROWS = 20_000
@@ -175,7 +176,8 @@ def word_vectors(docs: DataFrame, text: str) -> Vectors:
     found = docs.select(docs[text].alias("__text")).mapInArrow(run, schema)
     context = np.zeros((BUCKETS, DIMENSIONS), np.int16)
     mean = np.zeros(2 * DIMENSIONS)
-    for block, sums in found.repartition("block").mapInArrow(add, schema).collect():
+    added = stage(found.repartition("block").mapInArrow(add, schema), "neighbours")
+    for block, sums in added.toLocalIterator():  # a part at a time; the whole has the table's size
         if block >= 0:
             context[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(sums, np.int16).reshape(BLOCK, -1)
         else:
@@ -307,10 +309,10 @@ def fit(
 
     rows = labelled.mapInArrow(run, "doc_id long, y int, late boolean, x binary")
     # repeated document rows are cut to one for each label, which keeps the bound
-    rows = rows.groupBy("doc_id", "y", "late").agg(F.min("x").alias("x")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    x = np.frombuffer(b"".join([r["x"] for r in rows])).reshape(-1, WIDTH)
-    y, late = np.array([r["y"] for r in rows], float), np.array([r["late"] for r in rows], bool)
+    rows = stage(rows.groupBy("doc_id", "y", "late").agg(F.min("x").alias("x")), "training-rows")
+    facts = sorted((r["doc_id"], r["y"], r["late"], r["x"]) for r in rows.toLocalIterator())
+    x = np.frombuffer(b"".join([r[3] for r in facts])).reshape(-1, WIDTH)
+    y, late = np.array([r[1] for r in facts], float), np.array([r[2] for r in facts], bool)
     return calibrate(fit_network(x[~late], y[~late], vectors), x[late], y[late])
 
 
