@@ -39,6 +39,14 @@ def parse_second(value: Column, dtype: T.DataType) -> Column:
     return F.when(text.rlike(CLOCK_TIME), hour * 3600 + minute * 60 + second)
 
 
+def parse_hour(value: Column, dtype: T.DataType) -> Column:
+    """Hour of the same clock times, from the first part alone."""
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.hour(value)
+    text = value.cast("string")
+    return F.when(text.rlike(CLOCK_TIME), F.substring_index(text, ":", 1).try_cast("int"))
+
+
 def parse_number(value: Column, dtype: T.DataType) -> Column:
     """Number or null. The pattern keeps out ``12d`` and ``NaN``; infinite values and values
     of ``MONEY_LIMIT`` or more, which no sum could hold, are null as well."""
@@ -89,9 +97,9 @@ def clean_purchases(raw: DataFrame) -> DataFrame:
         "purchase_day": F.dayofmonth(day),
     }
     if "time_purchase" in types:
-        second = parse_second(F.col("time_purchase"), types["time_purchase"])
-        typed["time_purchase_second"] = second
-        typed["time_purchase_hour"] = F.floor(second / 3600).cast("int")
+        given = F.col("time_purchase"), types["time_purchase"]
+        typed["time_purchase_second"] = parse_second(*given)
+        typed["time_purchase_hour"] = parse_hour(*given)
     if tickets_name in types:
         typed[tickets_name] = whole_number(parse_number(tickets, types[tickets_name]))
         derived["avg_ticket_price"] = F.when(tickets > 0, gmv / tickets).otherwise(F.lit(0.0))

@@ -60,11 +60,13 @@ def retention_curve(retention: DataFrame) -> DataFrame:
 
 
 def cohort_grid(retention: DataFrame, last_period: int | None = None) -> DataFrame:
-    """Cohort rows with one column ``p0`` .. per period up to ``last_period``, by default
-    up to the largest there is (months between two dates, so the calendar bounds it)."""
+    """Cohort rows with a column ``p0`` .. for each period up to ``last_period``, by default
+    for each period that some cohort has. A mistyped year adds the few columns of its own
+    cells and not the thousands of months before them."""
     if last_period is None:
-        last_period = retention.agg(F.max("periods")).first()[0] or 0
-    periods = list(range(last_period + 1))
+        periods = [row["periods"] for row in retention.select("periods").distinct().sort("periods").collect()]
+    else:
+        periods = list(range(last_period + 1))
     return (
         retention.groupBy("primeira_compra")
         .pivot("periods", periods)
@@ -73,6 +75,20 @@ def cohort_grid(retention: DataFrame, last_period: int | None = None) -> DataFra
     )
 
 
+def cohort_cells(retention: DataFrame) -> DataFrame:
+    """Every cohort with every period that some cohort has; absent cells are null.
+
+    The long form of the grid without the grid: a cohort is a map of its cells, and the
+    periods are one array for all.
+    """
+    periods = retention.agg(F.sort_array(F.collect_set("periods")).alias("x")).scalar()
+    cells = F.map_from_entries(F.collect_list(F.struct("periods", "retention")))
+    cohorts = retention.groupBy("primeira_compra").agg(cells.alias("cells"))
+    return cohorts.select("primeira_compra", "cells", F.explode(periods).alias("periods")).select(
+        "primeira_compra", "periods", F.try_element_at("cells", "periods").alias("retention")
+    )
+
+
 def grid_to_rows(grid: DataFrame) -> DataFrame:
     """A cohort grid back to (cohort, period, retention), absent cells included as null."""
     periods = [column for column in grid.columns if column != "primeira_compra"]

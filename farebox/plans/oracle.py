@@ -172,6 +172,46 @@ weekdays AS (
     (5, 'Saturday', 'Sábado'), (6, 'Sunday', 'Domingo')) AS v(dow, day_en, day_pt))
 """
 
+CHAIN = """,
+chain AS (
+  SELECT fk_contact, d, route, lag(route) OVER w AS prev1, lag(route, 2) OVER w AS prev2,
+         lead(route) OVER w IS NULL AS is_last
+  FROM p WHERE fk_contact IS NOT NULL AND d IS NOT NULL AND route IS NOT NULL
+  WINDOW w AS (PARTITION BY fk_contact ORDER BY d, coalesce(second, -1), id, route))
+"""
+
+# Best next route after two routes, after one, and of all.
+CONTEXTS = """,
+best2 AS (
+  SELECT prev2, prev1, route AS r2, CAST(n AS DOUBLE) / CAST(sum(n) OVER w AS DOUBLE) AS s2, sum(n) OVER w AS total
+  FROM (SELECT prev2, prev1, route, count(*) AS n FROM {chain} WHERE prev2 IS NOT NULL GROUP BY ALL)
+  WINDOW w AS (PARTITION BY prev2, prev1)
+  QUALIFY row_number() OVER (PARTITION BY prev2, prev1 ORDER BY n DESC, route) = 1),
+best1 AS (
+  SELECT prev1, route AS r1, CAST(n AS DOUBLE) / CAST(sum(n) OVER w AS DOUBLE) AS s1, sum(n) OVER w AS total
+  FROM (SELECT prev1, route, count(*) AS n FROM {chain} WHERE prev1 IS NOT NULL GROUP BY ALL)
+  WINDOW w AS (PARTITION BY prev1)
+  QUALIFY row_number() OVER (PARTITION BY prev1 ORDER BY n DESC, route) = 1),
+best0 AS (
+  SELECT route AS r0, CAST(n AS DOUBLE) / CAST(sum(n) OVER () AS DOUBLE) AS s0
+  FROM (SELECT route, count(*) AS n FROM {chain} GROUP BY route)
+  QUALIFY row_number() OVER (ORDER BY n DESC, route) = 1)
+"""
+
+WAITS = """,
+waits AS (
+  SELECT Segment, days, CAST(sum(bought) AS BIGINT) AS bought, CAST(sum(waiting) AS BIGINT) AS waiting
+  FROM (SELECT fk_contact, since AS days, 1 AS bought, 0 AS waiting FROM gaps WHERE since IS NOT NULL
+        UNION ALL SELECT fk_contact, greatest(recency, 0), 0, 1 FROM rfm) w
+  JOIN segments s ON s.fk_contact = w.fk_contact GROUP BY Segment, days),
+risk AS (
+  SELECT *, sum(bought + waiting) OVER (PARTITION BY Segment ORDER BY days DESC) AS at_risk FROM waits),
+curve AS (
+  SELECT *, CASE WHEN bought = at_risk THEN 0 ELSE exp(sum(CASE WHEN bought = at_risk THEN 0
+           ELSE ln(1 - CAST(bought AS DOUBLE) / at_risk) END) OVER (PARTITION BY Segment ORDER BY days)) END AS survival
+  FROM risk)
+"""
+
 MONTHS = """,
 months AS (
   SELECT * FROM (VALUES (1, 'January', 'Janeiro'), (2, 'February', 'Fevereiro'),
@@ -633,6 +673,45 @@ one AS (
 SELECT *, CAST(1 AS DOUBLE) / classes AS baseline, accuracy / (CAST(1 AS DOUBLE) / classes) AS lift,
        (accuracy - CAST(1 AS DOUBLE) / classes) * 100 AS points_above, customers >= 50 AS enough_data
 FROM one
+""",
+    "route_transitions": _P + CHAIN + """
+SELECT prev1 AS previous_route, route, count(*) AS transitions,
+       CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY prev1) AS DOUBLE) AS share
+FROM chain WHERE prev1 IS NOT NULL GROUP BY prev1, route
+""",
+    "next_route_markov": _P + CHAIN + CONTEXTS.format(chain="chain") + """
+SELECT fk_contact, c.route AS last_route, c.prev1 AS route_before_last,
+       CAST(CASE WHEN r2 IS NOT NULL THEN 2 WHEN r1 IS NOT NULL THEN 1 ELSE 0 END AS INT) AS context_length,
+       coalesce(r2, r1, r0) AS next_route, coalesce(s2, s1, s0) AS probability
+FROM chain c
+LEFT JOIN best2 b ON b.prev2 = c.prev1 AND b.prev1 = c.route AND b.total >= 5
+LEFT JOIN best1 a ON a.prev1 = c.route AND a.total >= 5 CROSS JOIN best0
+WHERE is_last
+""",
+    "next_route_markov_metrics": _P + CHAIN + """,
+sides AS (SELECT *, CAST('0x' || substr(md5(fk_contact), 1, 8) AS BIGINT) % 100 < 80 AS training FROM chain),
+known AS (SELECT * FROM sides WHERE training)
+""" + CONTEXTS.format(chain="known") + """
+SELECT count(*) AS customers,
+       CAST(count(*) FILTER (c.route = coalesce(r2, r1, r0)) AS DOUBLE) / count(*) AS accuracy,
+       CAST(count(*) FILTER (c.route = r0) AS DOUBLE) / count(*) AS popular_accuracy,
+       count(*) FILTER (r2 IS NOT NULL) AS by_two_routes,
+       count(*) FILTER (r2 IS NULL AND r1 IS NOT NULL) AS by_one_route
+FROM sides c
+LEFT JOIN best2 b ON b.prev2 = c.prev2 AND b.prev1 = c.prev1 AND b.total >= 5
+LEFT JOIN best1 a ON a.prev1 = c.prev1 AND a.total >= 5 CROSS JOIN best0
+WHERE is_last AND NOT training
+""",
+    "waits_by_segment": _SEGMENTS + GAPS + WAITS + """
+SELECT Segment, CAST(days AS INT) AS days, bought, waiting, CAST(at_risk AS BIGINT) AS at_risk,
+       round(survival, 6) AS survival FROM curve
+""",
+    "days_to_next_baseline": _SEGMENTS + GAPS + WAITS + """
+SELECT Segment, CAST(sum(bought) AS BIGINT) AS bought, CAST(sum(waiting) AS BIGINT) AS waiting,
+       CAST(min(days) FILTER (survival <= 0.5 + 1e-9) AS INT) AS median_days, """ + ", ".join(
+        f"round(1 - coalesce(min(survival) FILTER (days <= {h}), 1), 6) AS chance_{h}_days" for h in (7, 15, 30)
+    ) + """
+FROM curve GROUP BY Segment
 """,
     "events_kpi_overview": _EVENTS + _KPI,
     "events_weekday_hour_counts": _EVENTS + _DOW_HOUR,

@@ -10,7 +10,17 @@ from farebox.models import features as model_features
 from farebox.models import metrics
 from farebox.models import repurchase as repurchase_operators
 from farebox.models import routes as route_operators
-from farebox.operators import cart, cohort, cycle, decisions, distributions, overview, rankings
+from farebox.operators import (
+    cart,
+    cohort,
+    cycle,
+    decisions,
+    distributions,
+    overview,
+    rankings,
+    sequence,
+    survival,
+)
 from farebox.operators import rfm as rfm_operators
 from farebox.plans.workspace import Workspace
 from farebox.sources.reader import write_result
@@ -85,7 +95,7 @@ REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
     "cohort_retention": lambda w: w.retention,
     "retention_curve": lambda w: cohort.retention_curve(w.retention),
     "cohort_grid": lambda w: cohort.cohort_grid(w.retention),
-    "cohort_grid_rows": lambda w: cohort.grid_to_rows(cohort.cohort_grid(w.retention)),
+    "cohort_grid_rows": lambda w: cohort.cohort_cells(w.retention),
     # Rankings
     "route_ranking": lambda w: rankings.route_ranking(w.trips),
     "origin_ranking": lambda w: rankings.origin_ranking(w.trips),
@@ -131,6 +141,14 @@ REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
     "route_metrics": lambda w: route_operators.route_metrics(w.routes, w.route_features),
     "route_importance": lambda w: route_operators.route_importance(w.spark, w.routes),
     "route_recommendations": lambda w: w.routes.recommend(route_operators.profiles_of(w.rfm)),
+    # Sequences of routes, and waits with those not yet over
+    "route_transitions": lambda w: sequence.route_transitions(w.route_chain),
+    "next_route_markov": lambda w: sequence.next_route_markov(w.route_chain),
+    "next_route_markov_metrics": lambda w: sequence.markov_metrics(
+        w.route_chain, model_features.in_training(F.col("fk_contact"))
+    ),
+    "waits_by_segment": lambda w: w.waits.withColumn("survival", F.round("survival", 6)),
+    "days_to_next_baseline": lambda w: survival.days_to_next_baseline(w.waits),
     # Decisions
     "contact_plan": contact_plan,
     # The same rules and metrics on scores from digests, which need no model
@@ -155,7 +173,8 @@ TIMED = ["gmv_by_hour", "purchases_by_hour", "weekday_hour_counts", "weekday_hou
 TICKETED = ["kpi_overview", "tickets_distribution", "avg_ticket_price",
             "ticket_price_histogram", "ticket_price_density"]
 ROUTED = ["route_ranking", "top_route_purchases", "route_features", "route_baseline", "route_model",
-          "route_metrics", "route_importance", "route_recommendations", "scored_routes", "guessed_route_metrics"]
+          "route_metrics", "route_importance", "route_recommendations", "scored_routes", "guessed_route_metrics",
+          "route_transitions", "next_route_markov", "next_route_markov_metrics"]
 _NEEDS: list[tuple[list[str], str]] = [
     (TIMED, "time_purchase_hour"),
     (TICKETED, "total_tickets_quantity_success"),

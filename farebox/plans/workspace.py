@@ -10,7 +10,7 @@ from farebox.functions.fixed_values import PURCHASE_COLUMNS
 from farebox.models.features import repurchase_features, route_features
 from farebox.models.repurchase import RepurchaseModels, fit_repurchase
 from farebox.models.routes import RouteModel, fit_routes
-from farebox.operators import cohort, cycle, rankings
+from farebox.operators import cohort, cycle, rankings, sequence, survival
 from farebox.operators import rfm as rfm_operators
 from farebox.operators.decisions import best_contact_slot
 from farebox.sources.reader import conform, is_csv, read_personas, read_raw
@@ -150,6 +150,15 @@ class Workspace:
     def routes(self) -> RouteModel:
         return fit_routes(self.route_features)
 
+    @cached_property
+    def route_chain(self) -> DataFrame:
+        return stage(sequence.route_chain(self.trips), "route-chain")
+
+    @cached_property
+    def waits(self) -> DataFrame:
+        intervals = cycle.purchase_intervals(self.purchases)
+        return stage(survival.survival(survival.waits(intervals, self.rfm, self.segments)), "waits")
+
     @cached_property
     def contact_slot(self) -> DataFrame:
         return stage(best_contact_slot(self.purchases), "contact-slot")
