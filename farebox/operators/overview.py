@@ -45,9 +45,11 @@ def kpi_overview(purchases: DataFrame, tickets: DataFrame | None = None) -> Data
     )
 
 
-def ingest_profile(raw: DataFrame) -> DataFrame:
+def ingest_profile(raw: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
     """Row and column counts, nulls per input column, rejected values and the covered
-    period, as (metric, value) text rows. Rejected numbers are values that are there but are no number, not finite or too large."""
+    period, as (metric, value) text rows. Rejected numbers are values that are there but
+    are no number, not finite or too large; ``rejected`` are lines that were no rows, of
+    which the number is given, and the number for each fault."""
     types = {field.name: field.dataType for field in raw.schema.fields}
     numbers = [name for name in (GMV, TICKETS) if name in types]
     # Raw and cleaned values side by side, in one pass.
@@ -76,7 +78,15 @@ def ingest_profile(raw: DataFrame) -> DataFrame:
         ],
         *[F.count_if(F.col(name).isNull()).cast("string").alias(f"nulls:{name}") for name in inputs],
     )
-    return one_row.unpivot([], one_row.columns, "metric", "value")
+    profile = one_row.unpivot([], one_row.columns, "metric", "value")
+    if rejected is None:
+        return profile
+    faults = rejected.groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+    lines = faults.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).withColumn("metric", F.lit("rejected:lines"))
+    each = faults.withColumn("metric", F.concat(F.lit("rejected:lines:"), "fault"))
+    return profile.unionByName(
+        lines.unionByName(each.drop("fault")).select("metric", F.col("n").cast("string").alias("value"))
+    )
 
 
 def gmv_by_month(purchases: DataFrame) -> DataFrame:

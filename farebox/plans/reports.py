@@ -199,7 +199,10 @@ def write_reports(w: Workspace, folder: str, names: Iterable[str] | None = None)
     """Write the named (or all) analyses as Parquet, one folder each.
 
     Returns the names that were left out because the purchases lack a column for them.
+    Lines of a CSV that were no rows are written to ``rejected_lines`` beside the analyses.
     """
+    if w.rejected is not None:
+        write_result(w.rejected, f"{folder}/rejected_lines")
     wanted, possible = list(REPORTS if names is None else names), set(available(w))
     for name in wanted:
         if name in possible:

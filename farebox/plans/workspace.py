@@ -13,7 +13,15 @@ from farebox.models.routes import RouteModel, fit_routes
 from farebox.operators import cohort, cycle, rankings, sequence, survival
 from farebox.operators import rfm as rfm_operators
 from farebox.operators.decisions import best_contact_slot
-from farebox.sources.reader import conform, is_csv, read_personas, read_raw
+from farebox.sources.reader import (
+    conform,
+    good_rows,
+    is_csv,
+    read_csv,
+    read_personas,
+    read_raw,
+    rejected_lines,
+)
 from farebox.sources.star_schema import order_purchases, order_tickets, raw_purchases
 from farebox.staging import release, stage
 
@@ -37,8 +45,10 @@ class Workspace:
         slim: DataFrame | None = None,
         personas: DataFrame | None = None,
         tickets: DataFrame | None = None,
+        rejected: DataFrame | None = None,
     ):
         self.raw = raw
+        self.rejected = rejected
         self.as_of = as_of
         self.slim = slim
         self.personas = personas
@@ -61,12 +71,17 @@ class Workspace:
         personas: str | None = None,
     ) -> "Workspace":
         """On a purchases file, and a personas file for the segment profiles. CSV text is
-        parsed once, into typed Parquet."""
-        raw = conform(read_raw(spark, path))
+        parsed once, into typed Parquet; its lines that are no rows become ``rejected``."""
+        rejected = None
         if is_csv(path):
-            typed = clean_purchases(raw).select(*[c for c in PURCHASE_COLUMNS if c in raw.columns])
-            raw = stage(typed, "purchases")
-        return cls(raw, as_of, personas=read_personas(spark, personas) if personas else None)
+            records = conform(read_csv(spark, path))
+            given = [c for c in PURCHASE_COLUMNS if c in records.columns]
+            records = stage(clean_purchases(records).select(*given, "_fault", "_line"), "purchases")
+            raw, rejected = good_rows(records), rejected_lines(records)
+        else:
+            raw = conform(read_raw(spark, path))
+        found = read_personas(spark, personas) if personas else None
+        return cls(raw, as_of, personas=found, rejected=rejected)
 
     def close(self) -> None:
         """The workspace is done. With the last open one go all tables the application staged."""

@@ -1,6 +1,8 @@
 """Purchases from CSV or Parquet, personas from text, results to Parquet."""
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.functions.cleaning import clean_purchases
@@ -58,20 +60,79 @@ def is_csv(path: str) -> bool:
     return path.rstrip("/").lower().endswith((".csv", ".csv.gz", ".csv.bz2", ".csv.zst"))
 
 
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+
+
+def files_with_broken_lines(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Files of a CSV path in which some line has an odd number of quotes, and the others.
+
+    Such a line starts or ends a quoted value with a line break in it. These files can not
+    be split at lines; each is read by one task, all others in splits.
+    """
+    lines = spark.read.text(path)
+    odd = lines.where(_quotes(F.col("value")) % 2 == 1)
+    broken = {row[0] for row in odd.select(F.input_file_name()).distinct().collect()}
+    return sorted(broken), sorted(set(lines.inputFiles()) - broken)
+
+
+def line_fault(line: Column, columns: int) -> Column:
+    """Why a malformed line can not be a row: ``unclosed quote`` or ``surplus fields``, else
+    null. A line with too few fields is a row that ends in nulls."""
+    plain = F.regexp_replace(line, '"(?:[^"]|"")*+"', "")
+    fields = F.length(plain) - F.length(F.replace(plain, F.lit(","), F.lit(""))) + 1
+    return F.when(_quotes(line) % 2 == 1, "unclosed quote").when(fields > columns, "surplus fields")
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Every record of a CSV file with header, all columns as text, plus ``_fault`` and ``_line``.
+
+    Records that can not be a row have the reason in ``_fault`` and their whole text in
+    ``_line``; for all others both are null. Quoted values may hold commas and line breaks.
+    Empty lines are no records. No record is dropped.
+    """
+    # Without inferSchema every column is text: no pass over the data for types, and
+    # rejected values can be counted afterwards.
+    given = spark.read.option("header", True).option("escape", '"')
+    columns = given.csv(path).columns
+    schema = ", ".join([f"`{c}` string" for c in columns] + ["_line string"])
+    # all columns are parsed whatever is read of them, else malformed lines pass unseen
+    given = given.schema(schema).option("columnNameOfCorruptRecord", "_line").option("columnPruning", False)
+    broken, whole = files_with_broken_lines(spark, path)
+    if not broken:
+        text = given.csv(path)
+    else:
+        parts = [given.option("multiLine", multi).csv([unquote(f) for f in files])
+                 for files, multi in ((broken, True), (whole, False)) if files]
+        text = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    values = {c: F.col(f"`{c}`") for c in columns}
+    # Spark refuses queries of the malformed text alone, so a value is always read with it
+    nothing = F.left(F.coalesce(values[columns[0]], F.lit("")), F.lit(0))
+    line = F.concat("_line", nothing)
+    fault = line_fault(line, len(columns))
+    return text.select(
+        *[F.when(~value.isin(MISSING_TEXTS), value).alias(c) for c, value in values.items()],
+        fault.alias("_fault"), F.when(fault.isNotNull(), line).alias("_line"),
+    )
+
+
+def good_rows(records: DataFrame) -> DataFrame:
+    return records.where(F.col("_fault").isNull()).drop("_fault", "_line")
+
+
+def rejected_lines(records: DataFrame) -> DataFrame:
+    """``fault`` and ``line`` of the records that are no rows."""
+    found = records.where(F.col("_fault").isNotNull())
+    return found.select(F.col("_fault").alias("fault"), F.col("_line").alias("line"))
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Scan a CSV file with header (every column as text) or Parquet.
+    """Rows of a CSV file with header (every column as text) or of Parquet.
 
-    Quoted values of a CSV may hold commas, not line breaks (a file is split at those);
-    values beyond the header's columns are dropped. A path without suffix is Parquet.
+    ``read_csv`` also gives the lines that can not be rows. A path without suffix is Parquet.
     """
     if is_csv(path):
-        # Without inferSchema every column is text: no pass over the data for types,
-        # and rejected values can be counted afterwards.
-        text = spark.read.option("header", True).option("escape", '"').csv(path)
-        present = {c: F.col(f"`{c}`") for c in text.columns}
-        return text.select(
-            *[F.when(~value.isin(MISSING_TEXTS), value).alias(c) for c, value in present.items()]
-        )
+        return good_rows(read_csv(spark, path))
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()
     if name.endswith(".parquet") or "." not in name:
         return spark.read.parquet(path)
