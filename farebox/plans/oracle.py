@@ -701,6 +701,40 @@ FROM sides c
 LEFT JOIN best2 b ON b.prev2 = c.prev2 AND b.prev1 = c.prev1 AND b.total >= 5
 LEFT JOIN best1 a ON a.prev1 = c.prev1 AND a.total >= 5 CROSS JOIN best0
 WHERE is_last AND NOT training
+""",
+    "asked_customers_plan": _RFM + CHAIN + CONTEXTS.format(chain="chain") + f""",
+scores AS (
+  SELECT fk_contact,
+         {", ".join(f"CAST(CAST('0x' || substr(md5(fk_contact || ':{h}'), 1, 8) AS BIGINT) % 100 AS DOUBLE) / 100 AS prob_{h}" for h in (7, 15, 30))}
+  FROM rfm),
+best AS (SELECT *, greatest(prob_7, prob_15, prob_30) AS chance FROM scores),
+places AS (
+  SELECT fk_contact, coalesce(r2, r1, r0) AS next_route, coalesce(s2, s1, s0) AS probability
+  FROM chain c
+  LEFT JOIN best2 b ON b.prev2 = c.prev1 AND b.prev1 = c.route AND b.total >= 5
+  LEFT JOIN best1 a ON a.prev1 = c.route AND a.total >= 5 CROSS JOIN best0
+  WHERE is_last)
+SELECT CAST(c_custkey AS STRING) AS fk_contact, b.fk_contact IS NOT NULL AS known,
+       CAST(CASE chance WHEN prob_7 THEN 7 WHEN prob_15 THEN 15 WHEN prob_30 THEN 30 END AS INT) AS best_window_days,
+       chance AS window_probability, next_route, probability AS route_probability,
+       chance * probability AS joint_probability
+FROM customer LEFT JOIN best b ON b.fk_contact = CAST(c_custkey AS STRING)
+LEFT JOIN places p ON p.fk_contact = CAST(c_custkey AS STRING)
+""",
+    "scored_days_metrics": _RFM + GAPS + """,
+guesses AS (
+  SELECT days_until_next_purchase AS days, purchases AS n,
+         CAST(CAST('0x' || substr(md5(l.fk_contact || ':days'), 1, 8) AS BIGINT) % 100 AS DOUBLE) / 100 * 100 AS guess,
+         CAST('0x' || substr(md5(l.fk_contact), 1, 8) AS BIGINT) % 100 < 80 AS training
+  FROM labels l JOIN rfm ON rfm.fk_contact = l.fk_contact),
+mean AS (
+  SELECT CAST(sum(days * n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS mean_days FROM guesses WHERE training)
+SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS test_rows,
+       round(sqrt(sum(n * (guess - days) * (guess - days)) / CAST(sum(n) AS DOUBLE)), 6) AS rmse,
+       round(sum(n * abs(guess - days)) / CAST(sum(n) AS DOUBLE), 6) AS mae,
+       round(sqrt(sum(n * (mean_days - days) * (mean_days - days)) / CAST(sum(n) AS DOUBLE)), 6) AS rmse_of_mean,
+       round(sum(n * abs(mean_days - days)) / CAST(sum(n) AS DOUBLE), 6) AS mae_of_mean
+FROM guesses CROSS JOIN mean WHERE NOT training
 """,
     "waits_by_segment": _SEGMENTS + GAPS + WAITS + """
 SELECT Segment, CAST(days AS INT) AS days, bought, waiting, CAST(at_risk AS BIGINT) AS at_risk,

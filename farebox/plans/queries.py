@@ -4,8 +4,11 @@ import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from farebox.functions.cleaning import clean_purchases
+from farebox.models import metrics
+from farebox.models.joint import joint_plan
 from farebox.operators import overview
 from farebox.plans.reports import REPORTS
 from farebox.plans.workspace import Workspace
@@ -73,6 +76,14 @@ def ingest_profile(spark: SparkSession, folder: str) -> DataFrame:
     return overview.ingest_profile(as_text(workspace(spark, folder).raw_trips))
 
 
+def asked_customers_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """When and where, by digest scores and Markov routes, for every customer on file; many
+    of them have never bought."""
+    w = workspace(spark, folder)
+    asked = spark.read.parquet(f"{folder}/customer.parquet").select(F.col("c_custkey").cast("string").alias("fk_contact"))
+    return joint_plan(asked, metrics.with_digest_scores(w.rfm), w.next_route)
+
+
 def _query(report: Callable, source: str = "orders") -> Callable:
     return lambda spark, folder: report(workspace(spark, folder, source))
 
@@ -80,6 +91,7 @@ def _query(report: Callable, source: str = "orders") -> Callable:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "purchases_clean": purchases_clean,
     "ingest_profile": ingest_profile,
+    "asked_customers_plan": asked_customers_plan,
     **{name: _query(report) for name, report in REPORTS.items()},
     **{name: _query(REPORTS[report], "events") for name, report in EVENT_REPORTS.items()},
 }

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farebox.functions.fixed_values import HORIZONS
+from farebox.models import days_to_next
 from farebox.models import features as model_features
 from farebox.models import metrics
 from farebox.models import repurchase as repurchase_operators
 from farebox.models import routes as route_operators
+from farebox.models.joint import joint_plan
 from farebox.operators import (
     cart,
     cohort,
@@ -117,9 +119,7 @@ REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
     "purchase_count_histogram": lambda w: distributions.purchase_count_histogram(w.purchases),
     # Model inputs
     "repurchase_features": lambda w: w.repurchase_features,
-    "repurchase_features_point_in_time": lambda w: model_features.point_in_time_features(
-        w.labels, w.purchases
-    ),
+    "repurchase_features_point_in_time": lambda w: w.point_in_time_features,
     "train_test_split": lambda w: model_features.train_test_split(w.repurchase_features),
     "top_route_purchases": top_route_purchases,
     "route_features": lambda w: w.route_features,
@@ -143,11 +143,23 @@ REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
     "route_recommendations": lambda w: w.routes.recommend(route_operators.profiles_of(w.rfm)),
     # Sequences of routes, and waits with those not yet over
     "route_transitions": lambda w: sequence.route_transitions(w.route_chain),
-    "next_route_markov": lambda w: sequence.next_route_markov(w.route_chain),
+    "next_route_markov": lambda w: w.next_route,
     "next_route_markov_metrics": lambda w: sequence.markov_metrics(
         w.route_chain, model_features.in_training(F.col("fk_contact"))
     ),
     "waits_by_segment": lambda w: w.waits.withColumn("survival", F.round("survival", 6)),
+    "days_to_next_scores": lambda w: w.days_model.score(w.point_in_time_features),
+    "days_to_next_metrics": lambda w: days_to_next.days_metrics(
+        w.days_model.score(w.point_in_time_features)
+    ),
+    "scored_days_metrics": lambda w: days_to_next.days_metrics(
+        w.repurchase_features.withColumn(
+            "predicted_days", metrics.digest_score(F.col("fk_contact"), "days") * 100
+        )
+    ),
+    "joint_plan": lambda w: joint_plan(
+        w.rfm, w.repurchase.score(route_operators.profiles_of(w.rfm)), w.next_route
+    ),
     "days_to_next_baseline": lambda w: survival.days_to_next_baseline(w.waits),
     # Decisions
     "contact_plan": contact_plan,
@@ -174,7 +186,7 @@ TICKETED = ["kpi_overview", "tickets_distribution", "avg_ticket_price",
             "ticket_price_histogram", "ticket_price_density"]
 ROUTED = ["route_ranking", "top_route_purchases", "route_features", "route_baseline", "route_model",
           "route_metrics", "route_importance", "route_recommendations", "scored_routes", "guessed_route_metrics",
-          "route_transitions", "next_route_markov", "next_route_markov_metrics"]
+          "route_transitions", "next_route_markov", "next_route_markov_metrics", "joint_plan"]
 _NEEDS: list[tuple[list[str], str]] = [
     (TIMED, "time_purchase_hour"),
     (TICKETED, "total_tickets_quantity_success"),

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from farebox.functions.cleaning import clean_purchases
 from farebox.functions.fixed_values import PURCHASE_COLUMNS
-from farebox.models.features import repurchase_features, route_features
+from farebox.models.days_to_next import DaysModel, fit_days
+from farebox.models.features import point_in_time_features, repurchase_features, route_features
 from farebox.models.repurchase import RepurchaseModels, fit_repurchase
 from farebox.models.routes import RouteModel, fit_routes
 from farebox.operators import cohort, cycle, rankings, sequence, survival
@@ -169,6 +170,18 @@ class Workspace:
     def route_chain(self) -> DataFrame:
         return stage(sequence.route_chain(self.trips), "route-chain")
 
+    @cached_property
+    def next_route(self) -> DataFrame:
+        return stage(sequence.next_route_markov(self.route_chain), "next-route")
+
+    @cached_property
+    def point_in_time_features(self) -> DataFrame:
+        return stage(point_in_time_features(self.labels, self.purchases), "point-in-time-features")
+
+    @cached_property
+    def days_model(self) -> DaysModel:
+        return fit_days(self.point_in_time_features)
+
     @cached_property
     def waits(self) -> DataFrame:
         intervals = cycle.purchase_intervals(self.purchases)
