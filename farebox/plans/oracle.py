@@ -735,6 +735,28 @@ SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS test_rows,
        round(sqrt(sum(n * (mean_days - days) * (mean_days - days)) / CAST(sum(n) AS DOUBLE)), 6) AS rmse_of_mean,
        round(sum(n * abs(mean_days - days)) / CAST(sum(n) AS DOUBLE), 6) AS mae_of_mean
 FROM guesses CROSS JOIN mean WHERE NOT training
+""",
+    "scored_cluster_profile": _RFM + """,
+logs AS (
+  SELECT fk_contact, recency, frequency, monetary, ln(1 + greatest(recency, 0)) AS a,
+         ln(1 + greatest(frequency, 0)) AS b, ln(1 + greatest(monetary, 0)) AS c,
+         CAST(floor(CAST(CAST('0x' || substr(md5(fk_contact || ':cluster'), 1, 8) AS BIGINT) % 100 AS DOUBLE)
+              / 100 * 4) AS INT) AS cluster
+  FROM rfm),
+points AS (
+  SELECT *, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS x, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS y,
+         (c - avg(c) OVER ()) / stddev_pop(c) OVER () AS z FROM logs),
+pairs AS (
+  SELECT p.fk_contact, p.cluster, q.cluster AS other,
+         avg((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) FILTER (p.fk_contact <> q.fk_contact) AS far
+  FROM points p CROSS JOIN points q GROUP BY ALL),
+each AS (
+  SELECT fk_contact, cluster, max(far) FILTER (other = cluster) AS inside, min(far) FILTER (other <> cluster) AS near
+  FROM pairs GROUP BY ALL)
+SELECT e.cluster, count(*) AS customers, round(avg(recency), 6) AS mean_recency,
+       round(avg(frequency), 6) AS mean_frequency, round(avg(monetary), 6) AS mean_monetary,
+       round(avg((near - inside) / greatest(near, inside)), 6) AS silhouette
+FROM each e JOIN points p ON p.fk_contact = e.fk_contact GROUP BY e.cluster
 """,
     "waits_by_segment": _SEGMENTS + GAPS + WAITS + """
 SELECT Segment, CAST(days AS INT) AS days, bought, waiting, CAST(at_risk AS BIGINT) AS at_risk,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farebox.functions.fixed_values import HORIZONS
-from farebox.models import days_to_next
+from farebox.models import clusters, days_to_next
 from farebox.models import features as model_features
 from farebox.models import metrics
 from farebox.models import repurchase as repurchase_operators
@@ -141,6 +141,16 @@ REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
     "route_metrics": lambda w: route_operators.route_metrics(w.routes, w.route_features),
     "route_importance": lambda w: route_operators.route_importance(w.spark, w.routes),
     "route_recommendations": lambda w: w.routes.recommend(route_operators.profiles_of(w.rfm)),
+    # Clusters
+    "customer_clusters": lambda w: w.clusters.assign(w.scaled_rfm).select(
+        "fk_contact", *model_features.FEATURES, "cluster"
+    ),
+    "cluster_profile": lambda w: clusters.cluster_profile(w.clusters.assign(w.scaled_rfm)),
+    "scored_cluster_profile": lambda w: clusters.cluster_profile(
+        w.scaled_rfm.withColumn(
+            "cluster", F.floor(metrics.digest_score(F.col("fk_contact"), "cluster") * 4).cast("int")
+        )
+    ),
     # Sequences of routes, and waits with those not yet over
     "route_transitions": lambda w: sequence.route_transitions(w.route_chain),
     "next_route_markov": lambda w: w.next_route,

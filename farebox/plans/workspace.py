@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from farebox.functions.cleaning import clean_purchases
 from farebox.functions.fixed_values import PURCHASE_COLUMNS
+from farebox.models.clusters import Clusters, fit_clusters, scaled
 from farebox.models.days_to_next import DaysModel, fit_days
 from farebox.models.features import point_in_time_features, repurchase_features, route_features
 from farebox.models.repurchase import RepurchaseModels, fit_repurchase
@@ -170,6 +171,14 @@ class Workspace:
     def route_chain(self) -> DataFrame:
         return stage(sequence.route_chain(self.trips), "route-chain")
 
+    @cached_property
+    def scaled_rfm(self) -> DataFrame:
+        return stage(scaled(self.rfm), "scaled-rfm")
+
+    @cached_property
+    def clusters(self) -> Clusters:
+        return fit_clusters(self.scaled_rfm)
+
     @cached_property
     def next_route(self) -> DataFrame:
         return stage(sequence.next_route_markov(self.route_chain), "next-route")
