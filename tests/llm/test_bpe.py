@@ -73,6 +73,7 @@ def test_cuts_are_safe_and_useful(own):
 
 def test_memo_limit_changes_nothing(library, monkeypatch):
     monkeypatch.setattr("farebox.llm.bpe.MEMO_FRAGMENTS", 3)
+    monkeypatch.setattr("farebox.llm.bpe.MEMO_WORDS", 3)
     small = ForcedBoundaryBpe(PATH)
     assert all(agree(small, library, r[1] or "") for r in ODD_ROWS)
 
