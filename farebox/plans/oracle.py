@@ -198,6 +198,26 @@ best0 AS (
   QUALIFY row_number() OVER (ORDER BY n DESC, route) = 1)
 """
 
+# Last route of test customers who bought before, and what is left of all purchases.
+HELD_OUT = """,
+held AS (
+  SELECT fk_contact, route FROM chain
+  WHERE is_last AND prev1 IS NOT NULL AND CAST('0x' || substr(md5(fk_contact), 1, 8) AS BIGINT) % 100 >= 80),
+kept AS (
+  SELECT fk_contact, route FROM chain c
+  WHERE NOT (is_last AND EXISTS (SELECT 1 FROM held h WHERE h.fk_contact = c.fk_contact)))
+"""
+
+
+def _ranking_metrics(found: str) -> str:
+    return f"""
+SELECT count(*) AS customers, round(CAST(count(position) AS DOUBLE) / count(*), 9) AS hit_rate,
+       round(coalesce(sum(1 / log2(position + 1)), 0) / count(*), 9) AS ndcg,
+       round(coalesce(sum(CAST(1 AS DOUBLE) / position), 0) / count(*), 9) AS reciprocal_rank
+FROM held h LEFT JOIN {found}
+"""
+
+
 WAITS = """,
 waits AS (
   SELECT Segment, days, CAST(sum(bought) AS BIGINT) AS bought, CAST(sum(waiting) AS BIGINT) AS waiting
@@ -758,6 +778,23 @@ SELECT e.cluster, count(*) AS customers, round(avg(recency), 6) AS mean_recency,
        round(avg((near - inside) / greatest(near, inside)), 6) AS silhouette
 FROM each e JOIN points p ON p.fk_contact = e.fk_contact GROUP BY e.cluster
 """,
+    "held_out_routes": _P + CHAIN + HELD_OUT + "SELECT * FROM held",
+    "route_history": _P + CHAIN + HELD_OUT + """
+SELECT fk_contact, route, count(*) AS purchases FROM kept GROUP BY ALL
+""",
+    "popular_route_metrics": _P + CHAIN + HELD_OUT + """,
+best AS (
+  SELECT route, row_number() OVER (ORDER BY count(DISTINCT fk_contact) DESC, route) AS position
+  FROM kept GROUP BY route QUALIFY position <= 3)
+""" + _ranking_metrics("best b ON b.route = h.route"),
+    "scored_route_ranking_metrics": _ROUTES + RFM.format(as_of=AS_OF) + CHAIN + HELD_OUT + """,
+places AS (
+  SELECT fk_contact, route, row_number() OVER (PARTITION BY fk_contact ORDER BY probability DESC, route) AS position
+  FROM (SELECT rfm.fk_contact, route,
+               CAST('0x' || substr(md5(rfm.fk_contact || ':' || route), 1, 8) AS BIGINT) % 100 AS probability
+        FROM rfm CROSS JOIN top_routes)
+  QUALIFY position <= 3)
+""" + _ranking_metrics("places r ON r.fk_contact = h.fk_contact AND r.route = h.route"),
     "waits_by_segment": _SEGMENTS + GAPS + WAITS + """
 SELECT Segment, CAST(days AS INT) AS days, bought, waiting, CAST(at_risk AS BIGINT) AS at_risk,
        round(survival, 6) AS survival FROM curve

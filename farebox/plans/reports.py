@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farebox.functions.fixed_values import HORIZONS
-from farebox.models import clusters, days_to_next
+from farebox.models import clusters, collaborative, days_to_next
 from farebox.models import features as model_features
 from farebox.models import metrics
 from farebox.models import repurchase as repurchase_operators
@@ -157,6 +157,19 @@ REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
     "next_route_markov_metrics": lambda w: sequence.markov_metrics(
         w.route_chain, model_features.in_training(F.col("fk_contact"))
     ),
+    # Routes by collaborative filtering
+    "held_out_routes": lambda w: w.held_out_routes,
+    "route_history": lambda w: w.route_history,
+    "collaborative_routes": lambda w: w.route_factors.recommend(w.route_history),
+    "collaborative_metrics": lambda w: collaborative.collaborative_metrics(
+        w.held_out_routes, w.route_factors, collaborative.popular_routes(w.route_history)
+    ),
+    "popular_route_metrics": lambda w: collaborative.ranking_metrics(
+        w.held_out_routes, collaborative.popular_routes(w.route_history)
+    ),
+    "scored_route_ranking_metrics": lambda w: collaborative.ranking_metrics(
+        w.held_out_routes, scored_routes(w)
+    ),
     "waits_by_segment": lambda w: w.waits.withColumn("survival", F.round("survival", 6)),
     "days_to_next_scores": lambda w: w.days_model.score(w.point_in_time_features),
     "days_to_next_metrics": lambda w: days_to_next.days_metrics(
@@ -196,7 +209,9 @@ TICKETED = ["kpi_overview", "tickets_distribution", "avg_ticket_price",
             "ticket_price_histogram", "ticket_price_density"]
 ROUTED = ["route_ranking", "top_route_purchases", "route_features", "route_baseline", "route_model",
           "route_metrics", "route_importance", "route_recommendations", "scored_routes", "guessed_route_metrics",
-          "route_transitions", "next_route_markov", "next_route_markov_metrics", "joint_plan"]
+          "route_transitions", "next_route_markov", "next_route_markov_metrics", "joint_plan",
+          "held_out_routes", "route_history", "collaborative_routes", "collaborative_metrics",
+          "popular_route_metrics", "scored_route_ranking_metrics"]
 _NEEDS: list[tuple[list[str], str]] = [
     (TIMED, "time_purchase_hour"),
     (TICKETED, "total_tickets_quantity_success"),

@@ -4,12 +4,15 @@ import datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from farebox.functions.cleaning import clean_purchases
 from farebox.functions.fixed_values import PURCHASE_COLUMNS
+from farebox.models import collaborative
 from farebox.models.clusters import Clusters, fit_clusters, scaled
+from farebox.models.collaborative import RouteFactors, fit_factors
 from farebox.models.days_to_next import DaysModel, fit_days
-from farebox.models.features import point_in_time_features, repurchase_features, route_features
+from farebox.models.features import in_training, point_in_time_features, repurchase_features, route_features
 from farebox.models.repurchase import RepurchaseModels, fit_repurchase
 from farebox.models.routes import RouteModel, fit_routes
 from farebox.operators import cohort, cycle, rankings, sequence, survival
@@ -179,6 +182,19 @@ class Workspace:
     def clusters(self) -> Clusters:
         return fit_clusters(self.scaled_rfm)
 
+    @cached_property
+    def held_out_routes(self) -> DataFrame:
+        test = ~in_training(F.col("fk_contact"))
+        return stage(collaborative.held_out_routes(self.route_chain, test), "held-out-routes")
+
+    @cached_property
+    def route_history(self) -> DataFrame:
+        return stage(collaborative.route_history(self.route_chain, self.held_out_routes), "route-history")
+
+    @cached_property
+    def route_factors(self) -> RouteFactors:
+        return fit_factors(self.route_history)
+
     @cached_property
     def next_route(self) -> DataFrame:
         return stage(sequence.next_route_markov(self.route_chain), "next-route")
