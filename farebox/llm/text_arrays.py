@@ -1,8 +1,11 @@
 """Words, lines and shingles of many texts at once, as numpy arrays over their UTF-8 bytes.
 
 A word is a maximal run of bytes outside ``\\x20\\x09-\\x0D``. A run of bytes is hashed as
-a polynomial in 64 bits over a random table of byte values, so the hash of any slice costs
-two lookups. Two different slices of one corpus share a hash with a chance near 2^-55.
+a polynomial over a random table of byte values, so the hash of any slice costs two lookups
+for each of three moduli. Modulo 2^64 alone, words can be built whose hashes are equal for
+every base (Thue-Morse words); so two values modulo the prime 2^31 - 1, with random bases,
+are mixed in. Two different slices of n bytes agree in both with a chance of at most
+(n / 2^31)^2 over the bases, however the slices are built.
 """
 
 from __future__ import annotations
@@ -19,10 +22,16 @@ _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_PRIME = (1 << 31) - 1
 GRAM = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PRIME_BASES = [int(b) for b in _RNG.integers(1 << 20, _PRIME, 2)]
+_PRIME_BYTES = _RNG.integers(1, _PRIME, (2, 256), dtype=np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+_PRIME_BYTES_LOWER = _PRIME_BYTES.copy()
+_PRIME_BYTES_LOWER[:, ord("A") : ord("Z") + 1] = _PRIME_BYTES[:, ord("a") : ord("z") + 1]
 _powers: dict[int, np.ndarray] = {}
+_prime_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,6 +53,43 @@ def _power(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller value equal modulo the prime; below 2^32 for products of residues."""
+    return (x & np.uint64(_PRIME)) + (x >> np.uint64(31))
+
+
+def _prime_power(base: int, n: int) -> np.ndarray:
+    """Powers of ``base`` modulo the prime, from 0 on."""
+    known = _prime_powers.get(base)
+    if known is None or len(known) < n:
+        size = max(n, SLICE_BYTES + 1)
+        known = np.ones(size, np.uint32)
+        done = 1
+        while done < size:
+            more = min(done, size - done)
+            step = np.uint64(pow(base, done, _PRIME))
+            known[done : done + more] = known[:more].astype(np.uint64) * step % np.uint64(_PRIME)
+            done += more
+        if size <= 4 * SLICE_BYTES:
+            _prime_powers[base] = known
+    return known[:n]
+
+
+class _PrimeSums:
+    """Polynomial sums of a byte array modulo the prime. A term is below 2^32, so the running
+    sum of any array that fits in memory stays below 2^64."""
+
+    def __init__(self, data: np.ndarray, table: np.ndarray, base: int):
+        terms = _fold(table[data] * _prime_power(base, len(data)))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(terms, out=self.sums[1:])
+        self.inverse = _prime_power(pow(base, -1, _PRIME), len(data) + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        prime = np.uint64(_PRIME)
+        return (self.sums[ends] - self.sums[starts]) % prime * self.inverse[starts] % prime
+
+
 class Hasher:
     """Hashes of slices ``[start, end)`` of one byte array."""
 
@@ -52,9 +98,13 @@ class Hasher:
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values, out=self.sums[1:])
         self.inverse = _power(_INVERSE, len(data) + 1)
+        tables = _PRIME_BYTES_LOWER if lower else _PRIME_BYTES
+        self.primes = [_PrimeSums(data, t, b) for t, b in zip(tables, _PRIME_BASES)]
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+        a, b = (p(starts, ends) for p in self.primes)
+        own = mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+        return mix(own + mix(a << np.uint64(31) | b))
 
 
 def slices(
