@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,27 +67,90 @@ def octets(value: Column) -> Column:
     return F.forall(F.split(value, r"\."), lambda p: p.rlike("^0*([0-9]|[0-9]{2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _indexes(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _block_size(n: Column) -> Column:
+    return F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of ints, all before it combined, from 0.
+
+    Elements are taken in blocks as many as they are long, so that n of them cost n^1.5
+    small steps: an array that grows by one element at a time would be copied n times.
+    """
+
+    def fold(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), combine)
+
+    def of(a: Column, size: Column) -> Column:
+        blocks = _indexes(F.ceil(F.size(a) / size).cast("int"))
+        block = lambda k: F.slice(a, k * size + 1, size)
+
+        def inside(start: Column, part: Column) -> Column:
+            return F.transform(
+                _indexes(F.size(part)), lambda i: F.aggregate(F.slice(part, F.lit(1), i), start, combine)
+            )
+
+        return let(
+            F.transform(blocks, lambda k: fold(block(k))),
+            lambda totals: F.flatten(F.transform(
+                blocks, lambda k: let(
+                    fold(F.slice(totals, F.lit(1), k)), lambda start: let(block(k), lambda part: inside(start, part))
+                ),
+            )),
+        )
+
+    return let(values, lambda a: let(_block_size(F.size(a)), lambda size: of(a, size)))
+
+
 def located(text: Column, pattern: str, kind: str) -> tuple[Column, Column, Callable[[Column, Column], Column]]:
-    """Matches, the gaps between them, and a fold of both into spans with code points."""
+    """Matches, the gaps between them, and a function of both that gives spans with code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
 
-    def fold(m: Column, g: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    def spans(m: Column, g: Column) -> Column:
+        each = _indexes(F.size(m))
+        before = running(F.transform(each, lambda i: F.length(g[i]) + F.length(m[i])), lambda a, b: a + b)
 
-        def step(state: Column, i: Column) -> Column:
-            begin = state["at"] + F.length(g[i])
-            end = begin + F.length(m[i])
-            span = F.struct(
-                begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), m[i].alias("value"),
-                F.right(g[i], F.lit(LEFT)).alias("left"), F.left(g[i + 1], F.lit(RIGHT)).alias("right"),
+        def span(begin: Column, i: Column) -> Column:
+            return F.struct(
+                begin.alias("start"), (begin + F.length(m[i])).alias("end"), F.lit(kind).alias("kind"),
+                m[i].alias("value"), F.right(g[i], F.lit(LEFT)).alias("left"),
+                F.left(g[i + 1], F.lit(RIGHT)).alias("right"),
             )
-            return F.struct(end.alias("at"), F.array_append(state["spans"], span).alias("spans"))
 
-        each = F.when(F.size(m) > 0, F.sequence(F.lit(0), F.size(m) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(each, start, step, lambda state: state["spans"])
+        return let(before, lambda b: F.transform(each, lambda i: span(b[i] + F.length(g[i]), i)))
+
+    return found, gaps, spans
+
 
-    return found, gaps, fold
+def meets(spans: Column, s: Column) -> Column:
+    """Whether span ``s`` overlaps one of ``spans``, which are in order and apart, by halving."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+
+    def step(state: Column, _: Column) -> Column:
+        middle = F.shiftright(state["low"] + state["high"], 1)
+        open_ = state["low"] < state["high"]
+        left = open_ & (F.get(spans, middle)["start"] < s["end"])
+        return F.struct(
+            F.when(left, middle + 1).otherwise(state["low"]).alias("low"),
+            F.when(open_ & ~left, middle).otherwise(state["high"]).alias("high"),
+        )
+
+    # the last span that begins before s ends reaches furthest
+    return F.aggregate(
+        steps, start, step,
+        lambda state: F.coalesce(F.get(spans, state["low"] - 1)["end"] > s["start"], F.lit(False)),
+    )
 
 
 def _trim(span: Column, keep: str) -> Column:
@@ -223,13 +288,12 @@ def candidate_spans(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     frame = frame.select(*keep, *(spans_of(kind).alias(f"_s_{kind}") for kind in KINDS))
     base = F.concat(*(F.col(f"_s_{kind}") for kind in BASE))
     more = F.concat(*(F.col(f"_s_{kind}") for kind in KINDS[len(BASE) :]))
-    frame = frame.select(*keep, base.alias("_base"), more.alias("_more"))
 
     def free(s: Column) -> Column:
-        return ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        return ~reduce(or_, (meets(F.col(f"_s_{kind}"), s) for kind in BASE))
 
-    own = F.when(F.size("_more") > 0, F.filter("_more", free)).otherwise(none)
-    return frame.select(*keep, F.concat("_base", own).alias("_spans"))
+    own = F.when(F.size(more) > 0, F.filter(more, free)).otherwise(none)
+    return frame.select(*keep, F.concat(base, own).alias("_spans"))
 
 
 def find_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -287,18 +351,30 @@ def spans_text(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by its kind in brackets; overlapping spans merge."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        inside = s["start"] < state["at"]
-        parts = F.when(inside, state["parts"]).otherwise(
-            F.concat(state["parts"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        )
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), parts.alias("parts"))
-
-    def finish(state: Column) -> Column:
-        rest = F.substring(text, state["at"] + 1, F.length(text))
-        return F.concat(F.array_join(state["parts"], ""), rest)
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(text)
+    def of(spans: Column, reached: Column, size: Column) -> Column:
+        def part(k: Column) -> Column:
+            """The text from where the spans before block ``k`` reach to where its own reach."""
+            first, after = k * size, F.least((k + 1) * size, F.size(spans))
+            begin = reached[first]
+            end = F.coalesce(F.get(reached, after), F.greatest(reached[after - 1], spans[after - 1]["end"]))
+
+            def piece(cut: Column, i: Column) -> Column:
+                gap = F.substring(cut, reached[i] - begin + 1, spans[i]["start"] - reached[i])
+                shown = F.concat(gap, F.lit("["), F.upper(spans[i]["kind"]), F.lit("]"))
+                return F.when(spans[i]["start"] < reached[i], "").otherwise(shown)
+
+            own = F.transform(_indexes(after - first), lambda j: j + first)
+            return let(
+                F.substring(text, begin + 1, end - begin),
+                lambda cut: F.array_join(F.transform(own, lambda i: piece(cut, i)), ""),
+            )
+
+        blocks = _indexes(F.ceil(F.size(spans) / size).cast("int"))
+        last = F.size(spans) - 1
+        rest = F.substring(text, F.greatest(reached[last], spans[last]["end"]) + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(blocks, part), ""), rest)
+
+    reach = lambda s: running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+    whole = let(spans, lambda s: let(reach(s), lambda r: let(_block_size(F.size(s)), lambda b: of(s, r, b))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)

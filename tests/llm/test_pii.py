@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from odd_tables import ODD_ROWS, clashing, no_documents, odd_documents
 from pyspark.sql import functions as F
@@ -109,3 +110,56 @@ def test_expectation_maximisation_finds_reliabilities():
     assert abs(rates[0][1, 1] - 0.95) < 0.05 and abs(rates[1][1, 1] - 0.8) < 0.05 and abs(rates[2][1, 1] - 0.6) < 0.05
     assert chance[1, 1, 1] > 0.9 and chance[-1, -1, -1] < 0.1
     assert pii.expectation_maximisation({}) == ({}, []) and pii.fit_classifier([]) == []
+
+
+def brute_redaction(text, spans):
+    at, parts = 0, []
+    for s in spans:
+        if s.start >= at:
+            parts.append(text[at : s.start] + f"[{s.kind.upper()}]")
+        at = max(at, s.end)
+    return "".join(parts) + text[at:]
+
+
+def test_redaction_by_brute_force(spark):
+    r = random.Random(12)
+    bits = ["ä", "a@b.co", "1.2.3.4", "+1 555 123 4567 89", "x" * 3, "9" * 12, "😀", "key = " + "0123456789abcdef" * 2]
+    texts = [r.choice(["", " "]).join(r.choice(bits) for _ in range(r.randrange(40))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = pii.find_spans(docs)
+    rows = found.select("text", "spans", pii.redact(F.col("text"), F.col("spans")).alias("out")).collect()
+    assert sum(len(x.spans) for x in rows) > 300
+    for x in rows:
+        assert x.out == brute_redaction(x.text, x.spans)
+
+
+def test_running_sums_and_overlaps(spark):
+    r = random.Random(5)
+    for n in (0, 1, 2, 3, 10, 97, 100, 101):
+        values = [r.randrange(50) for _ in range(n)]
+        frame = spark.createDataFrame([(values,)], "v array<int>")
+        sums, tops = frame.select(pii.running(F.col("v"), lambda a, b: a + b), pii.running(F.col("v"), lambda a, b: F.greatest(a, b))).first()
+        assert sums == [sum(values[:i]) for i in range(n)]
+        assert tops == [max([0, *values[:i]]) for i in range(n)]
+        spans, at = [], 0
+        for _ in range(n):
+            begin = at + r.randrange(4)
+            at = begin + 1 + r.randrange(5)
+            spans.append((begin, at))
+        asked = [(a, a + 1 + r.randrange(6)) for a in range(-3, at + 4)]
+        frame = spark.createDataFrame([(spans, asked)], "b array<struct<start:int,end:int>>, q array<struct<start:int,end:int>>")
+        got = frame.select(F.transform("q", lambda s: pii.meets(F.col("b"), s))).first()[0]
+        assert got == [any(b < e2 and s2 < e for b, e in spans) for s2, e2 in asked]
+
+
+def test_many_spans_in_one_text(spark):
+    """A hundred thousand addresses and numbers in one text: no step is quadratic in them."""
+    n = 50_000
+    text = " ".join(f"a{i}@b.co, 555-{i % 900 + 100}-1234" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    begun = time.monotonic()
+    found = pii.find_spans(docs, keep=["doc_id", "text"])
+    rows = found.select("spans", pii.redact(F.col("text"), F.col("spans")).alias("out")).orderBy("doc_id").collect()
+    assert time.monotonic() - begun < 120
+    assert sum(s.kind == "email" for s in rows[0].spans) == n
+    assert rows[0].out == brute_redaction(text, rows[0].spans)
