@@ -3,8 +3,9 @@
 Every document has two histograms: classes of its characters, and its common words (one
 bin for each common word of a language, one for all other words). The references are the
 same histograms summed over all documents of a language that pass the base rules. A
-document whose Jensen-Shannon distance to the nearest reference is too large is rejected.
-Too short documents have too rough a histogram and are not judged by distance.
+document whose Jensen-Shannon distances to the nearest reference, both to the same one, are
+too large is rejected. Too short documents have too rough a histogram and are not judged by
+distance, nor are documents of a language that has no reference.
 """
 
 from __future__ import annotations
@@ -199,10 +200,12 @@ def judge(
 
     ``base_failed``: fewer than 10 words, or over a fifth of the words in repeated
     five-word windows. Others with at least ``min_words`` words are kept if both distances
-    to the nearest reference are within their limits; shorter ones, and all if there is no
-    reference, are kept. The ``lang`` column only says which documents make a reference; a
-    document is held against all of them, so a wrong or null ``lang`` does it no harm. A
-    null text is an empty one. Columns named like a result give way to it.
+    to the nearest reference are within their limits; the nearest is the one whose limits
+    the worse of both uses up least. Shorter ones are kept, and so are those whose ``lang``
+    has no reference: no reference, no verdict, and null distances. A document of any
+    referenced language, or of none (null), is held against all references, so a ``lang``
+    that names the wrong one of them does it no harm. A null text is an empty one. Columns
+    named like a result give way to it.
     """
     results = [
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -227,17 +230,20 @@ def judge(
             rows = batch.num_rows
             matrix = lambda c: batch.column(c).flatten().to_numpy().reshape(rows, -1)
             n = batch.column("n_words").to_numpy()
-            char, word = np.full(rows, np.inf), np.full(rows, np.inf)
+            spread = 1 / np.sqrt(np.maximum(n, 1))
+            char_most = character_limit[0] + character_limit[1] * spread
+            word_most = word_limit[0] + word_limit[1] * spread
+            char, word, worse = (np.full(rows, np.inf) for _ in range(3))
             for x, (chars, words) in known.items():
-                char = np.minimum(char, distance(matrix("chars"), chars))
-                word = np.minimum(word, distance(matrix(f"words_{x}"), words))
+                c, w = distance(matrix("chars"), chars), distance(matrix(f"words_{x}"), words)
+                used = np.maximum(c / char_most, w / word_most)
+                nearer = used < worse
+                char, word = np.where(nearer, c, char), np.where(nearer, w, word)
+                worse = np.minimum(used, worse)
             failed = base_failed(n, batch.column("n_repeat_words").to_numpy())
-            judged = (n >= min_words) & bool(known)
-            spread = 1 / np.sqrt(np.maximum(n, 1))
-            far = judged & (
-                (char > character_limit[0] + character_limit[1] * spread)
-                | (word > word_limit[0] + word_limit[1] * spread)
-            )
+            referenced = np.array([x is None or x in known for x in batch.column(lang).to_pylist()], bool)
+            judged = (n >= min_words) & referenced & bool(known)
+            far = judged & (worse > 1)
             shown = [pa.array(np.where(judged, d, np.nan), mask=~judged) for d in (char, word)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in [*keep, *results[:5]]]

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pytest
 from odd_tables import LONG, ODD_ROWS, clashing, no_documents, odd_documents
 
 from farebox.llm import quality_classifier, quality_rules
@@ -135,3 +136,51 @@ def test_classifier_tells_words_of_one_shape_apart(spark):
     assert len(scored) > 200 and ((scored.score >= 0.5) == (scored.doc_id % 2 == 1)).mean() > 0.98
     again = quality_classifier.fit(docs.repartition(7), labels)
     assert (again.vectors.context.value == model.vectors.context.value).all() and (again.vectors.mean == model.vectors.mean).all()
+
+
+ITALIAN = (
+    "La mattina del mercato la piazza si riempiva di voci e di cassette di frutta, e mia nonna sceglieva "
+    "con calma i pomodori più maturi. Poi andavamo insieme dal fornaio, che ogni volta ci regalava un pezzo "
+    "di focaccia ancora calda. Lungo la strada incontravamo i vicini, parlavamo del tempo e dei raccolti, "
+    "e tornavamo a casa quando il sole era già alto sopra i tetti. Nel pomeriggio preparava la salsa in una "
+    "grande pentola, mentre io leggevo ad alta voce le storie che amava ascoltare."
+)
+RUSSIAN = (
+    "Утром на площади открывался рынок, и бабушка долго выбирала спелые помидоры. Потом мы шли к пекарю, "
+    "который каждый раз угощал нас тёплым хлебом. По дороге мы встречали соседей, говорили о погоде и об "
+    "урожае, и возвращались домой, когда солнце уже поднималось высоко над крышами. Днём она варила соус в "
+    "большой кастрюле, а я читал вслух рассказы, которые она любила слушать."
+)
+
+
+def test_no_reference_no_verdict(spark):
+    """Clean prose of a language without a reference is kept; repeats in it still fail."""
+    given = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    more = [(-1, ITALIAN, "it"), (-2, RUSSIAN, "ru"), (-3, "sempre la stessa riga di testo " * 30, "it"), (-4, RUSSIAN, "en")]
+    docs = given.union(spark.createDataFrame(more, given.schema))
+    rows = {r.doc_id: r for r in quality_rules.judge(docs).where("doc_id < 0").collect()}
+    assert rows[-1].kept and rows[-2].kept and rows[-1].word_distance is None
+    assert rows[-3].base_failed and not rows[-3].kept
+    assert not rows[-4].kept and rows[-4].word_distance > 0.2
+
+
+def test_distances_are_to_one_reference(spark):
+    """Each pair of distances is that of the reference whose limits it uses up least."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    measured = quality_rules.text_measures(docs, "text", ["doc_id", "lang"]).cache()
+    known = quality_rules.references(measured, "lang")
+    rows = {r.doc_id: r for r in measured.collect()}
+    judged = 0
+    for r in quality_rules.judge(docs).where("char_distance is not null").collect():
+        m, spread = rows[r.doc_id], r.n_words**-0.5
+        limits = [a + b * spread for a, b in (quality_rules.CHARACTER_LIMIT, quality_rules.WORD_LIMIT)]
+        pairs = [
+            (quality_rules.distance(np.array([m.chars]), c)[0], quality_rules.distance(np.array([m[f"words_{x}"]]), w)[0])
+            for x, (c, w) in known.items()
+        ]
+        used = [max(c / limits[0], w / limits[1]) for c, w in pairs]
+        best = pairs[used.index(min(used))]
+        assert (r.char_distance, r.word_distance) == pytest.approx(best, abs=1e-9)
+        assert r.kept == (not r.base_failed and min(used) <= 1)
+        judged += 1
+    assert judged > 50
