@@ -5,7 +5,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.functions.fixed_values import HORIZONS, MIN_LABELLED_ROWS, REPURCHASE_FOREST
@@ -56,13 +56,17 @@ def _of_class_one(probability: str):
 
 
 def fit_repurchase(
-    features: DataFrame, horizons: list[int] = HORIZONS, forest: dict = REPURCHASE_FOREST
+    features: DataFrame,
+    horizons: list[int] = HORIZONS,
+    forest: dict = REPURCHASE_FOREST,
+    side: Column | None = None,
 ) -> RepurchaseModels:
-    """Fit one forest per horizon on the training side. Pass staged features.
+    """Fit one forest per horizon on the training side, or on the rows ``side`` names. Pass
+    staged features.
 
     The forests share one cached training set and are fitted side by side.
     """
-    side = in_training(F.col(KEY))
+    side = in_training(F.col(KEY)) if side is None else side
     sizes = features.agg(
         F.coalesce(F.sum("purchases"), F.lit(0)).alias("all"),
         F.coalesce(F.sum(F.when(side, F.col("purchases"))), F.lit(0)).alias("train"),

@@ -209,6 +209,38 @@ kept AS (
 """
 
 
+# Labelled rows with their fold and digest scores, and the metrics of every fold.
+FOLD_CASES = """,
+folded AS (
+  SELECT l.*, CAST(CAST('0x' || substr(md5(l.fk_contact || ':fold'), 1, 8) AS BIGINT) % 3 AS INT) AS fold
+  FROM labels l JOIN rfm ON rfm.fk_contact = l.fk_contact)
+"""
+FOLD_METRICS = FOLD_CASES + """,
+cases AS (
+  SELECT fold, CAST(h AS INT) AS horizon_days, purchases AS n,
+         CAST(CAST('0x' || substr(md5(fk_contact || ':' || h), 1, 8) AS BIGINT) % 100 AS DOUBLE) / 100 AS score,
+         CASE h WHEN 7 THEN will_buy_next_7_days WHEN 15 THEN will_buy_next_15_days
+                ELSE will_buy_next_30_days END AS y
+  FROM folded CROSS JOIN (VALUES (7), (15), (30)) v(h)),
+pairs AS (
+  SELECT a.fold, a.horizon_days, CAST(sum(a.n * b.n * CASE WHEN a.score > b.score THEN 2
+           WHEN a.score = b.score THEN 1 ELSE 0 END) AS DOUBLE) AS won
+  FROM cases a JOIN cases b ON a.fold = b.fold AND a.horizon_days = b.horizon_days AND a.y = 1 AND b.y = 0
+  GROUP BY a.fold, a.horizon_days),
+cells AS (
+  SELECT fold, horizon_days, CAST(coalesce(sum(n) FILTER (y = 1), 0) AS DOUBLE) AS pos,
+         CAST(coalesce(sum(n) FILTER (y = 0), 0) AS DOUBLE) AS neg,
+         CAST(coalesce(sum(n) FILTER (y = 1 AND score > 0.5), 0) AS DOUBLE) AS tp,
+         CAST(coalesce(sum(n) FILTER (y = 0 AND score > 0.5), 0) AS DOUBLE) AS fp,
+         sqrt(sum(n * (score - y) * (score - y)) / sum(n)) AS rmse
+  FROM cases GROUP BY fold, horizon_days),
+metrics AS (
+  SELECT c.fold, c.horizon_days, CASE WHEN pos > 0 AND neg > 0 THEN won / (2 * pos * neg) END AS auc,
+         CASE WHEN pos + fp > 0 THEN 2 * tp / (tp + fp + pos) ELSE 0 END AS f1, round(rmse, 9) AS rmse
+  FROM cells c LEFT JOIN pairs p ON p.fold = c.fold AND p.horizon_days = c.horizon_days)
+"""
+
+
 def _ranking_metrics(found: str) -> str:
     return f"""
 SELECT count(*) AS customers, round(CAST(count(position) AS DOUBLE) / count(*), 9) AS hit_rate,
@@ -645,6 +677,15 @@ SELECT c.horizon_days, CASE WHEN pos > 0 AND neg > 0 THEN won / (2 * pos * neg)
        CASE WHEN pos > 0 AND neg > 0 THEN (tp / pos + (neg - fp) / neg) / 2 END AS auc_of_answers
 FROM cells c LEFT JOIN pairs p ON p.horizon_days = c.horizon_days
 """,
+    "fold_sizes": _RFM + GAPS + FOLD_CASES + """
+SELECT fold, count(DISTINCT fk_contact) AS customers, count(*) AS lines, CAST(sum(purchases) AS BIGINT) AS purchases
+FROM folded GROUP BY fold
+""",
+    "scored_fold_metrics": _RFM + GAPS + FOLD_METRICS + "SELECT fold, horizon_days, auc, f1, rmse FROM metrics",
+    "scored_fold_summary": _RFM + GAPS + FOLD_METRICS + "SELECT horizon_days, count(*) AS folds, " + ", ".join(
+        [f"round(avg({m}), 9) AS mean_{m}" for m in ("auc", "f1", "rmse")]
+        + [f"round(stddev_samp({m}), 9) AS deviation_{m}" for m in ("auc", "f1", "rmse")]
+    ) + " FROM metrics GROUP BY horizon_days",
     "scored_top_customers": _SEGMENTS + GAPS + """
 , best AS (
   SELECT l.fk_contact, CAST(CAST('0x' || substr(md5(l.fk_contact || ':15'), 1, 8) AS BIGINT) % 100

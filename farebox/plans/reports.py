@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from farebox.functions.fixed_values import HORIZONS
 from farebox.models import clusters, collaborative, days_to_next
 from farebox.models import features as model_features
-from farebox.models import metrics
+from farebox.models import folds, metrics
 from farebox.models import repurchase as repurchase_operators
 from farebox.models import routes as route_operators
 from farebox.models.joint import joint_plan
@@ -184,6 +184,18 @@ REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
         w.rfm, w.repurchase.score(route_operators.profiles_of(w.rfm)), w.next_route
     ),
     "days_to_next_baseline": lambda w: survival.days_to_next_baseline(w.waits),
+    # Cross-validation
+    "fold_sizes": lambda w: folds.fold_sizes(w.repurchase_features),
+    "cross_validated_metrics": lambda w: folds.fold_metrics(w.cross_validated_scores),
+    "cross_validation_summary": lambda w: folds.fold_summary(
+        folds.fold_metrics(w.cross_validated_scores)
+    ),
+    "scored_fold_metrics": lambda w: folds.fold_metrics(
+        metrics.with_digest_scores(w.repurchase_features)
+    ),
+    "scored_fold_summary": lambda w: folds.fold_summary(
+        folds.fold_metrics(metrics.with_digest_scores(w.repurchase_features))
+    ),
     # Decisions
     "contact_plan": contact_plan,
     # The same rules and metrics on scores from digests, which need no model

@@ -13,6 +13,7 @@ from farebox.models.clusters import Clusters, fit_clusters, scaled
 from farebox.models.collaborative import RouteFactors, fit_factors
 from farebox.models.days_to_next import DaysModel, fit_days
 from farebox.models.features import in_training, point_in_time_features, repurchase_features, route_features
+from farebox.models.folds import cross_validated_scores
 from farebox.models.repurchase import RepurchaseModels, fit_repurchase
 from farebox.models.routes import RouteModel, fit_routes
 from farebox.operators import cohort, cycle, rankings, sequence, survival
@@ -153,6 +154,10 @@ class Workspace:
     def repurchase(self) -> RepurchaseModels:
         return fit_repurchase(self.repurchase_features)
 
+    @cached_property
+    def cross_validated_scores(self) -> DataFrame:
+        return cross_validated_scores(self.repurchase_features)
+
     @cached_property
     def repurchase_scores(self) -> DataFrame:
         return stage(self.repurchase.score(self.repurchase_features), "repurchase-scores")
