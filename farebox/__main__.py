@@ -5,7 +5,7 @@ import datetime
 
 from pyspark.sql import SparkSession
 
-from farebox.plans.reports import NEEDS, REPORTS, write_reports
+from farebox.plans.reports import NEEDS, REPORTS, update_months, write_reports
 from farebox.plans.workspace import Workspace
 
 
@@ -16,6 +16,8 @@ def main() -> None:
     parser.add_argument("--as-of", type=datetime.date.fromisoformat, help="default: today")
     parser.add_argument("--personas", help="text file of 'segment: description' lines")
     parser.add_argument("--only", help="comma-separated analyses; default: all")
+    parser.add_argument("--months", help="folder of a month store that takes these purchases in")
+    parser.add_argument("--batch", default="purchases", help="name of these purchases in the month store")
     args = parser.parse_args()
     names = args.only.split(",") if args.only else None
     unknown = sorted(set(names or []) - set(REPORTS))
@@ -26,6 +28,9 @@ def main() -> None:
     try:
         for name in write_reports(workspace, args.out, names):
             print(f"left out, a column is missing: {name} needs {', '.join(NEEDS[name])}")
+        if args.months:
+            for month in update_months(workspace, args.months, args.batch):
+                print(f"month replaced: {month:%Y-%m}")
     finally:
         workspace.close()
         spark.stop()

@@ -21,6 +21,19 @@ def with_digest_scores(profiles: DataFrame) -> DataFrame:
     return profiles.withColumns(scores)
 
 
+def with_linear_scores(profiles: DataFrame) -> DataFrame:
+    """``prob_<horizon>`` in steps of 0.001 from recency, frequency and value by fixed weights:
+    a score that follows the features and needs no model."""
+    seen, often, value = F.greatest("recency", F.lit(0)), F.col("frequency"), F.greatest("monetary", F.lit(0.0))
+    scores = {
+        f"prob_{h}": F.floor(
+            (0.5 * (h / (seen + h)) + 0.3 * (often / (often + 10)) + 0.2 * (value / (value + 1_000_000))) * 1000
+        ) / 1000
+        for h in HORIZONS
+    }
+    return profiles.withColumns(scores)
+
+
 def binary_metrics(scores: DataFrame, horizons: list[int]) -> DataFrame:
     """``auc`` (ties count half), ``f1`` and ``auc_of_answers`` of "above one half" for each
     horizon with rows. AUC is null where one class is missing.

@@ -340,6 +340,21 @@ FROM (SELECT low, high,
 
 
 _MONEY = "coalesce(CAST(CAST(sum(money) AS VARCHAR) AS DOUBLE), 0)"
+_GMV_BY_MONTH = f"""
+, monthly AS (SELECT month, {_MONEY} AS gmv FROM p WHERE d IS NOT NULL GROUP BY month)
+SELECT strftime(month, '%Y-%m') AS year_month, gmv,
+       CASE WHEN count(*) OVER w = 3 THEN avg(gmv) OVER w END AS moving_avg
+FROM monthly WINDOW w AS (ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
+"""
+_MONTHLY_KPIS = f"""
+SELECT month AS purchase_year_month, count(*) AS purchases, count(DISTINCT fk_contact) AS customers,
+       CAST(count(DISTINCT d) AS INT) AS days, {_MONEY} AS gmv
+FROM p WHERE d IS NOT NULL GROUP BY month
+"""
+_MONTHLY_ROUTES = f"""
+SELECT month AS purchase_year_month, route, count(*) AS purchases, {_MONEY} AS gmv
+FROM p WHERE d IS NOT NULL AND route IS NOT NULL GROUP BY month, route
+"""
 _NULLS = [
     ("nk_ota_localizer_id", "id"),
     ("fk_contact", "fk_contact"),
@@ -420,12 +435,16 @@ FROM p
         ]
     ) + " FROM p) SELECT metric, value FROM (UNPIVOT one ON * INTO NAME metric VALUE value)",
     "kpi_overview": _P + _KPI,
-    "gmv_by_month": _P + f"""
-, monthly AS (SELECT month, {_MONEY} AS gmv FROM p WHERE d IS NOT NULL GROUP BY month)
-SELECT strftime(month, '%Y-%m') AS year_month, gmv,
-       CASE WHEN count(*) OVER w = 3 THEN avg(gmv) OVER w END AS moving_avg
-FROM monthly WINDOW w AS (ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
-""",
+    "gmv_by_month": _P + _GMV_BY_MONTH,
+    "monthly_kpis": _P + _MONTHLY_KPIS,
+    "stored_monthly_kpis": _P + _MONTHLY_KPIS,
+    "monthly_weekday_hours": _P + f"""
+SELECT month AS purchase_year_month, dow, hour, count(*) AS purchases, {_MONEY} AS gmv
+FROM p WHERE d IS NOT NULL AND hour IS NOT NULL GROUP BY month, dow, hour
+""",
+    "monthly_routes": _P + _MONTHLY_ROUTES,
+    "stored_monthly_routes": _P + _MONTHLY_ROUTES,
+    "stored_gmv_by_month": _P + _GMV_BY_MONTH,
     "gmv_by_weekday": _P + WEEKDAYS + f"""
 SELECT w.dow, day_en, day_pt, gmv FROM weekdays w
 LEFT JOIN (SELECT dow, {_MONEY} AS gmv FROM p GROUP BY dow) s ON s.dow = w.dow
@@ -686,6 +705,48 @@ FROM folded GROUP BY fold
         [f"round(avg({m}), 9) AS mean_{m}" for m in ("auc", "f1", "rmse")]
         + [f"round(stddev_samp({m}), 9) AS deviation_{m}" for m in ("auc", "f1", "rmse")]
     ) + " FROM metrics GROUP BY horizon_days",
+    "scored_permutation_importance": _RFM + GAPS + """
+, tested AS (
+  SELECT l.*, recency, frequency, monetary, l.fk_contact || ':' || days_until_next_purchase || ':' AS name
+  FROM labels l JOIN rfm ON rfm.fk_contact = l.fk_contact
+  WHERE CAST('0x' || substr(md5(l.fk_contact), 1, 8) AS BIGINT) % 100 >= 80),
+takers AS (SELECT *, row_number() OVER (ORDER BY md5(name || 'rows')) AS i FROM tested),
+r AS (SELECT recency AS v, row_number() OVER (ORDER BY md5(name || 'recency')) AS i FROM tested),
+f AS (SELECT frequency AS v, row_number() OVER (ORDER BY md5(name || 'frequency')) AS i FROM tested),
+m AS (SELECT monetary AS v, row_number() OVER (ORDER BY md5(name || 'monetary')) AS i FROM tested),
+cases AS (
+  SELECT feature, CAST(h AS INT) AS horizon_days, purchases AS n,
+         floor((0.5 * (CAST(h AS DOUBLE) / (seen + h)) + 0.3 * (CAST(often AS DOUBLE) / (often + 10))
+                + 0.2 * (value / (value + 1000000))) * 1000) / 1000 AS score,
+         CASE h WHEN 7 THEN will_buy_next_7_days WHEN 15 THEN will_buy_next_15_days
+                ELSE will_buy_next_30_days END AS y
+  FROM (SELECT t.*, feature, greatest(CASE WHEN feature = 'recency' THEN r.v ELSE recency END, 0) AS seen,
+               CASE WHEN feature = 'frequency' THEN f.v ELSE frequency END AS often,
+               greatest(CASE WHEN feature = 'monetary' THEN m.v ELSE monetary END, 0) AS value
+        FROM takers t JOIN r ON r.i = t.i JOIN f ON f.i = t.i JOIN m ON m.i = t.i
+        CROSS JOIN (VALUES ('none'), ('recency'), ('frequency'), ('monetary')) w(feature))
+  CROSS JOIN (VALUES (7), (15), (30)) u(h)),
+pairs AS (
+  SELECT a.feature, a.horizon_days, CAST(sum(a.n * b.n * CASE WHEN a.score > b.score THEN 2
+           WHEN a.score = b.score THEN 1 ELSE 0 END) AS DOUBLE) AS won
+  FROM cases a JOIN cases b ON a.feature = b.feature AND a.horizon_days = b.horizon_days AND a.y = 1 AND b.y = 0
+  GROUP BY a.feature, a.horizon_days),
+cells AS (
+  SELECT feature, horizon_days, CAST(coalesce(sum(n) FILTER (y = 1), 0) AS DOUBLE) AS pos,
+         CAST(coalesce(sum(n) FILTER (y = 0), 0) AS DOUBLE) AS neg,
+         CAST(coalesce(sum(n) FILTER (y = 1 AND score > 0.5), 0) AS DOUBLE) AS tp,
+         CAST(coalesce(sum(n) FILTER (y = 0 AND score > 0.5), 0) AS DOUBLE) AS fp,
+         round(sqrt(sum(n * (score - y) * (score - y)) / sum(n)), 9) AS rmse
+  FROM cases GROUP BY feature, horizon_days),
+metrics AS (
+  SELECT c.feature, c.horizon_days, CASE WHEN pos > 0 AND neg > 0 THEN won / (2 * pos * neg) END AS auc,
+         CASE WHEN pos + fp > 0 THEN 2 * tp / (tp + fp + pos) ELSE 0 END AS f1, rmse
+  FROM cells c LEFT JOIN pairs p ON p.feature = c.feature AND p.horizon_days = c.horizon_days)
+SELECT x.horizon_days, x.feature, x.auc, w.auc - x.auc AS auc_drop, w.f1 - x.f1 AS f1_drop,
+       round(x.rmse - w.rmse, 9) AS rmse_rise
+FROM metrics x JOIN metrics w ON w.horizon_days = x.horizon_days AND w.feature = 'none'
+WHERE x.feature <> 'none'
+""",
     "scored_top_customers": _SEGMENTS + GAPS + """
 , best AS (
   SELECT l.fk_contact, CAST(CAST('0x' || substr(md5(l.fk_contact || ':15'), 1, 8) AS BIGINT) % 100

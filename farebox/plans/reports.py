@@ -1,5 +1,6 @@
 """Every analysis by name: workspace -> result table."""
 
+import datetime
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from farebox.functions.fixed_values import HORIZONS
 from farebox.models import clusters, collaborative, days_to_next
 from farebox.models import features as model_features
-from farebox.models import folds, metrics
+from farebox.models import folds, metrics, permutation
 from farebox.models import repurchase as repurchase_operators
 from farebox.models import routes as route_operators
 from farebox.models.joint import joint_plan
@@ -18,6 +19,7 @@ from farebox.operators import (
     cycle,
     decisions,
     distributions,
+    monthly,
     overview,
     rankings,
     sequence,
@@ -25,6 +27,7 @@ from farebox.operators import (
 )
 from farebox.operators import rfm as rfm_operators
 from farebox.plans.workspace import Workspace
+from farebox.sources import months
 from farebox.sources.reader import write_result
 
 
@@ -43,6 +46,10 @@ def scored_contact_plan(w: Workspace) -> DataFrame:
     return decisions.contact_plan(metrics.with_digest_scores(profiles), w.contact_slot)
 
 
+def _test_rows(w: Workspace) -> DataFrame:
+    return w.repurchase_features.where(~model_features.in_training(F.col("fk_contact")))
+
+
 def scored_routes(w: Workspace) -> DataFrame:
     """Three best of the top routes for every customer, by digest scores."""
     routes = sorted(row.route for row in w.top_routes.collect())  # at most ten
@@ -59,6 +66,13 @@ def guessed_route_metrics(w: Workspace) -> DataFrame:
     return metrics.class_metrics(guessed, ~model_features.in_training(F.col("fk_contact")))
 
 
+def stored_gmv_by_month(w: Workspace) -> DataFrame:
+    """GMV by month from the stored months, one row each, without reading a purchase."""
+    kept = months.stored_result(w.spark, w.month_store, "monthly_kpis")
+    names = {"purchase_year_month": "date_purchase", "gmv": "gmv_success"}
+    return overview.gmv_by_month(kept.select(*names).withColumnsRenamed(names))
+
+
 REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
     # Overview and seasonality
     "kpi_overview": lambda w: overview.kpi_overview(w.purchases, w.tickets),
@@ -71,6 +85,13 @@ REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
     "weekday_hour_counts": lambda w: overview.weekday_hour_counts(w.purchases),
     "weekday_hour_grid": lambda w: overview.weekday_hour_grid(w.purchases),
     "best_contact_slot": lambda w: decisions.best_contact_slot(w.purchases),
+    # Month by month, directly and from a store kept by month
+    "monthly_kpis": lambda w: monthly.monthly_kpis(w.purchases),
+    "monthly_weekday_hours": lambda w: monthly.monthly_weekday_hours(w.purchases),
+    "monthly_routes": lambda w: monthly.monthly_routes(w.trips),
+    "stored_monthly_kpis": lambda w: months.stored_result(w.spark, w.month_store, "monthly_kpis"),
+    "stored_monthly_routes": lambda w: months.stored_result(w.spark, w.month_store, "monthly_routes"),
+    "stored_gmv_by_month": stored_gmv_by_month,
     # Customer value and segments
     "rfm": lambda w: rfm_operators.rfm(w.purchases, w.as_of),
     "rfm_excluded_rows": lambda w: rfm_operators.excluded_from_rfm(w.purchases),
@@ -196,6 +217,13 @@ REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
     "scored_fold_summary": lambda w: folds.fold_summary(
         folds.fold_metrics(metrics.with_digest_scores(w.repurchase_features))
     ),
+    # Importance of each feature by mixing it among the test rows
+    "permutation_importance": lambda w: permutation.permutation_importance(
+        _test_rows(w), w.repurchase.score
+    ),
+    "scored_permutation_importance": lambda w: permutation.permutation_importance(
+        _test_rows(w), metrics.with_linear_scores
+    ),
     # Decisions
     "contact_plan": contact_plan,
     # The same rules and metrics on scores from digests, which need no model
@@ -216,14 +244,14 @@ REPORTS: dict[str, Callable[[Workspace], DataFrame]] = {
 
 # Columns that analyses need besides id, customer, date and value.
 TIMED = ["gmv_by_hour", "purchases_by_hour", "weekday_hour_counts", "weekday_hour_grid",
-         "best_contact_slot", "business_highlights", "contact_plan", "scored_contact_plan"]
+         "best_contact_slot", "business_highlights", "contact_plan", "scored_contact_plan", "monthly_weekday_hours"]
 TICKETED = ["kpi_overview", "tickets_distribution", "avg_ticket_price",
             "ticket_price_histogram", "ticket_price_density"]
 ROUTED = ["route_ranking", "top_route_purchases", "route_features", "route_baseline", "route_model",
           "route_metrics", "route_importance", "route_recommendations", "scored_routes", "guessed_route_metrics",
           "route_transitions", "next_route_markov", "next_route_markov_metrics", "joint_plan",
           "held_out_routes", "route_history", "collaborative_routes", "collaborative_metrics",
-          "popular_route_metrics", "scored_route_ranking_metrics"]
+          "popular_route_metrics", "scored_route_ranking_metrics", "monthly_routes", "stored_monthly_routes"]
 _NEEDS: list[tuple[list[str], str]] = [
     (TIMED, "time_purchase_hour"),
     (TICKETED, "total_tickets_quantity_success"),
@@ -257,3 +285,11 @@ def write_reports(w: Workspace, folder: str, names: Iterable[str] | None = None)
         if name in possible:
             write_result(REPORTS[name](w), f"{folder}/{name}")
     return [name for name in wanted if name not in possible]
+
+
+def update_months(w: Workspace, folder: str, batch: str) -> list[datetime.date]:
+    """Put the workspace's purchases into the month store in ``folder`` and work out the
+    monthly results of the months they have; returns those months."""
+    touched = months.put_purchases(w.trips, folder, batch)
+    months.refresh_results(w.spark, folder, touched)
+    return touched

@@ -1,6 +1,7 @@
 """One set of purchases and the intermediate tables its analyses share."""
 
 import datetime
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from farebox.models.routes import RouteModel, fit_routes
 from farebox.operators import cohort, cycle, rankings, sequence, survival
 from farebox.operators import rfm as rfm_operators
 from farebox.operators.decisions import best_contact_slot
+from farebox.sources import months
 from farebox.sources.reader import (
     conform,
     good_rows,
@@ -29,7 +31,7 @@ from farebox.sources.reader import (
     rejected_lines,
 )
 from farebox.sources.star_schema import order_purchases, order_tickets, raw_purchases
-from farebox.staging import release, stage
+from farebox.staging import release, stage, staging_folder
 
 
 class Workspace:
@@ -220,3 +222,13 @@ class Workspace:
     @cached_property
     def contact_slot(self) -> DataFrame:
         return stage(best_contact_slot(self.purchases), "contact-slot")
+
+    @cached_property
+    def month_store(self) -> str:
+        """Folder of a staged month store of the trips, filled in two batches."""
+        folder = f"{staging_folder(self.spark)}/months-{uuid.uuid4().hex}"
+        odd = F.coalesce(F.month("purchase_year_month") % 2 == 1, F.lit(True))
+        for batch, side in (("odd", odd), ("even", ~odd)):
+            touched = months.put_purchases(self.trips.where(side), folder, batch)
+            months.refresh_results(self.spark, folder, touched)
+        return folder
