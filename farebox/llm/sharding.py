@@ -17,6 +17,8 @@ from farebox.staging import stage
 
 MAX_SOURCES = 8192
 BUCKET_ROWS = 50_000
+NUMPY_LIMIT = 10**9  # numpy draws from smaller urns only
+FEW = 64
 
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
@@ -26,7 +28,6 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
     rng = np.random.default_rng(seed)
     table = np.zeros((len(counts), shards), np.int64)
     for i, count in enumerate(counts):
-        # the "marginals" method takes any total; numpy limits each call to sums below 10^9
         rest, behind = count, int(left.sum())
         for j in range(shards):
             behind -= int(left[j])
@@ -37,18 +38,29 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """Good ones among ``draws``, in parts, as numpy takes sums under 10^9 only."""
-    if good + bad < 10**9:
+    """Good ones among ``draws`` from an urn of any size, by the exact law.
+
+    Larger urns than numpy takes: every ball is taken with one chance, by two binomial draws.
+    Such a set is uniform for its size, and stays so when as many as it has too many are
+    taken out at random, or as many as it lacks added: again draws from an urn, but only
+    about the square root as many. The last few are drawn one by one.
+    """
+    total = good + bad
+    if total < NUMPY_LIMIT:
         return int(rng.hypergeometric(good, bad, draws)) if draws else 0
-    if draws > (good + bad) // 2:
-        return good - _hypergeometric(rng, good, bad, good + bad - draws)
-    got = 0
-    while draws and good:
-        part = min(draws, max(1, (good + bad) // 10_000))  # small next to the urn
-        now = min(int(rng.binomial(part, good / (good + bad))), good)
-        now = max(now, part - bad)
-        got, good, bad, draws = got + now, good - now, bad - (part - now), draws - part
-    return got
+    if 2 * draws > total:
+        return good - _hypergeometric(rng, good, bad, total - draws)
+    if draws <= FEW:
+        got = 0
+        for i in range(draws):
+            got += int(rng.integers(total - i)) < good - got
+        return got
+    share = draws / total  # its rounding does not matter, both draws use the same
+    taken, others = int(rng.binomial(good, share)), int(rng.binomial(bad, share))
+    over = taken + others - draws
+    if over >= 0:
+        return taken - _hypergeometric(rng, taken, others, over)
+    return taken + _hypergeometric(rng, good - taken, bad - others, -over)
 
 
 def random_key(seed: int) -> Column:
@@ -61,8 +73,9 @@ def shard_rows(rows: DataFrame, shards: int = 24, seed: int = 17) -> DataFrame:
     Rows may repeat and may have nulls in any column: a row is told apart by where it lies
     in a staged copy, so pass only the columns that should travel. Columns named ``shard``
     or ``slot`` are replaced. An empty table gives an empty result. Same staged layout and
-    seed, same result. From totals of 10^9 rows on, the draws of the table are made in
-    small parts by a binomial approximation; sums stay exact.
+    seed, same result. Beyond ``MAX_SOURCES`` partitions several share a line of the table
+    and are permuted together, in a sort that spills; the driver holds one number for each
+    source and shard.
     """
     rows = rows.drop("shard", "slot", "row_uid")
     kept = rows.columns

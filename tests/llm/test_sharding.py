@@ -1,9 +1,13 @@
 """Exact shard sizes, gapless slots, uniform dealing."""
 
+import math
+
 import numpy as np
+import pytest
 from odd_tables import clashing, no_documents, odd_documents
 from pyspark.sql import functions as F
 
+from farebox.llm import sharding
 from farebox.llm.queries import QUERIES
 from farebox.llm.sharding import communication_matrix, shard_rows
 
@@ -26,6 +30,33 @@ def test_matrix_follows_the_law():
     assert abs(got.var() - 60 * (1 / 3) * (2 / 3) * (60 / 119)) < 0.6
 
 
+@pytest.mark.parametrize("good, bad, draws", [(60, 60, 20), (300, 40, 270), (7, 500, 100), (5, 5, 5), (0, 9, 4)])
+def test_large_urns_follow_the_law(monkeypatch, good, bad, draws):
+    """The way for large urns, on small ones: frequencies against the probabilities."""
+    monkeypatch.setattr(sharding, "NUMPY_LIMIT", 0)
+    monkeypatch.setattr(sharding, "FEW", 3)
+    rng, n = np.random.default_rng(5), 20_000
+    got = np.bincount([sharding._hypergeometric(rng, good, bad, draws) for _ in range(n)], minlength=good + 1)
+    want = np.array([math.comb(good, k) * math.comb(bad, draws - k) if k <= draws else 0 for k in range(good + 1)], float)
+    want *= n / want.sum()
+    assert got.sum() == n and (got[want == 0] == 0).all()
+    seen = want > 5
+    assert ((got - want)[seen] ** 2 / want[seen]).sum() < seen.sum() + 4 * math.sqrt(2 * seen.sum()) + 4
+
+
+def test_urns_beyond_numpy():
+    rng = np.random.default_rng(2)
+    good, bad, draws = 10**13, 3 * 10**13, 10**12
+    got = np.array([sharding._hypergeometric(rng, good, bad, draws) for _ in range(2000)], float)
+    deviation = math.sqrt(draws * 0.25 * 0.75 * (1 - draws / (good + bad)))
+    assert abs(got.mean() - draws / 4) < 4 * deviation / math.sqrt(2000)
+    assert abs(got.std() / deviation - 1) < 0.07
+    table = communication_matrix([10**12 + 7, 0, 5, 4 * 10**12], 24, 9)
+    assert table.sum(axis=1).tolist() == [10**12 + 7, 0, 5, 4 * 10**12] and (table >= 0).all()
+    sizes = table.sum(axis=0)
+    assert sizes.max() - sizes.min() <= 1
+
+
 def check(rows, total, shards):
     slots = {}
     for r in rows:
