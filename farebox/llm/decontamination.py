@@ -6,9 +6,9 @@ deletions, substitutions). Cut into ``k + 1`` pieces, at least one piece must th
 unchanged. All pieces of a block of items form one automaton; every document is scanned
 once, and around each piece hit the item is verified by Myers' bit-parallel distance.
 
-Items under ``MIN_CHARS`` characters are too short to be told by edits. With ``short_items``
-they are searched as they are, with word boundaries on both sides; scripts that are written
-without spaces have a boundary at every character.
+An item too short for an edit (under 20 characters at a rate of 0.05) is searched as it is,
+with word boundaries on both sides; scripts that are written without spaces have a boundary
+at every character. All other items have their own budget, whatever their length.
 
 Items are processed in blocks of bounded size, each held against all documents, so memory
 does not grow with the benchmark.
@@ -84,12 +84,12 @@ def boundary(left: str, right: str) -> bool:
 
 
 class Block:
-    """A bounded set of items, searched together; those under ``exact_under`` characters
-    without edits and between word boundaries."""
+    """A bounded set of items, searched together; those without budget between word
+    boundaries."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, exact_under: int = 0):
-        self.items, self.exact_under = items, exact_under
-        self.budgets = [int(rate * len(text)) if len(text) >= exact_under else 0 for _, text in items]
+    def __init__(self, items: list[tuple[int, str]], rate: float):
+        self.items = items
+        self.budgets = [int(rate * len(text)) for _, text in items]
         self.masks = [bits(text) for _, text in items]
         self.mirrors = [bits(text[::-1]) for _, text in items]
         where: dict[str, list[tuple[int, int]]] = {}
@@ -115,7 +115,7 @@ class Block:
         for i, at in starts.items():
             item_id, item = self.items[i]
             budget, m = self.budgets[i], len(item)
-            if m < self.exact_under:
+            if not budget:
                 whole = [
                     s for s in at
                     if boundary(text[s - 1 : s] if s else "", item[0]) and boundary(item[-1], text[s + m : s + m + 1])
@@ -146,36 +146,37 @@ class Block:
 
 
 def item_blocks(
-    items: DataFrame, rate: float, min_chars: int, block_chars: int, short_items: bool = False
-) -> Iterator[Block]:
-    """Blocks of at most ``block_chars`` characters (or one item), streamed to the driver."""
+    items: DataFrame, min_chars: int, block_chars: int, short_items: bool
+) -> Iterator[list[tuple[int, str]]]:
+    """Ids and normalised texts of at most ``block_chars`` characters (or one item), streamed
+    to the driver; they stay in the plan, one stage a block."""
     block: list[tuple[int, str]] = []
-    size, exact_under = 0, min_chars if short_items else 0
+    size = 0
     for row in items.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id").toLocalIterator():
         text = normalise(row["text"])
         if not text or (len(text) < min_chars and not short_items):
             continue
         if block and size + len(text) > block_chars:
-            yield Block(block, rate, exact_under)
+            yield block
             block, size = [], 0
         block.append((row["item_id"], text))
         size += len(text)
     if block:
-        yield Block(block, rate, exact_under)
+        yield block
 
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, text: str = "text", keep: list[str] | None = None,
     rate: float = EDIT_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS,
-    short_items: bool = False,
+    short_items: bool = True,
 ) -> DataFrame:
     """One row for each pair of a document row and an item that occurs in it.
 
     ``keep`` (default: all columns) of the document, ``item_id``, ``distance`` (edits of
     the best place, the first on ties) and its ``match_start`` and ``match_end`` in the
-    normalised text. Null and empty texts match nothing; items under ``min_chars``
-    normalised characters are searched only with ``short_items``, without edits. Repeated rows give
-    repeated results. Columns named like a result give way to it.
+    normalised text. Null and empty texts match nothing; without
+    ``short_items``, items under ``min_chars`` normalised characters are left out. Repeated
+    rows give repeated results. Columns named like a result give way to it.
     """
     results = [part.split(" ")[0] for part in HITS.split(", ")]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in results]
@@ -184,17 +185,15 @@ def find_leaks(
     schema = ", ".join([*kinds, HITS])
     out = docs.sparkSession.createDataFrame([], schema)
     first = True
-    for block in item_blocks(items, rate, min_chars, block_chars, short_items):
+    for block in item_blocks(items, min_chars, block_chars, short_items):
         found = source.mapInArrow(_searcher(block, rate, keep, at), schema)
         out, first = (found if first else out.unionByName(found)), False
     return out
 
 
-def _searcher(made: Block, rate: float, keep: list[str], at: int):
-    items, exact_under = made.items, made.exact_under
-
+def _searcher(items: list[tuple[int, str]], rate: float, keep: list[str], at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(items, rate, exact_under)
+        block = Block(items, rate)
         for batch in batches:
             rows, hits = [], []
             for i, value in enumerate(batch.column(at)):
@@ -215,20 +214,18 @@ def _searcher(made: Block, rate: float, keep: list[str], at: int):
 
 def without_leaks(
     docs: DataFrame, items: DataFrame, text: str = "text", rate: float = EDIT_RATE,
-    min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS, short_items: bool = False,
+    min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS, short_items: bool = True,
 ) -> DataFrame:
     """The rows of ``docs`` in which no item occurs, all columns, one pass per block."""
     out = docs
-    for block in item_blocks(items, rate, min_chars, block_chars, short_items):
+    for block in item_blocks(items, min_chars, block_chars, short_items):
         out = out.mapInArrow(_dropper(block, rate, out.columns.index(text)), out.schema)
     return out
 
 
-def _dropper(made: Block, rate: float, column: int):
-    items, exact_under = made.items, made.exact_under
-
+def _dropper(items: list[tuple[int, str]], rate: float, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(items, rate, exact_under)
+        block = Block(items, rate)
         for batch in batches:
             clean = [not block.matches(normalise(v.as_py())) for v in batch.column(column)]
             yield batch.filter(pa.array(clean, pa.bool_()))

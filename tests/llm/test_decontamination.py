@@ -91,10 +91,12 @@ def test_odd_rows(spark):
     items = spark.createDataFrame(
         [(1, long_item), (2, None), (3, ""), (4, "word"), (5, long_item), (None, long_item)], "item_id long, text string"
     )
-    rows = d.find_leaks(docs, items).collect()
+    rows = d.find_leaks(docs, items, short_items=False).collect()
     assert sorted((r.doc_id, r.item_id or 0) for r in rows) == [(1, 0), (1, 1), (1, 5), (6, 0), (6, 1), (6, 5)]
     assert all(r.extra == "mine" and r.distance == 0 for r in rows)
-    assert d.without_leaks(docs, items).count() == len(ODD_ROWS) - 2
+    assert d.without_leaks(docs, items, short_items=False).count() == len(ODD_ROWS) - 2
+    whole = {(r.doc_id, r.item_id or 0) for r in d.find_leaks(docs, items).collect()}
+    assert {pair for pair in whole if pair[1] != 4} == {(1, 0), (1, 1), (1, 5), (6, 0), (6, 1), (6, 5)}
     assert d.find_leaks(no_documents(spark), items).count() == 0
     assert d.find_leaks(docs, items.where("false")).count() == 0
     assert d.without_leaks(docs, items.where("false")).count() == len(ODD_ROWS)
@@ -114,3 +116,19 @@ def test_short_items(spark, tmp_path):
     assert found == [(1, 1, 0, 4, 16), (3, 2, 0, 2, 6), (4, 3, 0, 1, 3), (6, 2, 0, 8, 12)]
     left = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))
     assert sorted(r.doc_id for r in left.collect()) == [2, 5]
+
+
+def test_every_length_has_its_own_budget(spark):
+    """From 20 characters on one edit is allowed, whatever stands beside the match."""
+    letters = "abcdefghijklmnopqrstuvwxyzabcd"
+    items = [(n, letters[:n]) for n in range(18, 31)]
+    for n, item in items:
+        block = d.Block([(n, item)], 0.05)
+        near = "xx" + item[:5] + "#" + item[6:] + "yy"
+        assert bool(block.matches(near)) == (n >= 20) == (brute(item, near)[0] <= int(0.05 * n))
+        assert block.matches(item) == [(n, 0, 0, n)]
+        assert bool(block.matches("x" + item)) == (n >= 20)
+    docs = spark.createDataFrame([(1, "so: what is 2 plus 3 then?"), (2, "what is 2 plus then")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "what is 2 plus 2 then?")], "item_id long, text string")
+    assert [(r.doc_id, r.distance) for r in d.find_leaks(docs, asked).collect()] == [(1, 1)]
+    assert [r.doc_id for r in d.without_leaks(docs, asked).collect()] == [2]
