@@ -6,6 +6,7 @@ route) and joins on them, so a customer or route with a third of all rows is com
 before the shuffle.
 """
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml.recommendation import ALS, ALSModel
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 
 from farebox.functions.fixed_values import SEED
 from farebox.functions.measures import ratio
-from farebox.models.forest import training_tasks
+from farebox.models.forest import LARGE_TASK_ROWS, training_tasks
 from farebox.operators.cycle import KEY
-from farebox.staging import stage
+from farebox.staging import stage, staging_folder
 
 RANK, ROUNDS, PENALTY, TRUST = 8, 10, 0.05, 10.0
 ORDER = ["date_purchase", "second", "nk_ota_localizer_id", "route"]
@@ -103,7 +104,21 @@ def fit_factors(history: DataFrame, rank: int = RANK) -> RouteFactors:
         userCol="customer", itemCol="item", ratingCol="rating", implicitPrefs=True, rank=rank, maxIter=ROUNDS,
         regParam=PENALTY, alpha=TRUST, numUserBlocks=blocks, numItemBlocks=blocks, seed=SEED,
     )
-    return RouteFactors(als.fit(stage(ratings, "factor-ratings")), customers, routes)
+    return RouteFactors(staged_factors(als.fit(stage(ratings, "factor-ratings")), routes), customers, routes)
+
+
+def staged_factors(model: ALSModel, routes: DataFrame) -> ALSModel:
+    """The same model with its factors read from the checkpoint folder.
+
+    The fit has a block of routes for so and so many purchases, however few the routes are.
+    Recommending pairs all blocks of customers with all blocks of routes and keeps k rows of
+    each pair for a customer, so there the routes get blocks by their own number.
+    """
+    path = f"{staging_folder(routes.sparkSession)}/factor-model-{uuid.uuid4().hex}"
+    model.save(path)
+    blocks = -(-routes.count() // LARGE_TASK_ROWS)
+    model.itemFactors.coalesce(blocks).write.mode("overwrite").parquet(f"{path}/itemFactors")
+    return ALSModel.load(path)
 
 
 def ranking_metrics(held_out: DataFrame, ranked: DataFrame) -> DataFrame:
