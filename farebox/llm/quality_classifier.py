@@ -38,7 +38,7 @@ _CLASSES = len(CHARACTER_CLASSES)
 BUCKET_BITS = 18
 BUCKETS, BLOCK, SCALE = 1 << BUCKET_BITS, 32, 1 << 14  # rows, rows sent at once, steps to 1
 WIDTH = 2 * DIMENSIONS + 1
-MOST_WORDS = 1 << 30  # neighbour sums of a task are sent before they could pass 32 bits
+PARTS, HELD_WORDS = 16, 3 << 20  # a task adds up a part of the buckets at a time, over words it holds
 OWN, BEFORE, AFTER, FORM = np.random.default_rng(1).integers(1, 2**63, (4, 2), dtype=np.uint64)
 _START = np.where(_KIND < 0, 0, _KIND).astype(np.int64)  # a word starts with a whole code point
 _UPPER = np.arange(256) - 65 < 26
@@ -74,8 +74,8 @@ def index_vectors(keys: np.ndarray, seeds: np.ndarray) -> Iterator[tuple[np.ndar
         yield k * part + ((chunk >> 1) * part >> 15), 1 - 2 * (chunk & 1)
 
 
-def buckets(words: Words) -> np.ndarray:
-    return (words.hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def index_sums(keys: np.ndarray, seeds: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -103,58 +103,76 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed[1:]), f"i{packed[0]}").astype(np.int64)
 
 
-def word_vectors(docs: DataFrame, text: str) -> Vectors:
-    """Neighbour means of every bucket, over all documents.
+def neighbour_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a task's documents by block of buckets, and over all words (block -1).
 
-    A task adds up its documents in a table of fixed size and sends each block of it once,
-    so a frequent word is no more to send than a rare one. Sums are whole numbers: the
-    result does not depend on the partitions.
+    The hashes of ``HELD_WORDS`` words are held and added up in a table of one part of the
+    buckets after the other.
     """
     columns = DIMENSIONS + 1  # the last counts neighbours
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((BUCKETS, columns), np.int32)
-        flat, sums, seen = table.reshape(-1), np.zeros((2, DIMENSIONS)), 0
-
-        def blocks() -> Iterator[pa.RecordBatch]:
-            facts = np.concatenate([sums.ravel(), table.sum(axis=0, dtype=np.int64), [seen]])
-            cut = table.reshape(-1, BLOCK * columns)
+    hashes, linked = np.empty(HELD_WORDS, np.uint64), np.empty(HELD_WORDS, bool)
+    sums, seen = np.zeros((2, DIMENSIONS)), 0
+
+    def blocks(hashes: np.ndarray, linked: np.ndarray) -> Iterator[pa.RecordBatch]:
+        near = np.zeros(columns, np.int64)
+        table = np.zeros((BUCKETS // PARTS, columns), np.int32)
+        rows = len(table).bit_length() - 1
+        flat, cut = table.reshape(-1), table.reshape(-1, BLOCK * columns)
+        for part in range(PARTS):
+            table[:] = 0
+            own = hashes >> np.uint64(64 - BUCKET_BITS) >> np.uint64(rows) == part
+            for side, step, seeds in ((np.flatnonzero(own & linked), 1, AFTER),
+                                      (np.flatnonzero(own[1:] & linked[:-1]) + 1, -1, BEFORE)):
+                at = (buckets(hashes[side]) - part * len(table)) * columns
+                for spot, sign in index_vectors(hashes[side + step], seeds):
+                    np.add.at(flat, at + spot, sign.astype(np.int32))
+                np.add.at(flat, at + DIMENSIONS, np.int32(1))
+            near += table.sum(axis=0, dtype=np.int64)
             some = np.flatnonzero(cut.any(axis=1))
             for a in range(0, len(some), 256):
-                ids, values = some[a : a + 256], [pack(row) for row in cut[some[a : a + 256]]]
+                ids = some[a : a + 256]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(values, pa.binary())], names=["block", "sums"]
+                    [pa.array(part * len(cut) + ids, pa.int64()), pa.array([pack(cut[i]) for i in ids], pa.binary())],
+                    names=["block", "sums"],
                 )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1], pa.int64()), pa.array([facts.astype(np.int64).tobytes()], pa.binary())],
-                names=["block", "sums"],
-            )
+        facts = np.concatenate([sums.ravel(), near, [len(hashes)]])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1], pa.int64()), pa.array([facts.astype(np.int64).tobytes()], pa.binary())],
+            names=["block", "sums"],
+        )
+
+    for batch in batches:
+        for _, data, offsets in slices(batch.column(0)):
+            words = Words(data, offsets)
+            n = len(words.starts)
+            if not n:
+                continue
+            if seen and seen + n > HELD_WORDS:
+                yield from blocks(hashes[:seen], linked[:seen])
+                sums[:], seen = 0, 0
+            inside = np.ones(n, bool)  # the next word is of the same text
+            inside[words.first[words.first > 0] - 1] = False
+            row = np.zeros(n, np.int64)
+            sums[0] += index_sums(words.hashes, OWN, row, 1)[0]
+            sums[1] += index_sums(word_forms(words, data), FORM, row, 1)[0]
+            if n > HELD_WORDS:  # one text
+                yield from blocks(words.hashes, inside)
+                sums[:] = 0
+                continue
+            hashes[seen : seen + n], linked[seen : seen + n] = words.hashes, inside
+            seen += n
+    if seen:
+        yield from blocks(hashes[:seen], linked[:seen])
 
-        for batch in batches:
-            for _, data, offsets in slices(batch.column(0)):
-                words = Words(data, offsets)
-                if not len(words.starts):
-                    continue
-                if seen + len(words.starts) > MOST_WORDS:
-                    yield from blocks()
-                    table[:], sums[:], seen = 0, 0, 0
-                inside = np.ones(len(words.starts) - 1, bool)
-                edges = words.first[(words.first > 0) & (words.first < len(words.starts))]
-                inside[edges - 1] = False
-                at = buckets(words) * columns
-                left, right = at[:-1][inside], at[1:][inside]
-                for spot, sign in index_vectors(words.hashes[1:][inside], AFTER):
-                    np.add.at(flat, left + spot, sign.astype(np.int32))
-                for spot, sign in index_vectors(words.hashes[:-1][inside], BEFORE):
-                    np.add.at(flat, right + spot, sign.astype(np.int32))
-                np.add.at(flat, left + DIMENSIONS, np.int32(1))
-                np.add.at(flat, right + DIMENSIONS, np.int32(1))
-                row = np.zeros(len(words.starts), np.int64)
-                sums[0] += index_sums(words.hashes, OWN, row, 1)[0]
-                sums[1] += index_sums(word_forms(words, data), FORM, row, 1)[0]
-                seen += len(words.starts)
-        if seen:
-            yield from blocks()
+
+def word_vectors(docs: DataFrame, text: str) -> Vectors:
+    """Neighbour means of every bucket, over all documents.
+
+    A task adds up its documents and sends a row a block, so a frequent word is no more to
+    send than a rare one. Sums are whole numbers: the result does not depend on the
+    partitions.
+    """
+    columns = DIMENSIONS + 1  # the last counts neighbours
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}  # bounded by the table
@@ -173,7 +191,7 @@ def word_vectors(docs: DataFrame, text: str) -> Vectors:
             )
 
     schema = "block long, sums binary"
-    found = docs.select(docs[text].alias("__text")).mapInArrow(run, schema)
+    found = docs.select(docs[text].alias("__text")).mapInArrow(neighbour_sums, schema)
     context = np.zeros((BUCKETS, DIMENSIONS), np.int16)
     mean = np.zeros(2 * DIMENSIONS)
     added = stage(found.repartition("block").mapInArrow(add, schema), "neighbours")
@@ -195,7 +213,7 @@ def pooled(column: pa.Array, vectors: Vectors) -> np.ndarray:
         words = Words(data, offsets)
         n = np.diff(words.first)
         rows = np.repeat(np.arange(len(n)), n)
-        near, bucket = np.zeros((len(n), DIMENSIONS), np.int64), buckets(words)
+        near, bucket = np.zeros((len(n), DIMENSIONS), np.int64), buckets(words.hashes)
         context = vectors.context.value
         for a in range(0, len(bucket), 1 << 13):
             part, row = context[bucket[a : a + (1 << 13)]], rows[a : a + (1 << 13)]
