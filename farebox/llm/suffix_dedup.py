@@ -33,7 +33,7 @@ from farebox.llm.text_arrays import Hasher, mix, slices
 from farebox.staging import stage
 
 LENGTH, GRAM = 100, 32
-BATCH_BYTES = 1 << 17
+BATCH_BYTES, HASH_BYTES = 1 << 17, 1 << 18
 CROWD_ROWS = 1000
 WINDOW = -1
 RESULTS = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -124,23 +124,29 @@ def find_regions(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("id", "copy", "__text").mapInArrow(run, schema)
 
 
-def unique_windows_removed(pieces: list[tuple], length: int) -> list[tuple[int, int, int]]:
+def unique_windows_removed(
+    pieces: list[tuple], length: int, anchors: list[int] | None = None
+) -> list[tuple[int, int, int]]:
     """(piece, first window, last window) of runs whose hash others of the group share.
 
-    ``pieces``: (order key, low, place, bytes) of one anchor. A window's hash counts with
-    its distance from the anchor.
+    ``pieces``: (order key, low, place, bytes), of one anchor or each with its own in
+    ``anchors``. A window's hash counts with its distance from the anchor. The pieces are
+    short, so those of many anchors are hashed at once.
     """
-    hashes, owner, offset = [], [], []
-    for i, (_, low, place, data) in enumerate(pieces):
-        values = np.frombuffer(data, np.uint8)
-        starts = np.arange(len(values) - length + 1)
-        shift = starts + low - place + 65536
-        hashes.append(mix(Hasher(values)(starts, starts + length) + mix(shift.astype(np.uint64))))
-        owner.append(np.full(len(starts), i))
-        offset.append(starts)
-    all_, who, at = np.concatenate(hashes), np.concatenate(owner), np.concatenate(offset)
-    _, back, count = np.unique(all_, return_inverse=True, return_counts=True)
-    keep = count[back] > 1
+    sizes = np.array([len(p[3]) for p in pieces], np.int64)
+    windows = np.maximum(sizes - length + 1, 0)
+    who = np.repeat(np.arange(len(pieces)), windows)
+    at = np.arange(len(who)) - np.repeat(np.cumsum(windows) - windows, windows)
+    starts = np.repeat(np.cumsum(sizes) - sizes, windows) + at
+    shift = at + np.array([p[1] - p[2] + 65536 for p in pieces], np.int64)[who]
+    salt = mix(shift.astype(np.uint64))
+    if anchors is not None:
+        salt = mix(salt + np.array(anchors, np.int64).view(np.uint64)[who])
+    hashes = mix(Hasher(np.frombuffer(b"".join(p[3] for p in pieces), np.uint8))(starts, starts + length) + salt)
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    keep = np.zeros(len(hashes), bool)
+    keep[order[1:][same]] = keep[order[:-1][same]] = True
     who, at = who[keep], at[keep]
     if not len(who):
         return []
@@ -201,6 +207,7 @@ def compare_regions(texts: DataFrame, length: int) -> DataFrame:
     """Covered byte ranges (``id``, ``copy``, ``begin``, ``end``) among regions of one anchor.
 
     ``texts`` is dealt and sorted by ``anchor``. Groups are gathered into batches of about
+    ``HASH_BYTES`` to be hashed at once, and what is left into batches of about
     ``BATCH_BYTES`` for one suffix array.
     """
     names = ["id", "copy", "begin", "end"]
@@ -220,40 +227,59 @@ def compare_regions(texts: DataFrame, length: int) -> DataFrame:
             waiting, waiting_bytes, spans = [], 0, []
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-        def settle(group: list[tuple]) -> None:
-            nonlocal waiting_bytes
-            windows = [p for p in group if p[2] == WINDOW]
-            group = [p for p in group if p[2] != WINDOW]
-            earliest: dict[bytes, tuple[int, int, int]] = {}
-            for key, *_, digest in sorted(windows, key=lambda p: p[0]):
-                if digest is None or earliest.setdefault(digest, key) != key:
-                    spans.append((*key, key[2] + length))
-            if not group:
-                return
+        def settle() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting_bytes, pieces, anchors, piece_bytes
             first: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-            group.sort(key=lambda p: p[0])
-            for i, a, b in sorted(unique_windows_removed(group, length)):
-                (id_, copy, low), _, place, data = group[i]
+            current = None
+            for i, a, b in [*unique_windows_removed(pieces, length, anchors), (-1, 0, 0)]:
+                if i < 0 or anchors[i] != current:  # equal windows are in one group
+                    for (_, piece), key in first.items():
+                        waiting.append((key, piece))
+                        waiting_bytes += len(piece) + 1
+                    if waiting_bytes >= BATCH_BYTES or len(spans) >= BATCH_BYTES:
+                        yield flush()
+                    first, current = {}, anchors[i]
+                if i < 0:
+                    break
+                (id_, copy, low), _, place, data = pieces[i]
                 piece = data[a : b + length]
                 # equal pieces at equal places: the first stays, later ones are covered
                 if first.setdefault((low + a - place, piece), (id_, copy, low + a)) != (id_, copy, low + a):
                     spans.append((id_, copy, low + a, low + b + length))
-            for (_, piece), key in first.items():
-                waiting.append((key, piece))
-                waiting_bytes += len(piece) + 1
+            pieces, anchors, piece_bytes = [], [], 0
+
+        def close(anchor: int, group: list[tuple]) -> None:
+            nonlocal piece_bytes
+            earliest: dict[bytes, tuple[int, int, int]] = {}
+            group.sort(key=lambda p: p[0])
+            for p in group:
+                key, _, place, data = p
+                if place != WINDOW:
+                    pieces.append(p)
+                    anchors.append(anchor)
+                    piece_bytes += len(data)
+                elif data is None or earliest.setdefault(data, key) != key:
+                    spans.append((*key, key[2] + length))
 
+        pieces: list[tuple] = []  # of whole groups
+        anchors: list[int] = []
+        piece_bytes = 0
         current, group = None, []
         for batch in batches:
             for anchor, id_, copy, low, place, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if anchor != current:
                     if group:
-                        settle(group)
-                        if waiting_bytes >= BATCH_BYTES or len(spans) >= BATCH_BYTES:
+                        close(current, group)
+                        if piece_bytes >= HASH_BYTES:
+                            yield from settle()
+                        elif len(spans) >= BATCH_BYTES:
                             yield flush()
                     current, group = anchor, []
                 group.append(((id_, copy, low), low, place, data))
         if group:
-            settle(group)
+            close(current, group)
+        if pieces:
+            yield from settle()
         yield flush()
 
     source = texts.select("anchor", "id", "copy", "low", "place", "bytes")

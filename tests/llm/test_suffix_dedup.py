@@ -81,3 +81,23 @@ def test_null_ids_come_first_and_repeated_ids_are_apart(spark):
     rows = [(r.doc_id, r.n_bytes, r.n_removed) for r in remove_repeats(docs).collect()]
     n = len(text)
     assert sorted(rows, key=str) == sorted([(None, n, 0), (1, n, n), (1, n + 1, n)], key=str)
+
+
+def test_windows_of_many_anchors_are_hashed_at_once(monkeypatch):
+    """In one go, groups give what each gives alone; windows of other anchors do not count."""
+    r = random.Random(5)
+    common = [bytes(r.choices(b"abc", k=130)) for _ in range(3)]
+    groups = []
+    for g in range(40):
+        texts = [common[r.randrange(3)][r.randrange(20) :] + bytes(r.choices(b"xy", k=r.randrange(20))) for _ in range(4)]
+        groups.append([((g * 10 + i, 0, 0), 0, r.randrange(2), text) for i, text in enumerate(texts)])
+    alone, at = [], 0
+    for group in groups:
+        alone += [(at + i, a, b) for i, a, b in suffix_dedup.unique_windows_removed(group, 100)]
+        at += len(group)
+    made = []
+    hasher = suffix_dedup.Hasher
+    monkeypatch.setattr(suffix_dedup, "Hasher", lambda data: made.append(len(data)) or hasher(data))
+    anchors = [7 * g - 100 for g, group in enumerate(groups) for _ in group]
+    assert suffix_dedup.unique_windows_removed(sum(groups, []), 100, anchors) == alone
+    assert alone and len(made) == 1
